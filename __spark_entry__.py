@@ -46,7 +46,7 @@ def _connections(sf_dir: str):
 
 
 def _reader(spark: SparkSession, sf_dir: str) -> SourceReader:
-    return SourceReader(job_session(spark), _connections(sf_dir))
+    return SourceReader(job_session(spark), _connections(sf_dir), own_session=True)
 
 
 def _doubles(frame: DataFrame) -> DataFrame:

@@ -9,11 +9,17 @@ written as an inner join plus an anti join against the distinct keys.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def whole_key(keys: Sequence[str]) -> Column:
+    """No part of the key is NULL."""
+    return reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
+
+
 def inner_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner equi-join; each key column comes out once."""
     return left.join(right, list(keys), "inner")
@@ -32,7 +38,7 @@ def left_join(
         right = right.filter(right_only_if)
     matched = left.join(right, keys, "inner")
     # One row per key and task leaves the scan, however hot the key is.
-    present = right.select(*keys).dropna(subset=keys).distinct()
+    present = right.select(*keys).filter(whole_key(keys)).distinct()
     unmatched = left.join(present, keys, "left_anti")
     extra = [field for field in right.schema.fields if field.name not in keys]
     return matched.unionByName(

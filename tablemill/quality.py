@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablemill.errors import SpecError
-from tablemill.operators.joins import copies_per_key
+from tablemill.operators.joins import copies_per_key, whole_key
 
 ROW_RULES = ("not_null", "in_range", "allowed_values")
 KINDS = (*ROW_RULES, "unique_key", "orphan_key", "min_rows")
@@ -149,13 +149,12 @@ def _row_rules(frame: DataFrame, rules: list[Rule]) -> DataFrame:
     return frame.agg(*counters).select(F.inline(F.array(*lines)))
 
 
-def _whole_key(columns: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
-
-
-def _unique(frame: DataFrame, rule: Rule) -> DataFrame:
-    counts = copies_per_key(frame, rule.columns, "__n")
-    repeated = F.when(_whole_key(rule.columns) & (F.col("__n") > 1), F.col("__n"))
+def _unique(frame: DataFrame, rule: Rule, widest: tuple[str, ...]) -> DataFrame:
+    # A key inside a wider one is counted from its counts, whose shuffle Spark reuses.
+    counts = copies_per_key(frame, widest, "__n")
+    if widest != rule.columns:
+        counts = counts.groupBy(*rule.columns).agg(F.sum("__n").alias("__n"))
+    repeated = F.when(whole_key(rule.columns) & (F.col("__n") > 1), F.col("__n"))
     totals = counts.agg(F.sum("__n").alias("n"), F.sum(repeated).alias("failed"))
     return totals.select(F.inline(F.array(_line(rule, F.col("n"), F.col("failed")))))
 
@@ -169,13 +168,13 @@ def _orphans(frame: DataFrame, rule: Rule, parents: Mapping[str, DataFrame]) ->
     known = (
         parents[name]
         .select(*[F.col(p).alias(k) for p, k in zip(parent_columns, keys)])
-        .dropna()
+        .filter(whole_key(keys))
         .distinct()
         .withColumn("__known", F.lit(True))
     )
     # A left join on counted keys gives totals and orphans from one scan.
     counted = copies_per_key(frame, keys, "__n").join(known, keys, "left")
-    orphan = F.when(_whole_key(keys) & F.col("__known").isNull(), F.col("__n"))
+    orphan = F.when(whole_key(keys) & F.col("__known").isNull(), F.col("__n"))
     totals = counted.agg(F.sum("__n").alias("n"), F.sum(orphan).alias("failed"))
     return totals.select(F.inline(F.array(_line(rule, F.col("n"), F.col("failed")))))
 
@@ -191,6 +190,11 @@ def check(
         raise SpecError("quality: no rules given")
     single = [r for r in rules if r.kind in ROW_RULES or r.kind == "min_rows"]
     reports = [_row_rules(frame, single)] if single else []
-    reports += [_unique(frame, r) for r in rules if r.kind == "unique_key"]
+    keys = sorted((r.columns for r in rules if r.kind == "unique_key"), key=len, reverse=True)
+    reports += [
+        _unique(frame, r, next(k for k in keys if set(r.columns) <= set(k)))
+        for r in rules
+        if r.kind == "unique_key"
+    ]
     reports += [_orphans(frame, r, parents or {}) for r in rules if r.kind == "orphan_key"]
     return reduce(DataFrame.unionByName, reports)

@@ -54,6 +54,7 @@ class TableJob:
         retries: int = 3,
         max_wait: float = 60.0,
         strict: bool = False,
+        own_session: bool = False,
     ) -> None:
         self.spark = spark
         self.spec = spec if isinstance(spec, JobSpec) else JobSpec.from_dict(spec)
@@ -63,7 +64,7 @@ class TableJob:
         self.target_table = fill_name(target, self.params) if target else None
         self.rules = [Rule.from_dict(raw) for raw in self.spec.quality]
         self.base_uri = base_uri
-        self.reader = SourceReader(spark, connections)
+        self.reader = SourceReader(spark, connections, own_session=own_session)
         self.sources: dict[str, DataFrame] = dict(frames or {})
         self.transformed_df: DataFrame | None = None
         self.retries = retries
@@ -143,7 +144,8 @@ def explain_text(frame: DataFrame) -> str:
 
 def _open(spark: SparkSession, spec: JobSpec | str, isolate: bool = True, **options) -> TableJob:
     spec = shipped_job(spec) if isinstance(spec, str) else spec
-    return TableJob(job_session(spark) if isolate else spark, spec, **options)
+    session = job_session(spark) if isolate else spark
+    return TableJob(session, spec, own_session=isolate, **options)
 
 
 def plan_job(spark: SparkSession, spec: JobSpec | str, **options) -> DataFrame:

@@ -10,9 +10,14 @@ from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+PARTITION_BYTES = 128 * 1024**2
+MAX_PARTITIONS = 32768
+# Sources without statistics report a size near the largest long.
+UNKNOWN_BYTES = 1 << 60
+
 # Shuffles start wide and AQE merges small partitions and splits skewed ones,
-# so one profile serves a laptop and a cluster. On a cluster raise
-# initialPartitionNum with the largest shuffle (about 128 MB per partition).
+# so one profile serves a laptop and a cluster; see size_shuffles.
 PROFILE = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -53,6 +58,29 @@ def job_session(spark: SparkSession) -> SparkSession:
     return session
 
 
+def input_bytes(frame: DataFrame) -> int | None:
+    """Size of the files or tables a frame reads, as Spark already knows it.
+
+    None if some source does not tell.
+    """
+    leaves = frame._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(sizes) if all(size < UNKNOWN_BYTES for size in sizes) else None
+
+
+def size_shuffles(session: SparkSession, n_bytes: int) -> int:
+    """Let shuffles start with enough partitions for ``n_bytes`` of input.
+
+    A fixed number suits one data size only: 200 partitions of a 100 TB shuffle
+    would hold 500 GB each. Adaptive execution merges what turns out small, so
+    starting too wide is cheap. ``spark.sql.shuffle.partitions`` is never undercut.
+    """
+    least = int(session.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(least, min(-(-n_bytes // PARTITION_BYTES), MAX_PARTITIONS))
+    session.conf.set(INITIAL_PARTITIONS, str(wanted))
+    return wanted
+
+
 def adopt(frame: DataFrame, session: SparkSession) -> DataFrame:
     """The same logical plan, owned by ``session``."""
     if frame.sparkSession is session:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import logging
 import re
 import time
 from collections.abc import Callable, Mapping
+from decimal import Decimal
 from typing import Any
 
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.errors import SpecError
+from tablemill.session import INITIAL_PARTITIONS, input_bytes, size_shuffles
 from tablemill.sources.connections import Connection
 from tablemill.spec import SourceSpec
 
@@ -20,11 +23,36 @@ log = logging.getLogger(__name__)
 CATALOG = Connection(label="catalog")
 
 
+def remote_literal(name: str, value: Any) -> str:
+    """A parameter as SQL text for a query that runs outside Spark.
+
+    Quoting differs between dialects, so strings are limited to characters that
+    need none.
+    """
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).upper()
+    if isinstance(value, (int, float, Decimal)):
+        return str(value)
+    if isinstance(value, dt.datetime):
+        return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
+    if isinstance(value, dt.date):
+        return f"DATE '{value:%Y-%m-%d}'"
+    if isinstance(value, str) and re.fullmatch(r"[\w .,:/#@+\-]*", value):
+        return f"'{value}'"
+    raise SpecError(
+        f"parameter {name}: {value!r} cannot be put into a remote query; "
+        "filter on it in the job's SQL"
+    )
+
+
 class SourceReader:
     """Opens sources of one session through its connections.
 
     A label that is not configured falls back to ``default`` (the session's
-    catalog unless told otherwise).
+    catalog unless told otherwise). With ``own_session`` the session serves this
+    reader only, and its shuffles are sized to the tables read.
     """
 
     def __init__(
@@ -32,12 +60,16 @@ class SourceReader:
         session: SparkSession,
         connections: Mapping[str, Connection] | None = None,
         default: Connection = CATALOG,
+        own_session: bool = False,
     ) -> None:
         self.session = session
         self.connections = dict(connections or {})
         self.default = default
         self.input_paths: set[str] = set()
+        # A number of partitions that the user has set is left alone.
+        self._sizes = own_session and session.conf.get(INITIAL_PARTITIONS, None) is None
         self._frames: dict[str, dict[str, DataFrame]] = {}
+        self._bytes = 0
 
     def connection(self, label: str | None) -> Connection:
         return self.connections.get(label, self.default)
@@ -60,7 +92,7 @@ class SourceReader:
                 self.input_paths.add(path)
                 return self._load_files(connection, path)
             return frames[name]
-        return self.session.read.table(name)
+        return self._sized(self.session.read.table(name))
 
     def query(
         self, sql: str, args: Mapping[str, Any] | None = None, label: str | None = None
@@ -73,17 +105,20 @@ class SourceReader:
             # Plans are resolved at once, so another connection may reuse a name later.
             for name, frame in self._file_frames(connection).items():
                 frame.createOrReplaceTempView(name)
-        return self.session.sql(sql, args=dict(args or {}))
+        frame = self.session.sql(sql, args=dict(args or {}))
+        return frame if connection.kind == "files" else self._sized(frame)
 
     def _remote_query(
         self, connection: Connection, sql: str, args: Mapping[str, Any]
     ) -> DataFrame:
-        for name in args:
-            if re.search(rf"(?<![:\w]):{re.escape(name)}\b", sql):
-                raise SpecError(
-                    f"connection {connection.label} runs its query elsewhere and cannot take "
-                    f":{name}; filter in the job's SQL, the connector pushes it down"
-                )
+        # Spark's markers end at Spark; the other side gets literals.
+        if args:
+            names = "|".join(map(re.escape, args))
+            sql = re.sub(
+                rf"(?<![:\w]):({names})\b",
+                lambda marker: remote_literal(marker[1], args[marker[1]]),
+                sql,
+            )
         reader = self._connector(connection)
         # JDBC splits a read over executors only when it is given as a table.
         if "partitionColumn" in connection.options:
@@ -94,7 +129,13 @@ class SourceReader:
         return self.session.read.format(connection.format).options(**connection.options)
 
     def _load_files(self, connection: Connection, path: str) -> DataFrame:
-        return self.session.read.format(connection.format).options(**connection.options).load(path)
+        return self._sized(self._connector(connection).load(path))
+
+    def _sized(self, frame: DataFrame) -> DataFrame:
+        if self._sizes:
+            self._bytes += input_bytes(frame) or 0
+            size_shuffles(self.session, self._bytes)
+        return frame
 
     def _file_frames(self, connection: Connection) -> dict[str, DataFrame]:
         frames = self._frames.get(connection.label)
