@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
-import yaml
-
 from tablemill.errors import SpecError
 from tablemill.plans import JOBS_DIR, shipped_jobs
+from tablemill.spec import read_yaml
 
 PREFIX = "GROUP:"
 
@@ -22,7 +21,7 @@ class JobGroups:
 
     @classmethod
     def shipped(cls) -> JobGroups:
-        raw = yaml.safe_load((JOBS_DIR / "groups.yaml").read_text(encoding="utf-8"))
+        raw = read_yaml(JOBS_DIR / "groups.yaml")
         return cls(tuple(shipped_jobs()), {name: tuple(jobs) for name, jobs in raw.items()})
 
     def options(self) -> list[str]:

@@ -8,9 +8,8 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
-import yaml
-
 from tablemill.errors import SpecError
+from tablemill.spec import read_yaml
 
 KINDS = ("catalog", "files", "connector")
 
@@ -39,6 +38,8 @@ class Connection:
             raise SpecError(f"connection {self.label}: unknown kind {self.kind!r}")
         if self.kind == "files" and not self.base_path:
             raise SpecError(f"connection {self.label}: files need a base_path")
+        if set(self.tables) & set(self.views):
+            raise SpecError(f"connection {self.label}: a table and a view share a name")
 
     @classmethod
     def from_dict(
@@ -55,12 +56,10 @@ class Connection:
     def path_of(self, table: str) -> str:
         return f"{self.base_path.rstrip('/')}/{self.tables.get(table, table)}"
 
-    @property
-    def paths(self) -> list[str]:
-        """Input folders, known without listing any file."""
-        if self.kind != "files":
-            return []
-        return [self.path_of(table) for table in self.tables] or [self.base_path]
+    def names_before(self, view: str | None) -> list[str]:
+        """Tables and views; with ``view`` only those it may build on."""
+        names = [*self.tables, *self.views]
+        return names[: names.index(view)] if view else names
 
 
 def load_connections(
@@ -70,7 +69,7 @@ def load_connections(
     path = Path(path)
     if not path.is_file():
         raise FileNotFoundError(f"connections file not found: {path}")
-    raw = yaml.safe_load(path.read_text(encoding="utf-8")) or {}
+    raw = read_yaml(path) or {}
     return {
         label: Connection.from_dict(label, entry, base_path) for label, entry in raw.items()
     }

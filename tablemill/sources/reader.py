@@ -68,7 +68,7 @@ class SourceReader:
         self.input_paths: set[str] = set()
         # A number of partitions that the user has set is left alone.
         self._sizes = own_session and session.conf.get(INITIAL_PARTITIONS, None) is None
-        self._frames: dict[str, dict[str, DataFrame]] = {}
+        self._frames: dict[tuple[str, str], DataFrame] = {}
         self._bytes = 0
 
     def connection(self, label: str | None) -> Connection:
@@ -85,13 +85,7 @@ class SourceReader:
             key = "dbtable" if connection.format == "jdbc" else "table"
             return self._connector(connection).option(key, name).load()
         if connection.kind == "files":
-            self.input_paths.update(connection.paths)
-            frames = self._file_frames(connection)
-            if name not in frames:
-                path = connection.path_of(name)
-                self.input_paths.add(path)
-                return self._load_files(connection, path)
-            return frames[name]
+            return self._file_frame(connection, name)
         return self._sized(self.session.read.table(name))
 
     def query(
@@ -101,10 +95,7 @@ class SourceReader:
         if connection.kind == "connector":
             return self._remote_query(connection, sql, args or {})
         if connection.kind == "files":
-            self.input_paths.update(connection.paths)
-            # Plans are resolved at once, so another connection may reuse a name later.
-            for name, frame in self._file_frames(connection).items():
-                frame.createOrReplaceTempView(name)
+            self._register(connection, sql)
         frame = self.session.sql(sql, args=dict(args or {}))
         return frame if connection.kind == "files" else self._sized(frame)
 
@@ -128,8 +119,28 @@ class SourceReader:
     def _connector(self, connection: Connection):
         return self.session.read.format(connection.format).options(**connection.options)
 
-    def _load_files(self, connection: Connection, path: str) -> DataFrame:
-        return self._sized(self._connector(connection).load(path))
+    def _file_frame(self, connection: Connection, name: str) -> DataFrame:
+        key = connection.label, name
+        if key not in self._frames:
+            if name in connection.views:
+                sql = connection.views[name]
+                self._register(connection, sql, before=name)
+                self._frames[key] = self.session.sql(sql)
+            else:
+                path = connection.path_of(name)
+                self.input_paths.add(path)
+                self._frames[key] = self._sized(self._connector(connection).load(path))
+        return self._frames[key]
+
+    def _register(self, connection: Connection, sql: str, before: str | None = None) -> None:
+        """Make views of the connection's names that occur in ``sql``.
+
+        A word that is no table does no harm here. Plans are resolved at once, so
+        another connection may give a name another meaning later.
+        """
+        for name in connection.names_before(before):
+            if re.search(rf"\b{re.escape(name)}\b", sql, re.IGNORECASE):
+                self._file_frame(connection, name).createOrReplaceTempView(name)
 
     def _sized(self, frame: DataFrame) -> DataFrame:
         if self._sizes:

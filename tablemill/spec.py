@@ -20,6 +20,12 @@ _STATEMENT = re.compile(r"[\s(]*(select|with)\b", re.IGNORECASE)
 _TEMPLATE_MARK = re.compile(r"\{\{|\{%")
 
 
+def read_yaml(source: str | Path) -> Any:
+    """Parse YAML text or a YAML file, with the C parser where there is one."""
+    text = source.read_text(encoding="utf-8") if isinstance(source, Path) else source
+    return yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
+
+
 @dataclass(frozen=True)
 class SourceSpec:
     """A named input: a query run at the source, or a table read by name."""
@@ -126,4 +132,4 @@ class JobSpec:
                 f"{path.name} holds template marks; declare the values under 'params' "
                 "and use :name in SQL, {name} in names"
             )
-        return cls.from_dict(yaml.safe_load(text), default_name=path.name.split(".")[0])
+        return cls.from_dict(read_yaml(text), default_name=path.name.split(".")[0])
