@@ -24,6 +24,9 @@ PROFILE = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    # Compiled stages are kept for the next run; the default 100 is less than a
+    # group of jobs needs.
+    "spark.sql.codegen.cache.maxEntries": "1000",
     "spark.scheduler.mode": "FAIR",
 }
 
