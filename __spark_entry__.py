@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime as dt
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 from pathlib import Path
 
@@ -23,6 +24,7 @@ if str(ROOT) not in sys.path:
 from tablemill import functions as fn  # noqa: E402
 from tablemill import operators as op  # noqa: E402
 from tablemill import pipeline, quality, sinks  # noqa: E402
+from tablemill.plans import shipped_job  # noqa: E402
 from tablemill.runner import plan_job, run_group, run_job  # noqa: E402
 from tablemill.session import job_session, scratch_uri  # noqa: E402
 from tablemill.sources import SourceReader, ad_hoc, load_connections  # noqa: E402
@@ -347,23 +349,21 @@ def sink_parquet_roundtrip(spark, sf_dir):
 
 def sink_run_dated_partition(spark, sf_dir):
     """Two dates written, then the first one again with another threshold."""
+    spec = replace(
+        shipped_job("product_inventory_report"),
+        target_table="product_inventory_report",
+        sink=SinkSpec(partition_by=("report_date",)),
+    )
     base = scratch_uri(spark, "dated")
-    path = None
     for date, threshold in (("2001-08-01", 40), ("2001-08-02", 30), ("2001-08-01", 20)):
-        report = plan_job(
+        done = run_job(
             spark,
-            "product_inventory_report",
+            spec,
             params={"report_date": date, "min_stock_threshold": threshold},
             connections=_connections(sf_dir),
+            base_uri=base,
         )
-        path = sinks.write_parquet(
-            report.withColumn("report_date", F.lit(date)),
-            base,
-            "product_inventory_report",
-            SinkSpec(partition_by=("report_date",)),
-        )
-    written = spark.read.parquet(path)
-    return written.withColumn("report_date", F.col("report_date").cast("string"))
+    return done.frame.withColumn("report_date", F.col("report_date").cast("string"))
 
 
 # Data quality

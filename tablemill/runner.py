@@ -15,6 +15,7 @@ from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tablemill import pipeline, sinks
 from tablemill.errors import SpecError
@@ -85,8 +86,16 @@ class TableJob:
         return self.transformed_df
 
     def result(self) -> DataFrame:
-        """The renamed result, still lazy."""
-        return rename_columns(self.transformed_df, self.spec.mapping, self.strict)
+        """The renamed result, still lazy.
+
+        A partition column that the query does not give is taken from the
+        parameter of that name, so a run-dated job needs no column for its date.
+        """
+        frame = rename_columns(self.transformed_df, self.spec.mapping, self.strict)
+        for name in self.spec.sink.partition_by:
+            if name not in frame.columns and self.params.get(name) is not None:
+                frame = frame.withColumn(name, F.lit(self.params[name]))
+        return frame
 
     @property
     def writes(self) -> bool:

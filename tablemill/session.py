@@ -6,18 +6,21 @@ import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+READ_SPLIT = "spark.sql.files.maxPartitionBytes"
 PARTITION_BYTES = 128 * 1024**2
 MAX_PARTITIONS = 32768
+MAX_READ_TASKS = 200_000
+MAX_SPLIT_BYTES = 1024**3
 # Sources without statistics report a size near the largest long.
 UNKNOWN_BYTES = 1 << 60
 
 # Shuffles start wide and AQE merges small partitions and splits skewed ones,
-# so one profile serves a laptop and a cluster; see size_shuffles.
+# so one profile serves a laptop and a cluster; see size_tasks.
 PROFILE = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -71,17 +74,28 @@ def input_bytes(frame: DataFrame) -> int | None:
     return sum(sizes) if all(size < UNKNOWN_BYTES for size in sizes) else None
 
 
-def size_shuffles(session: SparkSession, n_bytes: int) -> int:
-    """Let shuffles start with enough partitions for ``n_bytes`` of input.
+def unset_sizes(session: SparkSession) -> tuple[str, ...]:
+    """The size settings that the user has left open."""
+    return tuple(k for k in (INITIAL_PARTITIONS, READ_SPLIT) if session.conf.get(k, None) is None)
 
-    A fixed number suits one data size only: 200 partitions of a 100 TB shuffle
-    would hold 500 GB each. Adaptive execution merges what turns out small, so
-    starting too wide is cheap. ``spark.sql.shuffle.partitions`` is never undercut.
+
+def size_tasks(
+    session: SparkSession, n_bytes: int, settings: Iterable[str] = (INITIAL_PARTITIONS, READ_SPLIT)
+) -> None:
+    """Fit the number of tasks to ``n_bytes`` of input.
+
+    A fixed number of shuffle partitions suits one data size only: 200 for a
+    100 TB shuffle would hold 500 GB each. Adaptive execution merges what turns
+    out small, so starting wide is cheap; ``spark.sql.shuffle.partitions`` is
+    never undercut. Very large scans read longer splits, to keep the number of
+    map tasks, and with it the number of shuffle blocks, in bounds.
     """
     least = int(session.conf.get("spark.sql.shuffle.partitions"))
     wanted = max(least, min(-(-n_bytes // PARTITION_BYTES), MAX_PARTITIONS))
-    session.conf.set(INITIAL_PARTITIONS, str(wanted))
-    return wanted
+    split = max(PARTITION_BYTES, min(-(-n_bytes // MAX_READ_TASKS), MAX_SPLIT_BYTES))
+    values = {INITIAL_PARTITIONS: str(wanted), READ_SPLIT: str(split)}
+    for key in settings:
+        session.conf.set(key, values[key])
 
 
 def adopt(frame: DataFrame, session: SparkSession) -> DataFrame:

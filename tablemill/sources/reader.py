@@ -14,7 +14,7 @@ from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.errors import SpecError
-from tablemill.session import INITIAL_PARTITIONS, input_bytes, size_shuffles
+from tablemill.session import input_bytes, size_tasks, unset_sizes
 from tablemill.sources.connections import Connection
 from tablemill.spec import SourceSpec
 
@@ -52,7 +52,7 @@ class SourceReader:
 
     A label that is not configured falls back to ``default`` (the session's
     catalog unless told otherwise). With ``own_session`` the session serves this
-    reader only, and its shuffles are sized to the tables read.
+    reader only, and its tasks are sized to the tables read.
     """
 
     def __init__(
@@ -66,8 +66,7 @@ class SourceReader:
         self.connections = dict(connections or {})
         self.default = default
         self.input_paths: set[str] = set()
-        # A number of partitions that the user has set is left alone.
-        self._sizes = own_session and session.conf.get(INITIAL_PARTITIONS, None) is None
+        self._open_sizes = unset_sizes(session) if own_session else ()
         self._frames: dict[tuple[str, str], DataFrame] = {}
         self._bytes = 0
 
@@ -143,9 +142,9 @@ class SourceReader:
                 self._file_frame(connection, name).createOrReplaceTempView(name)
 
     def _sized(self, frame: DataFrame) -> DataFrame:
-        if self._sizes:
+        if self._open_sizes:
             self._bytes += input_bytes(frame) or 0
-            size_shuffles(self.session, self._bytes)
+            size_tasks(self.session, self._bytes, self._open_sizes)
         return frame
 
     def _file_frames(self, connection: Connection) -> dict[str, DataFrame]:

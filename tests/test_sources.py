@@ -8,7 +8,13 @@ import pytest
 from pyspark.errors import AnalysisException, ParseException
 
 from tablemill import Connection, SpecError, load_connections, pipeline
-from tablemill.session import INITIAL_PARTITIONS, job_session, size_shuffles
+from tablemill.session import (
+    INITIAL_PARTITIONS,
+    READ_SPLIT,
+    input_bytes,
+    job_session,
+    size_tasks,
+)
 from tablemill.sources import SourceReader, ad_hoc, read_sources, with_retries
 
 
@@ -183,19 +189,32 @@ def test_ad_hoc_names_its_jobs(spark):
     spark.sparkContext.setJobDescription(None)
 
 
-def test_shuffles_grow_with_the_input(spark, shop, tmp_path):
+def test_tasks_grow_with_the_input(spark, shop, tmp_path):
     session = job_session(spark)
-    assert size_shuffles(session, 1000) == 4
-    assert size_shuffles(session, 100 * 1024**3) == 800
-    assert session.conf.get(INITIAL_PARTITIONS) == "800"
-    assert size_shuffles(session, 100 * 1024**4) == 32768
+
+    def sizes(n_bytes):
+        size_tasks(session, n_bytes)
+        return int(session.conf.get(INITIAL_PARTITIONS)), int(session.conf.get(READ_SPLIT))
+
+    assert sizes(1000) == (4, 128 * 1024**2)
+    assert sizes(100 * 1024**3) == (800, 128 * 1024**2)
+    partitions, split = sizes(100 * 1024**4)
+    assert partitions == 32768 and 512 * 1024**2 < split < 1024**3
+    assert sizes(10**19)[1] == 1024**3
 
     shop["orders"].write.parquet(str(tmp_path / "orders"))
     connection = Connection("a", kind="files", base_path=str(tmp_path), tables={"orders": "orders"})
     session = job_session(spark)
+    session.conf.set(READ_SPLIT, "17m")
     SourceReader(session, {"a": connection}, own_session=True).table("orders", "a")
-    assert session.conf.get(INITIAL_PARTITIONS) == "4"
-    session.conf.set(INITIAL_PARTITIONS, "17")
-    SourceReader(session, {"a": connection}, own_session=True).table("orders", "a")
-    assert session.conf.get(INITIAL_PARTITIONS) == "17"
+    assert session.conf.get(INITIAL_PARTITIONS) == "4" and session.conf.get(READ_SPLIT) == "17m"
     assert spark.conf.get(INITIAL_PARTITIONS, None) is None
+
+
+def test_input_bytes(spark, shop, tmp_path):
+    path = str(tmp_path / "orders")
+    shop["orders"].write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "orders").glob("part-*.parquet"))
+    frame = spark.read.parquet(path)
+    assert input_bytes(frame) == size
+    assert input_bytes(frame.join(frame.select("order_id"), "order_id")) == 2 * size
