@@ -1,12 +1,19 @@
 """DataFrame operators."""
 
 from tablemill.operators.aggregates import totals_by_key, totals_over_join
-from tablemill.operators.joins import copies_per_key, existence_join, inner_join, left_join
+from tablemill.operators.joins import (
+    copies_per_key,
+    existence_join,
+    grouped_for_join,
+    inner_join,
+    left_join,
+)
 from tablemill.operators.projection import pick, rename_columns, require_unique_columns
 
 __all__ = [
     "copies_per_key",
     "existence_join",
+    "grouped_for_join",
     "inner_join",
     "left_join",
     "pick",

@@ -14,19 +14,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablemill.operators.joins import copies_per_key
+from tablemill.operators.joins import copies_per_key, grouped_for_join
 
 
-def totals_by_key(
-    facts: DataFrame,
-    keys: Sequence[str],
-    counts: dict[str, Column] | None = None,
-    sums: dict[str, Column] | None = None,
-    averages: dict[str, Column] | None = None,
-    distincts: dict[str, Column] | None = None,
-) -> DataFrame:
-    """COUNT, SUM, AVG and exact COUNT DISTINCT per key; NULLs are not counted."""
-    outputs = [
+Named = dict[str, Column]
+
+
+def _aggregates(
+    counts: Named | None, sums: Named | None, averages: Named | None, distincts: Named | None
+) -> list[Column]:
+    return [
         function(column).alias(name)
         for function, group in (
             (F.count, counts),
@@ -36,7 +33,18 @@ def totals_by_key(
         )
         for name, column in (group or {}).items()
     ]
-    return facts.groupBy(*keys).agg(*outputs)
+
+
+def totals_by_key(
+    facts: DataFrame,
+    keys: Sequence[str],
+    counts: Named | None = None,
+    sums: Named | None = None,
+    averages: Named | None = None,
+    distincts: Named | None = None,
+) -> DataFrame:
+    """COUNT, SUM, AVG and exact COUNT DISTINCT per key; NULLs are not counted."""
+    return facts.groupBy(*keys).agg(*_aggregates(counts, sums, averages, distincts))
 
 
 def totals_over_join(
@@ -44,10 +52,10 @@ def totals_over_join(
     facts: DataFrame,
     join_key: str,
     group_by: Sequence[str],
-    counts: dict[str, Column] | None = None,
-    sums: dict[str, Column] | None = None,
-    averages: dict[str, Column] | None = None,
-    distincts: dict[str, Column] | None = None,
+    counts: Named | None = None,
+    sums: Named | None = None,
+    averages: Named | None = None,
+    distincts: Named | None = None,
     keep_unmatched: bool = True,
 ) -> DataFrame:
     """Aggregate facts per dimension group over a left (or inner) join.
@@ -59,9 +67,13 @@ def totals_over_join(
     group_by = list(group_by)
     if join_key not in group_by:
         raise ValueError("group_by must include the join key")
-    per_key = totals_by_key(
-        facts.filter(F.col(join_key).isNotNull()), [join_key], counts, sums, averages, distincts
-    )
+    wanted = _aggregates(counts, sums, averages, distincts)
+    facts = facts.filter(F.col(join_key).isNotNull())
+    if group_by == [join_key]:
+        per_key = facts.groupBy(join_key).agg(*wanted)
+    else:
+        # A join key may come with many groups, so the join must stay splittable.
+        per_key = grouped_for_join(facts, [join_key], *wanted)
     groups = copies_per_key(dimension, group_by, "__copies")
     joined = groups.join(per_key, join_key, "left" if keep_unmatched else "inner")
     copies = F.col("__copies")

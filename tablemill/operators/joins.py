@@ -1,7 +1,12 @@
 """Joins that stay balanced when one key holds much of the data.
 
-An inner join needs no help: adaptive execution splits a hot partition on either
-side. It cannot split the right side of a left outer join, because every part
+Adaptive execution splits a hot partition on either side of an inner join, but
+only if the join reads both sides straight from a shuffle. A side grouped by the
+join key does not: its aggregate sits between the shuffle and the join.
+:func:`grouped_for_join` makes Spark shuffle such a side (one small row per key)
+once more and so keeps the join splittable.
+
+The right side of a left outer join cannot be split at all, because every part
 would have to know whether another part matched. :func:`left_join` is therefore
 written as an inner join plus an anti join against the distinct keys.
 """
@@ -20,6 +25,18 @@ def whole_key(keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(key).isNotNull() for key in keys])
 
 
+def grouped_for_join(frame: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """One row per key, ready to meet raw rows in a join on that key.
+
+    The hash of the key adds no group; it only makes the grouping's partitioning
+    differ from the join's.
+    """
+    keys = list(keys)
+    spread = frame.groupBy(*keys, F.xxhash64(*keys).alias("__spread"))
+    counted = spread.agg(*aggregates) if aggregates else spread.agg(F.count(F.lit(1)))
+    return counted.drop("__spread") if aggregates else counted.select(*keys)
+
+
 def inner_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner equi-join; each key column comes out once."""
     return left.join(right, list(keys), "inner")
@@ -31,14 +48,15 @@ def left_join(
     """Left outer equi-join for a large, possibly skewed right side.
 
     ``right_only_if`` is the part of the ON condition that concerns the right
-    side; left rows without a right row that passes it are kept.
+    side; left rows without a right row that passes it are kept. The right side
+    is read twice; if it is itself costly to compute, write it out first.
     """
     keys = list(keys)
     if right_only_if is not None:
         right = right.filter(right_only_if)
     matched = left.join(right, keys, "inner")
     # One row per key and task leaves the scan, however hot the key is.
-    present = right.select(*keys).filter(whole_key(keys)).distinct()
+    present = grouped_for_join(right.filter(whole_key(keys)), keys)
     unmatched = left.join(present, keys, "left_anti")
     extra = [field for field in right.schema.fields if field.name not in keys]
     return matched.unionByName(
@@ -47,7 +65,7 @@ def left_join(
 
 
 def copies_per_key(frame: DataFrame, keys: Sequence[str], name: str = "copies") -> DataFrame:
-    """How often each key occurs; stands for the frame in a join that only counts."""
+    """How often each key occurs."""
     return frame.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
@@ -65,4 +83,5 @@ def existence_join(
         return rows.join(lookup.select(*keys), keys, "left_semi").withColumn(
             "copies", F.lit(1).cast("bigint")
         )
-    return rows.join(copies_per_key(lookup, keys), keys, "inner")
+    copies = grouped_for_join(lookup, keys, F.count(F.lit(1)).alias("copies"))
+    return rows.join(copies, keys, "inner")

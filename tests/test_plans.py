@@ -6,6 +6,8 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as driver
+from tablemill import Connection, plan_job
+from tablemill import operators as op
 from tablemill.runner import explain_text
 
 
@@ -81,6 +83,92 @@ def test_left_join_has_no_outer_join_to_skew(large):
     assert set(re.findall(r"Join type: (\w+)", text)) == {"Inner", "LeftAnti"}
 
 
+@pytest.fixture
+def skewed(large, tmp_path):
+    """Tables where one product and one customer hold a third, and low skew limits."""
+    limits = {
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {key: large.conf.get(key, None) for key in limits}
+    for key, value in limits.items():
+        large.conf.set(key, value)
+    ids = large.range(0, 24000, 1, 8)
+    hot = "CASE WHEN id % 3 = 0 THEN 1 ELSE 1 + id % 997 END"
+    frames = {
+        "orders": ids.selectExpr(
+            "id AS order_id",
+            f"{hot} AS customer_id",
+            f"{hot} AS product_id",
+            "CAST(id AS DECIMAL(18, 2)) AS order_amount",
+            "DATE '2024-06-01' AS order_date",
+            "'COMPLETE' AS status",
+        ),
+        "products": ids.selectExpr(
+            f"{hot} AS product_id",
+            "CAST(id AS STRING) AS product_name",
+            "'c' AS category",
+            "1 AS stock_quantity",
+        ),
+        "customers": ids.selectExpr(
+            f"{hot} AS customer_id", "'n' AS customer_name", "1 AS total_spent", "true AS active"
+        ),
+    }
+    connections = {}
+    for name, frame in frames.items():
+        frame.write.parquet(f"{tmp_path}/{name}")
+    for label in ("order_headers", "order_lines"):
+        connections[label] = Connection(
+            label, kind="files", base_path=str(tmp_path), tables={n: n for n in frames}
+        )
+    yield large, frames, connections
+    for key, value in before.items():
+        large.conf.set(key, value) if value else large.conf.unset(key)
+
+
+def final_plan(frame):
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
+
+
+def test_customer_sales_split_a_hot_product(skewed):
+    spark, frames, connections = skewed
+    result = plan_job(spark, "customer_sales_summary", connections=connections)
+    assert "skew=true" in final_plan(result)
+    # Hot orders, products and customers all meet: the pairs are counted, not made.
+    hot = result.filter("cust_id = 1").collect()[0]
+    orders = frames["orders"].filter("product_id = 1 AND customer_id = 1").count()
+    products = frames["products"].filter("product_id = 1").count()
+    customers = frames["customers"].filter("customer_id = 1").count()
+    assert hot.num_orders == orders * products * customers > 10**11
+
+
+def test_product_sales_split_a_hot_product(skewed):
+    spark, frames, connections = skewed
+    result = plan_job(spark, "product_sales_summary", connections=connections)
+    text = final_plan(result)
+    assert "skew=true" in text, text
+    assert result.count() == 24000
+    hot = result.filter("prod_id = 1 AND prod_name = '0'").collect()[0]
+    assert hot.total_orders == frames["orders"].filter("product_id = 1").count()
+
+
+def test_hot_keys_are_split_in_operators(skewed):
+    spark, frames, _ = skewed
+    orders = frames["orders"].select("product_id", "order_id")
+    lookup = frames["products"].filter("product_name < '5'").select("product_id", "product_name")
+    for frame, n_split in (
+        (op.existence_join(orders, lookup, ["product_id"]), 1),
+        (op.left_join(orders, lookup.limit(300), ["product_id"]), 2),
+    ):
+        text = final_plan(frame)
+        assert text.count("skew=true") >= n_split, text
+
+
 def test_nested_unique_keys_share_a_shuffle(large):
     frame = driver.queries()["dq_unique_key"](large, SF_DIR)
     frame.collect()
