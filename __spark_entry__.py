@@ -363,7 +363,8 @@ def sink_run_dated_partition(spark, sf_dir):
             connections=_connections(sf_dir),
             base_uri=base,
         )
-    return done.frame.withColumn("report_date", F.col("report_date").cast("string"))
+    written = spark.read.parquet(done.location)
+    return written.withColumn("report_date", F.col("report_date").cast("string"))
 
 
 # Data quality

@@ -92,11 +92,18 @@ class TableJob:
         parameter of that name, so a run-dated job needs no column for its date.
         """
         frame = rename_columns(self.transformed_df, self.spec.mapping, self.strict)
-        for name in self.spec.sink.partition_by:
-            if name not in frame.columns and self.params.get(name) is not None:
-                frame = frame.withColumn(name, F.lit(self.params[name]))
+        for name, value in self.run_partition(frame).items():
+            frame = frame.withColumn(name, F.lit(value))
         return frame
 
+    def run_partition(self, frame: DataFrame) -> dict[str, Any]:
+        """Partition columns that hold one parameter value throughout the run."""
+        return {
+            name: self.params[name]
+            for name in self.spec.sink.partition_by
+            if name not in frame.columns and self.params.get(name) is not None
+        }
+
     @property
     def writes(self) -> bool:
         return bool(self.target_table and (self.base_uri or self.spec.sink.table))
@@ -129,7 +136,7 @@ class TableJob:
 
 @dataclass(frozen=True)
 class RunResult:
-    """What a run gave. ``frame`` reads the written output where there is one."""
+    """What a run gave. ``frame`` reads back what this run wrote, if it wrote."""
 
     job: str
     target: str | None
@@ -190,6 +197,8 @@ def run_job(
     log.info("%s: %d rows in %.1f s", job.job_name, metrics.rows, metrics.seconds)
     reader = job.spark.read
     written = reader.table(location) if job.spec.sink.table else reader.parquet(location)
+    for name, value in job.run_partition(job.transformed_df).items():
+        written = written.filter(F.col(name) == F.lit(value))
     checks = check(written, job.rules, job.sources) if job.rules else None
     return RunResult(job.job_name, job.target_table, written, location, metrics, checks)
 

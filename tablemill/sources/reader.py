@@ -50,8 +50,8 @@ def remote_literal(name: str, value: Any) -> str:
 class SourceReader:
     """Opens sources of one session through its connections.
 
-    A label that is not configured falls back to ``default`` (the session's
-    catalog unless told otherwise). With ``own_session`` the session serves this
+    Sources without a label use the connection labelled ``default``, or else the
+    session's catalog; so do labels that are not configured, with a warning. With ``own_session`` the session serves this
     reader only, and its tasks are sized to the tables read.
     """
 
@@ -59,18 +59,19 @@ class SourceReader:
         self,
         session: SparkSession,
         connections: Mapping[str, Connection] | None = None,
-        default: Connection = CATALOG,
         own_session: bool = False,
     ) -> None:
         self.session = session
         self.connections = dict(connections or {})
-        self.default = default
+        self.default = self.connections.get("default", CATALOG)
         self.input_paths: set[str] = set()
         self._open_sizes = unset_sizes(session) if own_session else ()
         self._frames: dict[tuple[str, str], DataFrame] = {}
         self._bytes = 0
 
     def connection(self, label: str | None) -> Connection:
+        if label is not None and label not in self.connections:
+            log.warning("connection %s is not configured, using %s", label, self.default.label)
         return self.connections.get(label, self.default)
 
     def read(self, source: SourceSpec, args: Mapping[str, Any] | None = None) -> DataFrame:

@@ -117,6 +117,21 @@ def test_run_into_a_catalog_table(spark, numbers):
     spark.sql("DROP SCHEMA dm CASCADE")
 
 
+def test_run_dated_partitions(spark, numbers, tmp_path):
+    spec = number_job(
+        params={"day": {"type": "date", "required": True}},
+        sink={"partition_by": "day"},
+        quality=[{"rule": "min_rows", "floor": 1}],
+    )
+    for day, limit in (("2024-01-01", 50), ("2024-01-02", 30), ("2024-01-01", 20)):
+        frames = {"numbers": numbers["numbers"].filter(f"n < {limit}")}
+        params = {"day": day}
+        done = run_job(spark, spec, params=params, frames=frames, base_uri=str(tmp_path))
+        assert done.frame.count() == done.metrics.rows == done.checks.collect()[0].n_rows == limit
+    counts = spark.read.parquet(done.location).groupBy("day").count().collect()
+    assert {str(r.day): r["count"] for r in counts} == {"2024-01-01": 20, "2024-01-02": 30}
+
+
 def test_run_refuses_to_overwrite_its_input(spark, numbers, tmp_path):
     from tablemill import Connection
 

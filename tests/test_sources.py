@@ -50,6 +50,17 @@ def test_connector_query_and_table():
     assert session.calls() == [("query", "SELECT 1"), ("table", "orders_table")]
 
 
+def test_default_connection(caplog):
+    session = Recorder()
+    default = Connection("default", kind="connector", format="bigquery", options={"project": "p"})
+    reader = SourceReader(session, {"default": default})
+    reader.table("orders_table")
+    assert caplog.text == ""
+    reader.query("SELECT 1", label="my_database")
+    assert session.calls() == [("table", "orders_table"), ("query", "SELECT 1")]
+    assert "my_database" in caplog.text
+
+
 def test_jdbc_reads_in_parts():
     session = Recorder()
     parts = {"partitionColumn": "id", "lowerBound": "0", "upperBound": "9", "numPartitions": "3"}
