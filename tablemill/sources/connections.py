@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 from typing import Any
 
@@ -20,7 +20,8 @@ class Connection:
 
     ``catalog``    names resolve in the session's catalog.
     ``files``      tables are folders or files under ``base_path``; ``views``
-                   are SQL over them, made in the order given.
+                   are SQL over them, made in the order given; ``schemas`` may
+                   give a table's columns as DDL, else Spark infers them.
     ``connector``  a Spark data source (``bigquery``, ``jdbc``, ...) that takes a
                    table name or a query as an option.
     """
@@ -31,6 +32,7 @@ class Connection:
     base_path: str | None = None
     tables: Mapping[str, str] = field(default_factory=dict)
     views: Mapping[str, str] = field(default_factory=dict)
+    schemas: Mapping[str, str] = field(default_factory=dict)
     options: Mapping[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -46,7 +48,7 @@ class Connection:
         cls, label: str, raw: Mapping[str, Any], base_path: str | None = None
     ) -> Connection:
         raw = dict(raw)
-        unknown = set(raw) - {"kind", "format", "base_path", "tables", "views", "options"}
+        unknown = set(raw) - {f.name for f in fields(cls) if f.name != "label"}
         if unknown:
             raise SpecError(f"connection {label}: unknown keys {sorted(unknown)}")
         if base_path and raw.get("kind") == "files":

@@ -129,7 +129,10 @@ class SourceReader:
             else:
                 path = connection.path_of(name)
                 self.input_paths.add(path)
-                self._frames[key] = self._sized(self._connector(connection).load(path))
+                files = self._connector(connection)
+                if name in connection.schemas:
+                    files = files.schema(connection.schemas[name])
+                self._frames[key] = self._sized(files.load(path))
         return self._frames[key]
 
     def _register(self, connection: Connection, sql: str, before: str | None = None) -> None:

@@ -105,6 +105,23 @@ def test_files_and_views(spark, shop, tmp_path):
     assert f"{tmp_path}/orders" in reader.input_paths
 
 
+@pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
+def test_file_formats_and_given_schemas(spark, tmp_path, fmt):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id int, word string")
+    rows.write.format(fmt).save(str(tmp_path / "t"))
+    connection = Connection(
+        "a",
+        kind="files",
+        format=fmt,
+        base_path=str(tmp_path),
+        tables={"t": "t"},
+        schemas={"t": "id INT, word STRING"},
+    )
+    frame = SourceReader(job_session(spark), {"a": connection}).table("t", "a")
+    assert frame.schema.simpleString() == "struct<id:int,word:string>"
+    assert sorted(map(tuple, frame.collect())) == [(1, "a"), (2, "b")]
+
+
 def test_catalog_is_the_default(spark, shop):
     session = job_session(spark)
     pipeline.transform(session, {"orders": shop["orders"]}, "SELECT 1")
