@@ -43,17 +43,26 @@ def inner_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFr
 
 
 def left_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], right_only_if: Column | None = None
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    right_only_if: Column | None = None,
+    staging: str | None = None,
 ) -> DataFrame:
     """Left outer equi-join for a large, possibly skewed right side.
 
     ``right_only_if`` is the part of the ON condition that concerns the right
-    side; left rows without a right row that passes it are kept. The right side
-    is read twice; if it is itself costly to compute, write it out first.
+    side; left rows without a right row that passes it are kept.
+
+    The right side is read twice. If it is itself costly, give a folder that all
+    executors share as ``staging``: it is written there at once and read back.
     """
     keys = list(keys)
     if right_only_if is not None:
         right = right.filter(right_only_if)
+    if staging:
+        right.write.parquet(staging)
+        right = right.sparkSession.read.schema(right.schema).parquet(staging)
     matched = left.join(right, keys, "inner")
     # One row per key and task leaves the scan, however hot the key is.
     present = grouped_for_join(right.filter(whole_key(keys)), keys)

@@ -50,6 +50,15 @@ def test_left_join_with_a_hot_key(spark):
     assert result == {1: 2 * hits[1], 2: 1, 3: 1, None: 1}
 
 
+def test_left_join_computes_a_staged_side_once(spark, tmp_path):
+    lf, rf = frames(spark, [(1, 1), (2, 2)], [(1, 5), (1, 6), (3, 7)])
+    seen = spark.sparkContext.accumulator(0)
+    counted = rf.mapInPandas(lambda parts: (seen.add(len(p)) or p for p in parts), rf.schema)
+    result = op.left_join(lf, counted, ["k"], F.col("b") > 5, str(tmp_path / "right"))
+    assert bag(result) == {(1, 1, 6): 1, (2, 2, None): 1}
+    assert seen.value == 3
+
+
 def test_left_join_on_two_keys(spark):
     lf = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, None, "c")], "x int, y int, l string")
     rf = spark.createDataFrame([(1, 1, "r"), (1, None, "s")], "x int, y int, r string")
