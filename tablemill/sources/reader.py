@@ -7,9 +7,11 @@ import logging
 import re
 import time
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 
@@ -127,12 +129,7 @@ class SourceReader:
                 self._register(connection, sql, before=name)
                 self._frames[key] = self.session.sql(sql)
             else:
-                path = connection.path_of(name)
-                self.input_paths.add(path)
-                files = self._connector(connection)
-                if name in connection.schemas:
-                    files = files.schema(connection.schemas[name])
-                self._frames[key] = self._sized(files.load(path))
+                self._open_tables(connection, [name])
         return self._frames[key]
 
     def _register(self, connection: Connection, sql: str, before: str | None = None) -> None:
@@ -141,9 +138,37 @@ class SourceReader:
         A word that is no table does no harm here. Plans are resolved at once, so
         another connection may give a name another meaning later.
         """
-        for name in connection.names_before(before):
-            if re.search(rf"\b{re.escape(name)}\b", sql, re.IGNORECASE):
-                self._file_frame(connection, name).createOrReplaceTempView(name)
+        names = [
+            name
+            for name in connection.names_before(before)
+            if re.search(rf"\b{re.escape(name)}\b", sql, re.IGNORECASE)
+        ]
+        self._open_tables(connection, [name for name in names if name in connection.tables])
+        for name in names:
+            self._file_frame(connection, name).createOrReplaceTempView(name)
+
+    def _open_tables(self, connection: Connection, names: list[str]) -> None:
+        """Open tables side by side: listing the files of a large one takes a while."""
+
+        def open_one(name: str) -> DataFrame:
+            files = self._connector(connection)
+            if name in connection.schemas:
+                files = files.schema(connection.schemas[name])
+            return files.load(connection.path_of(name))
+
+        names = [name for name in names if (connection.label, name) not in self._frames]
+        if len(names) > 1:
+            with ThreadPoolExecutor(min(8, len(names))) as pool:
+                tasks = [
+                    pool.submit(inheritable_thread_target(self.session)(open_one), name)
+                    for name in names
+                ]
+                frames = [task.result() for task in tasks]
+        else:
+            frames = [open_one(name) for name in names]
+        for name, frame in zip(names, frames):
+            self.input_paths.add(connection.path_of(name))
+            self._frames[connection.label, name] = self._sized(frame)
 
     def _sized(self, frame: DataFrame) -> DataFrame:
         if self._open_sizes:
