@@ -23,7 +23,7 @@ if str(ROOT) not in sys.path:
 
 from tablemill import functions as fn  # noqa: E402
 from tablemill import operators as op  # noqa: E402
-from tablemill import pipeline, quality, sinks  # noqa: E402
+from tablemill import quality, sinks, steps  # noqa: E402
 from tablemill.plans import shipped_job  # noqa: E402
 from tablemill.runner import plan_job, run_group, run_job  # noqa: E402
 from tablemill.session import job_session, scratch_uri  # noqa: E402
@@ -84,8 +84,8 @@ def source_query_completed_orders(spark, sf_dir):
 def source_table_products(spark, sf_dir):
     session = job_session(spark)
     sources = {"products": {"type": "table", "connection": "stock", "table": "products"}}
-    frames = pipeline.extract(session, sources, _connections(sf_dir))
-    return pipeline.transform(
+    frames = steps.extract(session, sources, _connections(sf_dir))
+    return steps.transform(
         session, frames, "SELECT product_id, product_name, category FROM products"
     )
 
@@ -210,7 +210,7 @@ def join_left_null_rejecting(spark, sf_dir):
         "sold": _completed(reader, "order_lines"),
     }
     return _doubles(
-        pipeline.transform(
+        steps.transform(
             reader.session,
             frames,
             "SELECT l.product_id, l.product_name, s.order_id, s.order_amount "

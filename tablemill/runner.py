@@ -17,7 +17,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill import pipeline, sinks
+from tablemill import sinks, steps
 from tablemill.errors import SpecError
 from tablemill.groups import JobGroups
 from tablemill.metrics import JobMetrics, collected, observed
@@ -112,7 +112,7 @@ class TableJob:
         """Write the renamed result, or show it when there is nowhere to write."""
         frame = self.result() if frame is None else frame
         log.info("%s: loading the result", self.job_name)
-        return pipeline.load(
+        return steps.load(
             frame,
             target_table=self.target_table,
             base_uri=self.base_uri,

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from tablemill import SinkSpec, SpecError, pipeline, sinks
+from tablemill import SinkSpec, SpecError, sinks, steps
 
 
 def bag(frame):
@@ -15,7 +15,7 @@ def bag(frame):
 
 def test_load_renames_and_writes(spark, tmp_path):
     frame = spark.createDataFrame([(1,), (2,)], "old_col int")
-    where = pipeline.load(frame, {"old_col": "new_col"}, "my_table", str(tmp_path))
+    where = steps.load(frame, {"old_col": "new_col"}, "my_table", str(tmp_path))
     assert where == f"{tmp_path}/my_table/"
     assert bag(spark.read.parquet(where)) == {(1,): 1, (2,): 1}
     assert spark.read.parquet(where).columns == ["new_col"]
@@ -23,7 +23,7 @@ def test_load_renames_and_writes(spark, tmp_path):
 
 @pytest.mark.parametrize("target, base", [(None, "/x"), ("t", None), (None, None), ("", "/x")])
 def test_preview_when_there_is_nowhere_to_write(spark, capsys, target, base):
-    assert pipeline.load(spark.range(30).toDF("n"), {"n": "m"}, target, base) is None
+    assert steps.load(spark.range(30).toDF("n"), {"n": "m"}, target, base) is None
     out = capsys.readouterr().out
     assert "|m " in out and "|19 " in out and "|20 " not in out
 
@@ -83,7 +83,7 @@ def test_only_written_partitions_are_replaced(spark, tmp_path):
 
 def test_namespaces_and_tables(spark):
     assert not sinks.namespace_exists(spark, "mart")
-    where = pipeline.load(spark.range(3), {"id": "n"}, "mart.numbers", sink=SinkSpec(table=True))
+    where = steps.load(spark.range(3), {"id": "n"}, "mart.numbers", sink=SinkSpec(table=True))
     assert where == "mart.numbers" and sinks.namespace_exists(spark, "mart")
     assert sinks.ensure_namespace(spark, "mart") is False
     sinks.write_table(spark.range(2), "mart.numbers")

@@ -7,7 +7,7 @@ from unittest.mock import MagicMock
 import pytest
 from pyspark.errors import AnalysisException, ParseException
 
-from tablemill import Connection, SpecError, load_connections, pipeline
+from tablemill import Connection, SpecError, load_connections, steps
 from tablemill.session import (
     INITIAL_PARTITIONS,
     READ_SPLIT,
@@ -124,7 +124,7 @@ def test_file_formats_and_given_schemas(spark, tmp_path, fmt):
 
 def test_catalog_is_the_default(spark, shop):
     session = job_session(spark)
-    pipeline.transform(session, {"orders": shop["orders"]}, "SELECT 1")
+    steps.transform(session, {"orders": shop["orders"]}, "SELECT 1")
     reader = SourceReader(session)
     assert reader.table("orders").count() == reader.query("SELECT * FROM orders").count()
 
