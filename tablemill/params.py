@@ -83,6 +83,8 @@ class ParamSpec:
 
     @classmethod
     def from_dict(cls, name: str, raw: Mapping[str, Any] | None) -> ParamSpec:
+        if not isinstance(raw or {}, Mapping):
+            raise ParameterError(f"parameter {name}: expected a mapping")
         raw = dict(raw or {})
         unknown = set(raw) - {"type", "default", "required", "optional"}
         if unknown:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import logging
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +58,12 @@ def _swap_in(session: SparkSession, staging: str, final: str) -> None:
         fs.delete(old, True)
 
 
+def _require_partition_columns(frame: DataFrame, sink: SinkSpec) -> None:
+    absent = [column for column in sink.partition_by if column not in frame.columns]
+    if absent:
+        raise SpecError(f"sink: no partition columns {absent} in the result")
+
+
 def write_parquet(
     frame: DataFrame,
     base_uri: str,
@@ -76,10 +83,8 @@ def write_parquet(
     path = target_path(base_uri, target)
     refuse_overlap(path, inputs)
     require_unique_columns(frame)
+    _require_partition_columns(frame, sink)
     if sink.partition_by:
-        absent = [c for c in sink.partition_by if c not in frame.columns]
-        if absent:
-            raise SpecError(f"sink: no partition columns {absent} in the result")
         (
             frame.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -99,13 +104,36 @@ def write_parquet(
     return path
 
 
+@contextlib.contextmanager
+def _partition_overwrite(session: SparkSession) -> Iterator[None]:
+    key = "spark.sql.sources.partitionOverwriteMode"
+    before = session.conf.get(key, None)
+    session.conf.set(key, "dynamic")
+    try:
+        yield
+    finally:
+        session.conf.unset(key) if before is None else session.conf.set(key, before)
+
+
 def write_table(frame: DataFrame, name: str, sink: SinkSpec = SinkSpec()) -> str:
-    """Overwrite a catalog table, making its namespace if there is none."""
+    """Overwrite a catalog table, making its namespace if there is none.
+
+    With ``partition_by`` an existing table keeps its other partitions.
+    """
     if not _IDENTIFIER.fullmatch(name):
         raise SpecError(f"table name {name!r} is not an identifier")
     require_unique_columns(frame)
+    _require_partition_columns(frame, sink)
+    session = frame.sparkSession
     if "." in name:
-        ensure_namespace(frame.sparkSession, name.rsplit(".", 1)[0])
+        ensure_namespace(session, name.rsplit(".", 1)[0])
+    if sink.partition_by and session.catalog.tableExists(name):
+        columns = session.table(name).columns
+        if set(columns) != set(frame.columns):
+            raise SpecError(f"table {name} has the columns {columns}, not {frame.columns}")
+        with _partition_overwrite(session):
+            frame.select(*columns).write.mode("overwrite").insertInto(name)
+        return name
     writer = frame.write.mode("overwrite").format("parquet")
     if sink.partition_by:
         writer = writer.partitionBy(*sink.partition_by)

@@ -64,6 +64,8 @@ class SinkSpec:
 
     @classmethod
     def from_dict(cls, raw: Mapping[str, Any] | None) -> SinkSpec:
+        if not isinstance(raw or {}, Mapping):
+            raise SpecError("sink: expected a mapping")
         raw = dict(raw or {})
         unknown = set(raw) - {"mode", "partition_by", "table"}
         if unknown:
@@ -97,9 +99,10 @@ class JobSpec:
         unknown = sorted(set(raw) - known)
         if unknown:
             raise SpecError(f"job spec: unknown keys {unknown}")
+        for section in ("sources", "query", "mapping", "params"):
+            if not isinstance(raw.get(section) or {}, Mapping):
+                raise SpecError(f"job spec: {section} must be a mapping")
         query = raw.get("query") or {}
-        if not isinstance(query, Mapping):
-            raise SpecError("job spec: query must be a mapping with sql and target_table")
         mapping = raw.get("mapping") or {}
         if not all(isinstance(k, str) and isinstance(v, str) for k, v in mapping.items()):
             raise SpecError("mapping: column names must be strings")

@@ -81,6 +81,18 @@ def test_run_calls_the_steps_in_order(spark, pair, caplog, capsys):
     assert len([r for r in caplog.records if r.levelname == "INFO"]) >= 2
 
 
+def test_load_alone(spark, tmp_path, capsys):
+    spec = {"query": {"target_table": "my_table"}, "mapping": {"old_col": "new_col"}}
+    job = TableJob(spark, spec, base_uri=str(tmp_path))
+    job.transformed_df = spark.createDataFrame([(1,)], "old_col int")
+    assert job.load() == f"{tmp_path}/my_table/"
+    assert spark.read.parquet(f"{tmp_path}/my_table").columns == ["new_col"]
+
+    job = TableJob(spark, {"query": {}, "mapping": {}})
+    job.transformed_df = spark.range(3)
+    assert job.load() is None and "|2 " in capsys.readouterr().out
+
+
 def test_star_join_cannot_be_written(spark, pair, tmp_path):
     with pytest.raises(SpecError, match="customer_id"):
         run_job(spark, JobSpec.from_dict(PAIR), frames=pair, base_uri=str(tmp_path))

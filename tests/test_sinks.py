@@ -101,3 +101,18 @@ def test_new_namespace_at_a_location(spark, tmp_path):
     sinks.write_table(spark.range(2), "placed.t")
     assert (tmp_path / "it's here" / "t").exists()
     spark.sql("DROP SCHEMA placed CASCADE")
+
+
+def test_partitions_of_a_table(spark):
+    sink = SinkSpec(table=True, partition_by=("day",))
+    for day, n in (("d1", 4), ("d2", 5), ("d1", 2)):
+        frame = spark.range(n).select(F.lit(day).alias("day"), "id")
+        sinks.write_table(frame, "parts.t", sink)
+    counts = spark.table("parts.t").groupBy("day").count()
+    assert bag(counts) == {("d1", 2): 1, ("d2", 5): 1}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode", None) is None
+    for columns in (("id",), ("id", "day", "more")):
+        wrong = spark.range(1).select(*[F.lit(1).alias(c) for c in columns])
+        with pytest.raises(SpecError):
+            sinks.write_table(wrong, "parts.t", sink)
+    spark.sql("DROP SCHEMA parts CASCADE")

@@ -48,7 +48,11 @@ def test_unknown_source_type(raw):
         {"sources": {"s": {"type": "query", "table": "t"}}},
         {"qurey": {}},
         {"query": "SELECT 1"},
+        {"query": {}, "sources": ["a"]},
         {"mapping": {"a": 1}},
+        {"mapping": ["a"]},
+        {"sink": "table"},
+        {"params": {"p": "2024-01-01"}},
         {"sink": {"mode": "append"}},
         {"params": {"p": {"type": "int"}}},
         {"params": {"p": {"type": "number", "default": 1}}},
