@@ -693,7 +693,10 @@ def oracle_sql() -> dict[str, str]:
             ]
         ),
         "dq_unique_key": " UNION ALL ".join(
-            [_unique("order_id", "o_orderkey"), _unique("order_id,product_id", "o_orderkey, l_partkey")]
+            [
+                _unique("order_id", "o_orderkey"),
+                _unique("order_id,product_id", "o_orderkey, l_partkey"),
+            ]
         ),
         "dq_orphan_key": _rule(
             "orphan_key",

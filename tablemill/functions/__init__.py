@@ -37,7 +37,8 @@ def guarded_ratio(numerator: Column, denominator: Column, digits: int = 2) -> Co
 
     Whole numbers are divided as decimals, so ties round exactly.
     """
-    return F.round(numerator * F.lit(1.0).cast("decimal(2,1)") / F.nullif(denominator, F.lit(0)), digits)
+    exact = numerator * F.lit(1.0).cast("decimal(2,1)")
+    return F.round(exact / F.nullif(denominator, F.lit(0)), digits)
 
 
 def since(moment: Column, first: Any) -> Column:

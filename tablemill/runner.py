@@ -17,7 +17,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablemill import sinks, steps
+from tablemill import steps
 from tablemill.errors import SpecError
 from tablemill.groups import JobGroups
 from tablemill.metrics import JobMetrics, collected, observed
@@ -271,5 +271,4 @@ __all__ = [
     "plan_job",
     "run_group",
     "run_job",
-    "sinks",
 ]

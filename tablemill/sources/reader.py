@@ -53,8 +53,9 @@ class SourceReader:
     """Opens sources of one session through its connections.
 
     Sources without a label use the connection labelled ``default``, or else the
-    session's catalog; so do labels that are not configured, with a warning. With ``own_session`` the session serves this
-    reader only, and its tasks are sized to the tables read.
+    session's catalog; so do labels that are not configured, with a warning. With
+    ``own_session`` the session serves this reader only, and its tasks are sized
+    to the tables read.
     """
 
     def __init__(
