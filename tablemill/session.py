@@ -20,15 +20,19 @@ MAX_SPLIT_BYTES = 1024**3
 UNKNOWN_BYTES = 1 << 60
 
 # Shuffles start wide and AQE merges small partitions and splits skewed ones,
-# so one profile serves a laptop and a cluster; see size_tasks.
+# so one profile serves a laptop and a cluster; see size_tasks. Settings given to
+# spark-submit come first.
 PROFILE = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
-    # Compiled stages are kept for the next run; the default 100 is less than a
-    # group of jobs needs.
+}
+
+# These can only be given before Spark starts. Compiled stages are kept for the
+# next run; the default of 100 is less than a group of jobs needs.
+START_PROFILE = {
     "spark.sql.codegen.cache.maxEntries": "1000",
     "spark.scheduler.mode": "FAIR",
 }
@@ -43,9 +47,13 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**PROFILE, **(settings or {})}.items():
+    for key, value in {**START_PROFILE, **(settings or {})}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    for key, value in PROFILE.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
 
 
 def job_session(spark: SparkSession) -> SparkSession:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tablemill import JobGroups, JobSpec, SpecError, TableJob, run_group, run_job
 from tablemill.__main__ import main
-from tablemill.session import adopt, job_session, scratch_uri
+from tablemill.session import PROFILE, adopt, build_session, job_session, scratch_uri
 
 PAIR = {
     "job_name": "pair",
@@ -180,6 +180,18 @@ def test_sessions_do_not_share_views(spark, numbers):
     assert [t.name for t in spark.catalog.listTables("global_temp") if "tablemill" in t.name] == []
 
 
+def test_profile_leaves_given_settings_alone(spark):
+    key, other = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.enabled"
+    spark.conf.set(key, "7MB")
+    try:
+        build_session()
+        assert spark.conf.get(key) == "7MB" and spark.conf.get(other) == "true"
+    finally:
+        for name in PROFILE:
+            if name != "spark.sql.session.timeZone":
+                spark.conf.unset(name)
+
+
 def test_scratch_is_in_the_shared_folder(spark):
     one, two = scratch_uri(spark, "x"), scratch_uri(spark, "x")
     assert one != two and one.startswith(spark.conf.get("spark.checkpoint.dir"))
