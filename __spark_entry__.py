@@ -30,6 +30,20 @@ from tablemill.session import job_session, scratch_uri  # noqa: E402
 from tablemill.sources import SourceReader, ad_hoc, load_connections  # noqa: E402
 from tablemill.spec import SinkSpec, SourceSpec  # noqa: E402
 
+# The operators on text corpora are a subpackage of their own and may be absent.
+try:
+    from tablemill.llm import queries as llm
+except ModuleNotFoundError as missing:
+    if missing.name != "tablemill.llm":
+        raise
+    llm = None
+try:
+    import corpus_pipeline
+except ModuleNotFoundError as missing:
+    if missing.name != "corpus_pipeline":
+        raise
+    corpus_pipeline = None
+
 SINCE = dt.date(2000, 1, 1)
 DONE = {"completed_status": "F"}
 SALES = {**DONE, "since": "2000-01-01"}
@@ -445,7 +459,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     jobs["job_product_sales_summary_keep_unmatched"] = _job(
         "product_sales_summary", keep_unmatched=True
     )
-    return {**{query.__name__: query for query in plain}, **jobs}
+    found = {**{query.__name__: query for query in plain}, **jobs}
+    if llm:
+        found |= llm.queries()
+    if llm and corpus_pipeline:
+        found["pipeline"] = corpus_pipeline.run
+    return found
 
 
 # The twins are written join first, aggregate after, so that they check the
@@ -576,7 +595,10 @@ def oracle_sql() -> dict[str, str]:
              COUNT(DISTINCT DATE_TRUNC('month', o_orderdate)) AS n_months
       FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F'
       GROUP BY c_custkey"""
-    return {
+    text = llm.oracle_sql() if llm else {}
+    if llm and corpus_pipeline and corpus_pipeline.ORACLE_SQL:
+        text["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return text | {
         "source_query_completed_orders": completed,
         "source_table_products": """
           SELECT p_partkey AS product_id, p_name AS product_name, p_brand AS category
