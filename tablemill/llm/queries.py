@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
-from .common import fold, table
+from . import exactdedup, linespread, mixing, toxicity
+from .common import UPPER, WORD, fold, table
+
+# The corpus has no column for the domain of a source; its number stands in for one.
+DOMAIN_SHARES = {("d0",): 3, ("d1",): 2, ("d0", "en"): 2}
+MIX_SHARE = 0.6
+MIX_EPOCHS = 2
+MIX_SEED = 20
+
+
+def source_domain(source: Column | str = "source") -> Column:
+    number = F.regexp_extract(F.col(source) if isinstance(source, str) else source, "([0-9])$", 1)
+    return F.when(number == "", "other").otherwise(F.concat(F.lit("d"), (number.cast("int") % 4)))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +31,126 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(
+        docs,
+        source_domain(),
+        F.col("lang"),
+        F.col("source"),
+        DOMAIN_SHARES,
+        share=MIX_SHARE,
+        max_epochs=MIX_EPOCHS,
+        seed=MIX_SEED,
+    ).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
+def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linespread.clean(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def queries() -> dict:
-    return {query.__name__: query for query in (op1_toxicity,)}
+    return {
+        query.__name__: query
+        for query in (op1_toxicity, op3_content_sort, op4_mixing, op10_line_spread)
+    }
+
+
+_DUPLICATES = f"""
+  WITH t AS (
+    SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS norm
+    FROM documents)
+  SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+         doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+  FROM t WINDOW w AS (PARTITION BY norm)"""
+
+_BLANKS = "chr(9) || chr(11) || chr(12) || chr(13) || ' '"
+
+
+def _line_spread(documents: str = "documents") -> str:
+    words = r"[\x09\x0B-\x0D\x20]+".join([WORD] * linespread.MIN_WORDS)
+    return f"""
+  WITH split AS (
+    SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM {documents}),
+  placed AS (
+    SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+    FROM split),
+  lines AS (
+    SELECT *, trim(line, {_BLANKS}) AS key FROM placed
+    WHERE regexp_matches(line, '{words}')),
+  spread AS (
+    SELECT key, min((doc_id, pos)) AS first FROM lines
+    GROUP BY key HAVING count(DISTINCT source) >= {linespread.MIN_SITES}),
+  gone AS (
+    SELECT doc_id, list(pos) AS removed FROM lines JOIN spread USING (key)
+    WHERE (doc_id, pos) <> first GROUP BY doc_id)
+  SELECT d.doc_id, len(parts) AS n_lines, coalesce(len(removed), 0) AS n_removed,
+         array_to_string(list_filter(parts, lambda p, i:
+           NOT coalesce(list_contains(removed, i), false)), chr(10)) AS text
+  FROM split AS d LEFT JOIN gone USING (doc_id)"""
+
+
+def _level(parent: str, above: str, keys: str, name: str, weight: str) -> str:
+    """The children of one level with their budgets; ``keys`` are the parent's columns."""
+    by = f"PARTITION BY {keys}" if keys else ""
+    path = f"{keys}, {name}" if keys else name
+    join = f"JOIN {above} USING ({keys})" if keys else f"CROSS JOIN {above}"
+    return f"""
+  {parent}_w AS (
+    SELECT * FROM (
+      SELECT {path}, CAST(sum(tokens) * {MIX_EPOCHS} AS BIGINT) AS room,
+             CAST(sum(tokens) AS BIGINT) AS tokens, CAST({weight} AS BIGINT) AS weight
+      FROM sums GROUP BY {path}) {join}),
+  {parent}_o AS (
+    SELECT *, room * (sum(weight) OVER a) + coalesce(sum(room) OVER b, 0) * weight
+              <= budget * weight AS is_full
+    FROM {parent}_w
+    WINDOW a AS ({by} ORDER BY room * 1000000 // weight, {name}
+                 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
+           b AS ({by} ORDER BY room * 1000000 // weight, {name}
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  {parent} AS (
+    SELECT {path}, CAST(CASE WHEN is_full THEN room ELSE
+             (budget - sum(CASE WHEN is_full THEN room ELSE 0 END) OVER w) * weight
+             // greatest(sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER w, 1)
+           END AS BIGINT) AS budget
+    FROM {parent}_o WINDOW w AS ({by}))"""
+
+
+_MIX = f"""
+  WITH t AS (
+    SELECT doc_id, lang AS language, source,
+           CASE WHEN regexp_extract(source, '([0-9])$', 1) = '' THEN 'other' ELSE 'd' ||
+             (CAST(regexp_extract(source, '([0-9])$', 1) AS INT) % 4) END AS domain,
+           len(regexp_extract_all(text, '{WORD}')) AS n
+    FROM documents),
+  sums AS (SELECT domain, language, source, sum(n) AS tokens FROM t GROUP BY ALL),
+  top AS (SELECT CAST(floor(sum(tokens) * CAST({MIX_SHARE} AS DOUBLE)) AS BIGINT) AS budget FROM sums),
+  {_level('l1', 'top', '', 'domain', "CASE domain WHEN 'd0' THEN 3 WHEN 'd1' THEN 2 ELSE 1 END")},
+  {_level('l2', 'l1', 'domain', 'language', "CASE WHEN domain = 'd0' AND language = 'en' THEN 2 ELSE 1 END")},
+  {_level('l3', 'l2', 'domain, language', 'source', '1')},
+  plan AS (
+    SELECT *, budget // greatest(tokens, 1) AS epochs, budget % greatest(tokens, 1) AS rest
+    FROM l3 JOIN sums USING (domain, language, source)),
+  placed AS (
+    SELECT t.*, epochs, rest,
+           sum(n) OVER (PARTITION BY domain, language, source
+             ORDER BY md5('{MIX_SEED}:' || CAST(epochs AS BIGINT) || ':' || doc_id), doc_id
+             RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+    FROM t JOIN plan USING (domain, language, source))
+  SELECT doc_id, domain, language AS lang, source, CAST(n AS BIGINT) AS n_tokens, epoch
+  FROM (SELECT *, unnest(range(CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT)))
+               AS epoch FROM placed)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_content_sort": _DUPLICATES,
+        "op4_mixing": _MIX,
+        "op10_line_spread": _line_spread(),
+    }
