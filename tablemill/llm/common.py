@@ -53,18 +53,21 @@ def with_text_results(
     frame: DataFrame,
     text: str,
     fields: Sequence[T.StructField],
-    make_kernel: Callable[[], Callable[[Piece], Sequence]],
+    make_kernel: Callable[..., Callable[[Piece], Sequence]],
     drop_text: bool = True,
+    beside: str | None = None,
 ) -> DataFrame:
     """Add columns that a kernel computes from whole texts; rows and other columns stay.
 
     ``make_kernel`` runs once per task; its result turns a Piece into one array
-    (or list) per field, with an entry per row. Columns travel by place, so
+    (or list) per field, with an entry per row. With ``beside`` it runs once per
+    batch and gets the batch's values of that column. Columns travel by place, so
     names that clash with the new ones, or differ in case only, do no harm; the
     caller gets the new columns last.
     """
     names = frame.columns
     at = names.index(text)
+    other = names.index(beside) if beside is not None else at
     kept = [i for i in range(len(names)) if not (drop_text and i == at)]
     boxed = frame.toDF(*(f"c{i}" for i in range(len(names))))
     schema = T.StructType(
@@ -78,6 +81,8 @@ def with_text_results(
         for batch in batches:
             if not batch.num_rows:
                 continue
+            if beside is not None:
+                kernel = make_kernel(np.array(batch.column(other).to_pylist(), object))
             kernel = kernel or make_kernel()
             parts = [kernel(piece) for piece in pieces(batch.column(at))]
             new = []
@@ -150,13 +155,6 @@ def counted(
     )
 
 
-def runs(values: np.ndarray) -> np.ndarray:
-    """Where runs of equal neighbours begin, with the length at the end."""
-    if not len(values):
-        return np.zeros(1, np.int64)
-    return np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]])
-
-
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application, if it was not submitted with it."""
     context = spark.sparkContext

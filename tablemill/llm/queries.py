@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, linespread, mixing, toxicity
+from . import bpe, exactdedup, linespread, mixing, perplexity, private, toxicity
 from .common import UPPER, WORD, fold, table
 
 # The corpus has no column for the domain of a source; its number stands in for one.
@@ -31,6 +31,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, own = perplexity.fit(docs)
+    return perplexity.verdicts(docs, model, own)
+
+
 def op3_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +55,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def word_tokenizer() -> str:
+    """Where the vocabulary file of the word tokenizer lies on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.round_trip(docs, word_tokenizer())
+
+
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.find(table(spark, sf_dir, "documents"))
+
+
 def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linespread.clean(table(spark, sf_dir, "documents"))
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
@@ -57,7 +79,15 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         query.__name__: query
-        for query in (op1_toxicity, op3_content_sort, op4_mixing, op10_line_spread)
+        for query in (
+            op1_toxicity,
+            op2_perplexity,
+            op3_content_sort,
+            op4_mixing,
+            op8_backtracking_bpe,
+            op9_weak_supervision,
+            op10_line_spread,
+        )
     }
 
 

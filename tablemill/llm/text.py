@@ -194,3 +194,14 @@ def add_counts(
         return key, count
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     return key[head], np.add.reduceat(count, head)
+
+
+def runs_of(*columns: np.ndarray) -> np.ndarray:
+    """Bounds of the runs of rows equal in all columns, with the length at the end."""
+    n = len(columns[0])
+    if not n:
+        return np.zeros(1, np.int64)
+    new = np.zeros(n - 1, bool)
+    for column in columns:
+        new |= column[1:] != column[:-1]
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [n]])
