@@ -168,3 +168,13 @@ def ship(spark: SparkSession) -> None:
     # Spark copies it to every executor, now and to those that come later.
     context.addPyFile(str(archive))
     context._tablemill_shipped = True
+
+
+def like_before(result: DataFrame, docs: DataFrame, where: str | None = None) -> DataFrame:
+    """The first columns of ``result``, named as in ``docs``; ``where`` may use new0, new1, ..."""
+    n = len(docs.columns)
+    names = [f"c{i}" if i < n else f"new{i - n}" for i in range(len(result.columns))]
+    boxed = result.toDF(*names)
+    if where:
+        boxed = boxed.where(where)
+    return boxed.select(*names[:n]).toDF(*docs.columns)

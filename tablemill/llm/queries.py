@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, linespread, mixing, perplexity, private, toxicity
+from . import bpe, exactdedup, linespread, mixing, partenum, perplexity, private, toxicity
 from .common import UPPER, WORD, fold, table
 
 # The corpus has no column for the domain of a source; its number stands in for one.
@@ -55,6 +55,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    like = partenum.Similarity(n=3, num=90, den=100)
+    linked = partenum.link(table(spark, sf_dir, "documents"), like)
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 def word_tokenizer() -> str:
     """Where the vocabulary file of the word tokenizer lies on this machine."""
     import public_tokenizers
@@ -84,6 +90,7 @@ def queries() -> dict:
             op2_perplexity,
             op3_content_sort,
             op4_mixing,
+            op5_partenum_join,
             op8_backtracking_bpe,
             op9_weak_supervision,
             op10_line_spread,
