@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import scratch_uri
-from .text import Piece, pieces
+from .text import Piece, add_counts, pieces
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -104,55 +104,51 @@ def counted(
     make_kernel: Callable[[], Callable],
     flush_at: int = 1 << 21,
     group: T.DataType | None = None,
+    extra: T.DataType | None = None,
 ) -> DataFrame:
     """Sum counts by key over a whole table, combining within tasks first.
 
     The kernel turns an Arrow batch into ``[(group, keys, counts), ...]``; the
-    frame returned has columns grp, key, n with one row per group and key.
+    frame returned has columns grp, key, n with one row per group and key. With
+    ``extra`` the kernel adds an array of values that depend on the key alone,
+    which become a column of that name.
     """
-    group = group or T.IntegerType()
-    schema = T.StructType(
-        [
-            T.StructField("grp", group),
-            T.StructField("key", key),
-            T.StructField("n", T.LongType()),
-        ]
-    )
+    fields = [
+        T.StructField("grp", group or T.IntegerType()),
+        T.StructField("key", key),
+        T.StructField("n", T.LongType()),
+    ]
+    if extra:
+        fields.append(T.StructField("extra", extra))
+    schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
-    from .text import add_counts
 
-    def emit(group_value, keys, counts):
-        for start in range(0, len(keys), 1 << 16):
-            part = slice(start, start + (1 << 16))
+    def emit(value, *columns):
+        for start in range(0, len(columns[0]), 1 << 16):
+            part = [column[start : start + (1 << 16)] for column in columns]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([group_value] * len(keys[part]), arrow.field(0).type),
-                    pa.array(keys[part], arrow.field(1).type),
-                    pa.array(counts[part], arrow.field(2).type),
-                ],
+                [pa.repeat(pa.scalar(value, arrow.field(0).type), len(part[0]))]
+                + [pa.array(c, arrow.field(i + 1).type) for i, c in enumerate(part)],
                 schema=arrow,
             )
 
     def run(batches):
         kernel, waiting = make_kernel(), {}
         for batch in batches:
-            for value, keys, counts in kernel(batch):
-                held = waiting.setdefault(value, [[], [], 0])
-                held[0].append(keys)
-                held[1].append(counts)
-                held[2] += len(keys)
-                if held[2] > flush_at:
-                    merged = add_counts(held[0], held[1])
-                    waiting[value] = [[merged[0]], [merged[1]], len(merged[0])]
+            for value, *columns in kernel(batch):
+                held = waiting.setdefault(value, [])
+                held.append(columns)
+                if sum(len(c[0]) for c in held) > flush_at:
+                    merged = add_counts(*zip(*held, strict=True))
+                    waiting[value] = [merged]
                     if len(merged[0]) > flush_at // 2:
                         yield from emit(value, *merged)
                         del waiting[value]
         for value, held in waiting.items():
-            yield from emit(value, *add_counts(held[0], held[1]))
+            yield from emit(value, *add_counts(*zip(*held, strict=True)))
 
-    return (
-        frame.mapInArrow(run, schema).groupBy("grp", "key").agg(F.sum("n").alias("n"))
-    )
+    sums = [F.sum("n").alias("n")] + ([F.min("extra").alias("extra")] if extra else [])
+    return frame.mapInArrow(run, schema).groupBy("grp", "key").agg(*sums)
 
 
 def ship(spark: SparkSession) -> None:

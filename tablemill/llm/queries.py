@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, linespread, mixing, partenum, perplexity, private, toxicity
+from . import (
+    bpe,
+    brown,
+    exactdedup,
+    linespread,
+    mixing,
+    partenum,
+    perplexity,
+    private,
+    secretscan,
+    toxicity,
+)
 from .common import UPPER, WORD, fold, table
 
 # The corpus has no column for the domain of a source; its number stands in for one.
@@ -61,6 +72,25 @@ def op5_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", "n_shingles", "component_id")
 
 
+def op6_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id") == 1, F.lit(False))
+    model, counts = brown.fit(docs.where(~held_out))
+    return brown.score(docs, model, counts).select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+def op7_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.scan(table(spark, sf_dir, "documents"))
+
+
 def word_tokenizer() -> str:
     """Where the vocabulary file of the word tokenizer lies on this machine."""
     import public_tokenizers
@@ -91,6 +121,8 @@ def queries() -> dict:
             op3_content_sort,
             op4_mixing,
             op5_partenum_join,
+            op6_brown_classes,
+            op7_trigram_index,
             op8_backtracking_bpe,
             op9_weak_supervision,
             op10_line_spread,

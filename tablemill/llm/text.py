@@ -183,17 +183,16 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def add_counts(
-    keys: list[np.ndarray], counts: list[np.ndarray]
-) -> tuple[np.ndarray, np.ndarray]:
-    """Merge counts by key: sorted distinct keys and their sums."""
+def add_counts(keys, counts, *others) -> tuple[np.ndarray, ...]:
+    """Merge counts by key: sorted distinct keys, their sums, and other values of each key."""
     key, count = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
     key, count = key[order], count[order]
     if not len(key):
-        return key, count
+        return (key, count, *(np.concatenate(other) for other in others))
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[head], np.add.reduceat(count, head)
+    rest = [np.concatenate(other)[order][head] for other in others]
+    return (key[head], np.add.reduceat(count, head), *rest)
 
 
 def runs_of(*columns: np.ndarray) -> np.ndarray:
