@@ -244,7 +244,6 @@ def join_left_keep_unmatched(spark, sf_dir):
         ),
         ["product_id"],
         right_only_if=fn.since(F.col("order_date"), SINCE),
-        staging=scratch_uri(spark, "sold"),
     )
     return _doubles(joined.select("product_id", "product_name", "order_id", "order_amount"))
 

@@ -13,12 +13,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill.operators.joins import copies_per_key, grouped_for_join
 
 
 Named = dict[str, Column]
 
+WIDEST = 38
+
+
+def times(copies: Column, amount: Column, kind: T.DataType) -> Column:
+    """``copies * amount`` in the type of ``amount``, digit for digit.
+
+    Spark gives up digits after the point when a product of decimals could need
+    more than 38. Whole part and fraction are multiplied apart, where there is
+    room; a result too large for the type is an error, never rounded.
+    """
+    if not isinstance(kind, T.DecimalType):
+        return copies * amount
+    room = T.DecimalType(WIDEST - 1, kind.scale)
+    whole = F.when(amount >= 0, F.floor(amount)).otherwise(F.ceil(amount))
+    fraction = amount % F.lit(1).cast("decimal(1,0)")
+    few = copies.cast(T.DecimalType(WIDEST - 2 - max(kind.scale, 18), 0))
+    return ((whole * copies).cast(room) + (fraction * few).cast(room)).cast(kind)
+
 
 def _aggregates(
     counts: Named | None, sums: Named | None, averages: Named | None, distincts: Named | None
@@ -80,7 +99,7 @@ def totals_over_join(
     return joined.select(
         *group_by,
         *[(copies * F.coalesce(F.col(n), F.lit(0))).alias(n) for n in counts or {}],
-        *[(copies * F.col(n)).alias(n) for n in sums or {}],
+        *[times(copies, F.col(n), per_key.schema[n].dataType).alias(n) for n in sums or {}],
         # Repeating every fact equally changes neither a mean nor a set.
         *[F.col(n) for n in averages or {}],
         *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in distincts or {}],

@@ -19,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablemill.errors import SpecError
+
 
 def whole_key(keys: Sequence[str]) -> Column:
     """No part of the key is NULL."""
@@ -47,22 +49,26 @@ def left_join(
     right: DataFrame,
     keys: Sequence[str],
     right_only_if: Column | None = None,
-    staging: str | None = None,
 ) -> DataFrame:
     """Left outer equi-join for a large, possibly skewed right side.
 
     ``right_only_if`` is the part of the ON condition that concerns the right
     side; left rows without a right row that passes it are kept.
 
-    The right side is read twice. If it is itself costly, give a folder that all
-    executors share as ``staging``: it is written there at once and read back.
+    The right side is read twice, the second time only its keys and what its
+    filter needs.
     """
     keys = list(keys)
+    folded = {key.lower() for key in keys}
+    for side in (left, right):
+        lacking = [key for key in keys if key not in side.columns]
+        if lacking:
+            raise SpecError(f"left_join: no key columns {lacking} in {side.columns}")
+    shared = {c.lower() for c in left.columns} & {c.lower() for c in right.columns} - folded
+    if shared:
+        raise SpecError(f"left_join: both sides have the columns {sorted(shared)}; rename one")
     if right_only_if is not None:
         right = right.filter(right_only_if)
-    if staging:
-        right.write.parquet(staging)
-        right = right.sparkSession.read.schema(right.schema).parquet(staging)
     matched = left.join(right, keys, "inner")
     # One row per key and task leaves the scan, however hot the key is.
     present = grouped_for_join(right.filter(whole_key(keys)), keys)

@@ -50,8 +50,3 @@ def require_unique_columns(frame: DataFrame) -> DataFrame:
             f"columns {repeated} occur more than once; select or alias them in the SQL"
         )
     return frame
-
-
-def pick(frame: DataFrame, **columns: str) -> DataFrame:
-    """Select and alias in one step: ``pick(df, new="old", ...)``."""
-    return frame.select([F.col(_quoted(old)).alias(new) for new, old in columns.items()])

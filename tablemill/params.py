@@ -22,9 +22,11 @@ _SAFE = re.compile(r"[A-Za-z0-9_.\-]+")
 
 
 def _to_int(value: Any) -> int:
-    if isinstance(value, bool) or (isinstance(value, float) and not value.is_integer()):
+    # JSON numbers arrive as Decimal; int() would cut any fraction off.
+    whole = int(value)
+    if isinstance(value, bool) or (not isinstance(value, str) and value != whole):
         raise ValueError("not a whole number")
-    return int(value)
+    return whole
 
 
 def _to_bool(value: Any) -> bool:
@@ -103,7 +105,7 @@ class ParamSpec:
     def convert(self, value: Any) -> Any:
         try:
             return CONVERTERS[self.type](value)
-        except (ValueError, TypeError, InvalidOperation) as error:
+        except (ValueError, TypeError, InvalidOperation, OverflowError) as error:
             raise ParameterError(
                 f"parameter {self.name}: {value!r} is not a valid {self.type} ({error})"
             ) from error

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.errors import SpecError
-from tablemill.session import adopt
+from tablemill.session import adopt, settings_for
 from tablemill.spec import JobSpec
 
 log = logging.getLogger(__name__)
@@ -30,12 +30,17 @@ def transform(
     frames: Mapping[str, DataFrame],
     sql: str,
     args: Mapping[str, Any] | None = None,
+    settings: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """Register the frames and run one statement over them (lazily)."""
+    """Register the frames and run one statement over them (lazily).
+
+    ``settings`` hold while the statement is analysed, which is when types are decided.
+    """
     if not sql:
         raise SpecError("the job has no SQL")
     register_views(session, frames)
-    return session.sql(sql, args=dict(args or {}))
+    with settings_for(session, settings or {}):
+        return session.sql(sql, args=dict(args or {}))
 
 
 def shipped_jobs() -> list[str]:

@@ -116,7 +116,9 @@ def _violates(rule: Rule) -> Column:
     if rule.kind == "not_null":
         return column.isNull()
     if rule.kind == "allowed_values":
-        return ~column.isin(list(rule.options["values"]))
+        # NULL passes; in the list it would make the comparison unknown for all others.
+        values = [value for value in rule.options["values"] if value is not None]
+        return ~column.isin(values) if values else column.isNotNull()
     bounds = []
     if rule.options.get("low") is not None:
         bounds.append(column < F.lit(rule.options["low"]))

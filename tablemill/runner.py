@@ -11,11 +11,13 @@ import uuid
 from collections.abc import Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablemill import steps
 from tablemill.errors import SpecError
@@ -33,7 +35,8 @@ log = logging.getLogger(__name__)
 
 REPORT_SCHEMA = (
     "run_id string, environment string, job string, target string, status string, "
-    "n_rows bigint, started_at timestamp, seconds double, error string"
+    "n_rows bigint, n_nulls map<string, bigint>, n_failed_rules bigint, "
+    "started_at timestamp, seconds double, error string"
 )
 
 
@@ -82,7 +85,9 @@ class TableJob:
 
     def transform(self) -> DataFrame:
         log.info("%s: planning the query", self.job_name)
-        self.transformed_df = transform(self.spark, self.sources, self.spec.sql, self.params)
+        self.transformed_df = transform(
+            self.spark, self.sources, self.spec.sql, self.params, self.spec.settings
+        )
         return self.transformed_df
 
     def result(self) -> DataFrame:
@@ -91,7 +96,11 @@ class TableJob:
         A partition column that the query does not give is taken from the
         parameter of that name, so a run-dated job needs no column for its date.
         """
-        frame = rename_columns(self.transformed_df, self.spec.mapping, self.strict)
+        frame = self.transformed_df
+        for column, (source, summed) in self.spec.sum_types.items():
+            kind = self.sources[source].select(F.sum(summed)).schema[0].dataType
+            frame = frame.withColumn(column, F.col(column).cast(kind))
+        frame = rename_columns(frame, self.spec.mapping, self.strict)
         for name, value in self.run_partition(frame).items():
             frame = frame.withColumn(name, F.lit(value))
         return frame
@@ -145,6 +154,11 @@ class RunResult:
     metrics: JobMetrics | None = None
     checks: DataFrame | None = None
     explain: str | None = None
+    fails_on_rules: bool = False
+
+    def failed_rules(self) -> int | None:
+        """How many quality rules the written result breaks; None without rules."""
+        return None if self.checks is None else self.checks.where("not passed").count()
 
     @property
     def schema(self):
@@ -189,7 +203,13 @@ def run_job(
         job.load(frame)
         return RunResult(job.job_name, job.target_table, frame)
     require_unique_columns(frame)
+    by_run = job.run_partition(job.transformed_df)
+    by_query = [c for c in job.spec.sink.partition_by if c not in by_run]
     counted, observation = observed(frame)
+    # One entry per partition that the run writes.
+    parts = Observation()
+    if by_query:
+        counted = counted.observe(parts, F.collect_set(F.struct(*by_query)).alias("parts"))
     started = time.monotonic()
     with described(job.spark, f"job {job.job_name}"):
         location = job.load(counted)
@@ -197,10 +217,34 @@ def run_job(
     log.info("%s: %d rows in %.1f s", job.job_name, metrics.rows, metrics.seconds)
     reader = job.spark.read
     written = reader.table(location) if job.spec.sink.table else reader.parquet(location)
-    for name, value in job.run_partition(job.transformed_df).items():
+    for name, value in by_run.items():
         written = written.filter(F.col(name) == F.lit(value))
+    if by_query:
+        written = written.filter(_one_of(parts.get["parts"], frame.select(*by_query).schema))
     checks = check(written, job.rules, job.sources) if job.rules else None
-    return RunResult(job.job_name, job.target_table, written, location, metrics, checks)
+    return RunResult(
+        job.job_name,
+        job.target_table,
+        written,
+        location,
+        metrics,
+        checks,
+        fails_on_rules=job.spec.on_failed_rule == "fail",
+    )
+
+
+def _one_of(parts: list[Row], schema: T.StructType) -> Column:
+    """Rows of the partitions a run has written, as filters on partition columns."""
+
+    def same(part: Row) -> Column:
+        return reduce(
+            lambda a, b: a & b,
+            [F.col(f.name).eqNullSafe(F.lit(part[f.name]).cast(f.dataType)) for f in schema],
+        )
+
+    if len(schema) == 1 and all(part[0] is not None for part in parts):
+        return F.col(schema[0].name).isin([part[0] for part in parts])
+    return reduce(lambda a, b: a | b, [same(part) for part in parts], F.lit(False))
 
 
 def _params_for(spec: JobSpec, given: Mapping[str, Any]) -> dict[str, Any]:
@@ -225,6 +269,9 @@ def run_group(
     reported and does not stop the others. A parameter goes to each job that
     declares it and must be declared by at least one.
 
+    Quality rules are checked on every written result. A job that breaks one is
+    reported with their number, and as ``failed_quality`` if its spec says so.
+
     The report is one row per job; with ``report_uri`` it is appended there.
     """
     specs = dict(specs or {})
@@ -244,16 +291,24 @@ def run_group(
     def run_one(name: str) -> tuple:
         started, clock = dt.datetime.now(dt.timezone.utc), time.monotonic()
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
-        target = rows = error = None
+        target = rows = nulls = failed_rules = error = None
         try:
             done = run_job(spark, specs[name], params=_params_for(specs[name], given), **options)
             target, status = done.target, "planned" if done.explain else "succeeded"
-            rows = done.metrics.rows if done.metrics else None
+            if done.metrics:
+                rows, nulls = done.metrics.rows, dict(done.metrics.nulls)
+            failed_rules = done.failed_rules()
+            if failed_rules:
+                log.warning("job %s: %d quality rules failed", name, failed_rules)
+                status = "failed_quality" if done.fails_on_rules else status
         except Exception as problem:
             log.exception("job %s failed", name)
-            status, error = "failed", f"{type(problem).__name__}: {problem}"[:2000]
+            status, error = "failed", f"{type(problem).__name__}: {problem}"
         seconds = time.monotonic() - clock
-        return run_id, environment, name, target, status, rows, started, seconds, error
+        return (
+            *(run_id, environment, name, target, status, rows, nulls, failed_rules),
+            *(started, seconds, error),
+        )
 
     with ThreadPoolExecutor(max(1, min(max_parallel, len(names)))) as pool:
         tasks = [pool.submit(inheritable_thread_target(spark)(run_one), name) for name in names]

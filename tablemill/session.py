@@ -3,18 +3,38 @@
 from __future__ import annotations
 
 import contextlib
+import logging
+import os
 import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Mapping
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+
+# Settings of this package; any session may set them.
+PARTITION_BYTES_KEY = "tablemill.partitionBytes"
+MAX_PARTITIONS_KEY = "tablemill.maxPartitions"
+MAX_READ_TASKS_KEY = "tablemill.maxReadTasks"
+UNKNOWN_SOURCE_BYTES_KEY = "tablemill.unknownSourceBytes"
+
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 READ_SPLIT = "spark.sql.files.maxPartitionBytes"
-PARTITION_BYTES = 128 * 1024**2
-MAX_PARTITIONS = 32768
-MAX_READ_TASKS = 200_000
+DEFAULTS = {
+    # Shuffled bytes that suit one task.
+    PARTITION_BYTES_KEY: 128 * 1024**2,
+    # Every map task keeps a block per partition, so their number has a bound: a
+    # million holds 128 TB. It is logged when it bites.
+    MAX_PARTITIONS_KEY: 1_000_000,
+    # Scans of more files than this read longer splits.
+    MAX_READ_TASKS_KEY: 200_000,
+    # What a source is taken to hold if neither it nor its connection tells.
+    # Adaptive execution merges partitions that turn out small.
+    UNKNOWN_SOURCE_BYTES_KEY: 256 * 1024**3,
+}
 MAX_SPLIT_BYTES = 1024**3
 # Sources without statistics report a size near the largest long.
 UNKNOWN_BYTES = 1 << 60
@@ -47,7 +67,8 @@ def build_session(
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**START_PROFILE, **(settings or {})}.items():
+    start = {key: value for key, value in START_PROFILE.items() if not _submitted(key)}
+    for key, value in {**start, **(settings or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     for key, value in PROFILE.items():
@@ -56,6 +77,14 @@ def build_session(
     return spark
 
 
+def _submitted(key: str) -> bool:
+    """Whether a setting was given to spark-submit, where a builder would override it."""
+    if "PYSPARK_GATEWAY_PORT" in os.environ:
+        # The JVM that spark-submit started is there to be asked.
+        return SparkConf().contains(key)
+    return f"{key}=" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+
+
 def job_session(spark: SparkSession) -> SparkSession:
     """A session with its own temp views and ``spark``'s SQL settings.
 
@@ -65,13 +94,20 @@ def job_session(spark: SparkSession) -> SparkSession:
     timestamp to its month depends on it.
     """
     session = spark.newSession()
-    for key, value in spark.conf.getAll.items():
-        if key.startswith("spark.sql.") and session.conf.isModifiable(key):
-            session.conf.set(key, value)
-    session.conf.set("spark.sql.session.timeZone", "UTC")
+    fresh = session.conf.getAll
+    wanted = {**spark.conf.getAll, "spark.sql.session.timeZone": "UTC"}
+    for key, value in wanted.items():
+        # Most settings are the same already; each call to the JVM takes time.
+        if fresh.get(key) != value and key.startswith(("spark.sql.", "tablemill.")):
+            if key.startswith("tablemill.") or session.conf.isModifiable(key):
+                session.conf.set(key, value)
     return session
 
 
+def package_setting(session: SparkSession, key: str) -> int:
+    return int(session.conf.get(key, None) or DEFAULTS[key])
+
+
 def input_bytes(frame: DataFrame) -> int | None:
     """Size of the files or tables a frame reads, as Spark already knows it.
 
@@ -99,8 +135,17 @@ def size_tasks(
     map tasks, and with it the number of shuffle blocks, in bounds.
     """
     least = int(session.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(least, min(-(-n_bytes // PARTITION_BYTES), MAX_PARTITIONS))
-    split = max(PARTITION_BYTES, min(-(-n_bytes // MAX_READ_TASKS), MAX_SPLIT_BYTES))
+    each = package_setting(session, PARTITION_BYTES_KEY)
+    most = package_setting(session, MAX_PARTITIONS_KEY)
+    needed = -(-n_bytes // each)
+    if needed > most:
+        log.warning(
+            "%d bytes would need %d partitions of %d bytes; %s allows %d",
+            *(n_bytes, needed, each, MAX_PARTITIONS_KEY, most),
+        )
+    wanted = max(least, min(needed, most))
+    read_tasks = package_setting(session, MAX_READ_TASKS_KEY)
+    split = max(each, min(-(-n_bytes // read_tasks), MAX_SPLIT_BYTES))
     values = {INITIAL_PARTITIONS: str(wanted), READ_SPLIT: str(split)}
     for key in settings:
         session.conf.set(key, values[key])
@@ -119,6 +164,19 @@ def adopt(frame: DataFrame, session: SparkSession) -> DataFrame:
         frame.sparkSession.catalog.dropGlobalTempView(name)
 
 
+@contextlib.contextmanager
+def settings_for(session: SparkSession, settings: Mapping[str, str]) -> Iterator[None]:
+    """SQL settings that hold inside the block."""
+    before = {key: session.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            session.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            session.conf.unset(key) if value is None else session.conf.set(key, value)
+
+
 @contextlib.contextmanager
 def described(spark: SparkSession, text: str) -> Iterator[None]:
     """Label the Spark jobs of this block in the UI and event log."""

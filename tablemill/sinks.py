@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import contextlib
 import logging
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.errors import SpecError
 from tablemill.operators.projection import require_unique_columns
+from tablemill.session import settings_for
 from tablemill.spec import SinkSpec
 
 log = logging.getLogger(__name__)
@@ -20,11 +20,18 @@ _IDENTIFIER = re.compile(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*){0,2}")
 _TARGET = re.compile(r"[A-Za-z0-9_\-][A-Za-z0-9_.\-]*(/[A-Za-z0-9_\-][A-Za-z0-9_.\-]*)*")
 
 # Renaming a folder is one metadata step here; elsewhere it copies every object.
-RENAME_SCHEMES = ("", "file", "hdfs", "viewfs")
+RENAME_SCHEMES = ("file", "hdfs", "viewfs")
 
 
-def _plain(uri: str) -> str:
-    return re.sub(r"^file:/+", "/", uri).rstrip("/")
+def _file_system(session: SparkSession, uri: str) -> tuple:
+    """The Hadoop path of a URI and the file system that serves it."""
+    path = session._jvm.org.apache.hadoop.fs.Path(uri)
+    return path, path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf())
+
+
+def _qualified(session: SparkSession, uri: str) -> str:
+    path, fs = _file_system(session, uri)
+    return str(fs.makeQualified(path)).rstrip("/")
 
 
 def target_path(base_uri: str, target: str) -> str:
@@ -33,19 +40,23 @@ def target_path(base_uri: str, target: str) -> str:
     return f"{base_uri.rstrip('/')}/{target}/"
 
 
-def refuse_overlap(path: str, inputs: Iterable[str]) -> None:
-    """A job must not overwrite what it lazily reads."""
-    out = _plain(path)
-    for source in map(_plain, inputs):
+def refuse_overlap(session: SparkSession, path: str, inputs: Iterable[str]) -> None:
+    """A job must not overwrite what it lazily reads, however either path is written."""
+    out = _qualified(session, path)
+    for source in (_qualified(session, uri) for uri in inputs):
         if out == source or out.startswith(source + "/") or source.startswith(out + "/"):
             raise SpecError(f"target {path} overlaps the input {source}")
 
 
 def _swap_in(session: SparkSession, staging: str, final: str) -> None:
-    """Put a finished folder in place; on failure the old one is put back."""
+    """Put a finished folder in place; on failure the old one is put back.
+
+    Between the two renames there is no target for a moment, so a reader that
+    lists it just then finds nothing.
+    """
+    out, fs = _file_system(session, final)
     fs_path = session._jvm.org.apache.hadoop.fs.Path
-    new, out, old = fs_path(staging), fs_path(final), fs_path(staging + ".old")
-    fs = out.getFileSystem(session._jsparkSession.sessionState().newHadoopConf())
+    new, old = fs_path(staging), fs_path(staging + ".old")
     fs.mkdirs(out.getParent())
     replaced = fs.exists(out)
     if replaced and not fs.rename(out, old):
@@ -81,7 +92,7 @@ def write_parquet(
     and Spark itself stages them.
     """
     path = target_path(base_uri, target)
-    refuse_overlap(path, inputs)
+    refuse_overlap(frame.sparkSession, path, inputs)
     require_unique_columns(frame)
     _require_partition_columns(frame, sink)
     if sink.partition_by:
@@ -92,7 +103,7 @@ def write_parquet(
             .parquet(path)
         )
         return path
-    scheme = base_uri.split(":", 1)[0] if re.match(r"\w+:", base_uri) else ""
+    scheme = _file_system(frame.sparkSession, base_uri)[1].getScheme()
     staged = sink.mode == "staged" or (sink.mode == "auto" and scheme in RENAME_SCHEMES)
     if not staged:
         frame.write.mode("overwrite").parquet(path)
@@ -104,17 +115,6 @@ def write_parquet(
     return path
 
 
-@contextlib.contextmanager
-def _partition_overwrite(session: SparkSession) -> Iterator[None]:
-    key = "spark.sql.sources.partitionOverwriteMode"
-    before = session.conf.get(key, None)
-    session.conf.set(key, "dynamic")
-    try:
-        yield
-    finally:
-        session.conf.unset(key) if before is None else session.conf.set(key, before)
-
-
 def write_table(frame: DataFrame, name: str, sink: SinkSpec = SinkSpec()) -> str:
     """Overwrite a catalog table, making its namespace if there is none.
 
@@ -131,7 +131,7 @@ def write_table(frame: DataFrame, name: str, sink: SinkSpec = SinkSpec()) -> str
         columns = session.table(name).columns
         if set(columns) != set(frame.columns):
             raise SpecError(f"table {name} has the columns {columns}, not {frame.columns}")
-        with _partition_overwrite(session):
+        with settings_for(session, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
             frame.select(*columns).write.mode("overwrite").insertInto(name)
         return name
     writer = frame.write.mode("overwrite").format("parquet")

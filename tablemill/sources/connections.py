@@ -23,7 +23,7 @@ class Connection:
                    are SQL over them, made in the order given; ``schemas`` may
                    give a table's columns as DDL, else Spark infers them.
     ``connector``  a Spark data source (``bigquery``, ``jdbc``, ...) that takes a
-                   table name or a query as an option.
+                   table name or a query as an option; ``bytes`` says how much.
     """
 
     label: str
@@ -34,6 +34,8 @@ class Connection:
     views: Mapping[str, str] = field(default_factory=dict)
     schemas: Mapping[str, str] = field(default_factory=dict)
     options: Mapping[str, str] = field(default_factory=dict)
+    # About how many bytes one read gives, where the source itself does not tell.
+    bytes: int | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -56,7 +58,9 @@ class Connection:
         return cls(label=label, **raw)
 
     def path_of(self, table: str) -> str:
-        return f"{self.base_path.rstrip('/')}/{self.tables.get(table, table)}"
+        if table not in self.tables:
+            raise SpecError(f"connection {self.label}: no table or view named {table!r}")
+        return f"{self.base_path.rstrip('/')}/{self.tables[table]}"
 
     def names_before(self, view: str | None) -> list[str]:
         """Tables and views; with ``view`` only those it may build on."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import logging
 import re
@@ -12,11 +13,18 @@ from decimal import Decimal
 from typing import Any
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import ParseException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.errors import SpecError
-from tablemill.session import input_bytes, size_tasks, unset_sizes
+from tablemill.session import (
+    UNKNOWN_SOURCE_BYTES_KEY,
+    described,
+    input_bytes,
+    package_setting,
+    size_tasks,
+    unset_sizes,
+)
 from tablemill.sources.connections import Connection
 from tablemill.spec import SourceSpec
 
@@ -86,7 +94,7 @@ class SourceReader:
         connection = self.connection(label)
         if connection.kind == "connector":
             key = "dbtable" if connection.format == "jdbc" else "table"
-            return self._connector(connection).option(key, name).load()
+            return self._sized(self._connector(connection).option(key, name).load(), connection)
         if connection.kind == "files":
             return self._file_frame(connection, name)
         return self._sized(self.session.read.table(name))
@@ -116,8 +124,10 @@ class SourceReader:
         reader = self._connector(connection)
         # JDBC splits a read over executors only when it is given as a table.
         if "partitionColumn" in connection.options:
-            return reader.option("dbtable", f"({sql}) AS source_rows").load()
-        return reader.option("query", sql).load()
+            reader = reader.option("dbtable", f"({sql}) AS source_rows")
+        else:
+            reader = reader.option("query", sql)
+        return self._sized(reader.load(), connection)
 
     def _connector(self, connection: Connection):
         return self.session.read.format(connection.format).options(**connection.options)
@@ -169,28 +179,31 @@ class SourceReader:
             frames = [open_one(name) for name in names]
         for name, frame in zip(names, frames):
             self.input_paths.add(connection.path_of(name))
-            self._frames[connection.label, name] = self._sized(frame)
+            self._frames[connection.label, name] = self._sized(frame, connection)
 
-    def _sized(self, frame: DataFrame) -> DataFrame:
+    def _sized(self, frame: DataFrame, connection: Connection | None = None) -> DataFrame:
+        """Count a source's bytes: those it reports, else its connection's, else a wide guess."""
         if self._open_sizes:
-            self._bytes += input_bytes(frame) or 0
+            known = input_bytes(frame)
+            if known is None:
+                known = connection.bytes if connection else None
+            if known is None:
+                known = package_setting(self.session, UNKNOWN_SOURCE_BYTES_KEY)
+            self._bytes += known
             size_tasks(self.session, self._bytes, self._open_sizes)
         return frame
 
-    def _file_frames(self, connection: Connection) -> dict[str, DataFrame]:
-        frames = self._frames.get(connection.label)
-        if frames is None:
-            frames = {
-                name: self._load_files(connection, connection.path_of(name))
-                for name in connection.tables
-            }
-            for name, frame in frames.items():
-                frame.createOrReplaceTempView(name)
-            for name, sql in connection.views.items():
-                frames[name] = self.session.sql(sql)
-                frames[name].createOrReplaceTempView(name)
-            self._frames[connection.label] = frames
-        return frames
+
+# Errors of Spark's analysis that another attempt may cure: what is looked for
+# may appear. Every other one is a mistake in the statement.
+_MAY_APPEAR = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND")
+
+
+def is_mistake(error: Exception) -> bool:
+    """Whether the spec or the SQL is wrong, so that trying again cannot help."""
+    if isinstance(error, AnalysisException) and not isinstance(error, ParseException):
+        return (error.getCondition() or "").split(".")[0] not in _MAY_APPEAR
+    return isinstance(error, (SpecError, ParseException))
 
 
 def with_retries(
@@ -203,23 +216,22 @@ def with_retries(
     """Run ``action``; on failure wait 2, 4, 8, ... seconds, at most ``max_wait``.
 
     This covers planning and metadata calls only: reads are lazy, and Spark
-    itself repeats failed tasks. Mistakes in the spec or SQL are not repeated.
+    itself repeats failed tasks. Mistakes are not repeated, see :func:`is_mistake`.
     """
-    attempt = 0
-    while True:
+    waits = [min(2**n, max_wait) for n in range(1, retries + 1)]
+    for wait in [*waits, None]:
         try:
             return action()
-        except (SpecError, ParseException):
-            raise
         except Exception as error:
-            attempt += 1
-            log.error("reading %s failed, attempt %d: %s", what, attempt, error)
-            if attempt > retries:
-                log.critical("reading %s given up after %d attempts", what, attempt)
+            if is_mistake(error):
                 raise
-            wait = min(2**attempt, max_wait)
-            log.info("reading %s again in %s s", what, wait)
-            (sleep or time.sleep)(wait)
+            log.error("%s cannot be read: %s", what, error)
+            if wait is None:
+                log.critical("%s: all %d attempts failed", what, len(waits) + 1)
+                raise
+        log.info("%s: next attempt in %s s", what, wait)
+        (sleep or time.sleep)(wait)
+    raise AssertionError("unreachable")
 
 
 def read_sources(
@@ -251,7 +263,10 @@ def ad_hoc(
     label: str | None = None,
     job_id: str | None = None,
 ) -> DataFrame:
-    """Run one query outside any job; ``job_id`` names its Spark jobs."""
-    if job_id:
-        reader.session.sparkContext.setJobDescription(job_id)
-    return reader.query(sql, args, label)
+    """Run one query outside any job.
+
+    ``job_id`` names the Spark jobs that planning starts; the result is lazy, so
+    use :func:`tablemill.session.described` around the action to name those, too.
+    """
+    with described(reader.session, job_id) if job_id else contextlib.nullcontext():
+        return reader.query(sql, args, label)

@@ -90,22 +90,43 @@ class JobSpec:
     params: Mapping[str, ParamSpec] = field(default_factory=dict)
     sink: SinkSpec = SinkSpec()
     quality: tuple[Mapping[str, Any], ...] = ()
+    # What a failed quality rule does to a run: "report" it or "fail" the job.
+    on_failed_rule: str = "report"
+    # SQL settings that hold while the job's statement is analysed.
+    settings: Mapping[str, str] = field(default_factory=dict)
+    # Result columns that have the type of a sum: column -> (source, its column).
+    sum_types: Mapping[str, tuple[str, str]] = field(default_factory=dict)
 
     @classmethod
     def from_dict(cls, raw: Mapping[str, Any], default_name: str = "job") -> JobSpec:
         if not isinstance(raw, Mapping):
             raise SpecError("a job spec must be a mapping")
-        known = {"job_name", "sources", "query", "mapping", "params", "sink", "quality"}
+        known = {
+            *("job_name", "sources", "query", "mapping", "params", "sink", "quality"),
+            *("on_failed_rule", "settings", "sum_types"),
+        }
         unknown = sorted(set(raw) - known)
         if unknown:
             raise SpecError(f"job spec: unknown keys {unknown}")
-        for section in ("sources", "query", "mapping", "params"):
+        for section in ("sources", "query", "mapping", "params", "settings", "sum_types"):
             if not isinstance(raw.get(section) or {}, Mapping):
                 raise SpecError(f"job spec: {section} must be a mapping")
         query = raw.get("query") or {}
         mapping = raw.get("mapping") or {}
         if not all(isinstance(k, str) and isinstance(v, str) for k, v in mapping.items()):
             raise SpecError("mapping: column names must be strings")
+        on_failed_rule = raw.get("on_failed_rule", "report")
+        if on_failed_rule not in ("report", "fail"):
+            raise SpecError(f"on_failed_rule: {on_failed_rule!r} is neither report nor fail")
+        settings = {key: str(value) for key, value in (raw.get("settings") or {}).items()}
+        if not all(key.startswith("spark.sql.") for key in settings):
+            raise SpecError("settings: only spark.sql settings can be made for a job")
+        sum_types = {}
+        for column, origin in (raw.get("sum_types") or {}).items():
+            source, _, summed = str(origin).partition(".")
+            if source not in (raw.get("sources") or {}) or not summed:
+                raise SpecError(f"sum_types: {column} needs <source>.<column>, not {origin!r}")
+            sum_types[column] = (source, summed)
         return cls(
             job_name=str(raw.get("job_name") or default_name),
             sources={
@@ -121,6 +142,9 @@ class JobSpec:
             },
             sink=SinkSpec.from_dict(raw.get("sink")),
             quality=tuple(raw.get("quality") or ()),
+            on_failed_rule=on_failed_rule,
+            settings=settings,
+            sum_types=sum_types,
         )
 
     @classmethod

@@ -74,60 +74,3 @@ def shop_frames(spark, customers=CUSTOMERS, orders=ORDERS, products=PRODUCTS):
             "product_id bigint, product_name string, category string, stock_quantity int",
         ),
     }
-
-
-# The jobs with every join done row by row before anything is counted. They
-# define what the shipped jobs must return; columns carry the output names.
-_DEALS = "(SELECT * FROM orders WHERE status = 'COMPLETE')"
-_RECENT = "(SELECT * FROM orders WHERE status = 'COMPLETE' AND order_date >= '2024-01-01')"
-
-
-def _sold(join: str) -> str:
-    return f"""
-        WITH pairs AS (
-          SELECT item.product_id AS prod_id, product_name AS prod_name,
-                 category AS prod_category, order_id, order_amount
-          FROM products AS item {join} JOIN {_RECENT} AS deal
-            ON deal.product_id = item.product_id)
-        SELECT prod_id, prod_name, prod_category,
-               count(order_id) AS total_orders,
-               sum(order_amount) AS revenue_total,
-               mean(order_amount) AS average_order_value
-        FROM pairs GROUP BY ALL"""
-
-
-PLAIN_SQL = {
-    "customer_order_frequency": f"""
-        WITH pairs AS (
-          SELECT buyer.customer_id AS cust_id, order_id, trunc(order_date, 'MM') AS month
-          FROM customers AS buyer LEFT JOIN {_DEALS} AS deal
-            ON deal.customer_id = buyer.customer_id
-          WHERE active),
-        totals AS (
-          SELECT cust_id, count(order_id) AS n, count(DISTINCT month) AS m
-          FROM pairs GROUP BY cust_id)
-        SELECT cust_id, n AS total_order_count, m AS months_active,
-               CASE WHEN m > 0 THEN round(CAST(n AS DECIMAL(20, 1)) / m, 2) END
-                 AS avg_monthly_orders
-        FROM totals""",
-    "customer_sales_summary": f"""
-        WITH buyers AS (
-          SELECT customer_id AS cust_id,
-                 if(total_spent > 10000, 'Platinum', if(total_spent > 5000, 'Gold', 'Silver'))
-                   AS tier
-          FROM customers AS buyer WHERE active),
-        pairs AS (
-          SELECT cust_id, tier, order_id, order_amount
-          FROM {_RECENT} AS deal, buyers, products AS item
-          WHERE item.product_id = deal.product_id AND cust_id = deal.customer_id)
-        SELECT cust_id, tier, count(order_id) AS num_orders, sum(order_amount) AS sales_total
-        FROM pairs GROUP BY ALL""",
-    "product_sales_summary": _sold("INNER"),
-    "product_sales_summary/keep_unmatched": _sold("LEFT"),
-    "product_inventory_report": """
-        SELECT product_id AS prod_id, product_name AS prod_name, category AS prod_category,
-               stock_quantity AS qty_in_stock,
-               if(stock_quantity > 30, 'Normal', if(stock_quantity > 10, 'Low', 'Critical'))
-                 AS stock_alert_level
-        FROM products WHERE stock_quantity <= 50""",
-}

@@ -112,3 +112,10 @@ def test_wrong_checks(shop):
         check(shop["orders"], [])
     with pytest.raises(SpecError, match="products"):
         check(shop["orders"], [dq.orphan_key("product_id", "products")])
+
+
+def test_null_among_allowed_values(spark):
+    frame = spark.createDataFrame([("A",), ("B",), (None,)], "c string")
+    for values, failed in ((["A", None], 1), (["A", "B"], 0), ([None], 2)):
+        found = dq.check(frame, [dq.allowed_values("c", values)]).first()
+        assert (found.n_failed, found.passed) == (failed, failed == 0)

@@ -14,11 +14,11 @@ def bag(frame):
 
 
 def test_load_renames_and_writes(spark, tmp_path):
-    frame = spark.createDataFrame([(1,), (2,)], "old_col int")
-    where = steps.load(frame, {"old_col": "new_col"}, "my_table", str(tmp_path))
-    assert where == f"{tmp_path}/my_table/"
-    assert bag(spark.read.parquet(where)) == {(1,): 1, (2,): 1}
-    assert spark.read.parquet(where).columns == ["new_col"]
+    frame = spark.sql("SELECT 'kelp' AS plant, 2.5D AS metres UNION ALL SELECT 'dulse', NULL")
+    where = steps.load(frame, {"metres": "length"}, "plants/north", str(tmp_path))
+    written = spark.read.parquet(where)
+    assert where == f"{tmp_path}/plants/north/" and written.columns == ["plant", "length"]
+    assert bag(written) == {("kelp", 2.5): 1, ("dulse", None): 1}
 
 
 @pytest.mark.parametrize("target, base", [(None, "/x"), ("t", None), (None, None), ("", "/x")])

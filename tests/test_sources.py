@@ -2,14 +2,19 @@
 
 import datetime as dt
 import logging
-from unittest.mock import MagicMock
+import sys
+from collections import Counter
 
 import pytest
-from pyspark.errors import AnalysisException, ParseException
+from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 
-from tablemill import Connection, SpecError, load_connections, steps
+from pyspark.sql.datasource import DataSource, DataSourceReader
+
+from tablemill import Connection, JobSpec, SpecError, TableJob, load_connections, steps
 from tablemill.session import (
     INITIAL_PARTITIONS,
+    MAX_PARTITIONS_KEY,
     READ_SPLIT,
     input_bytes,
     job_session,
@@ -18,68 +23,133 @@ from tablemill.session import (
 from tablemill.sources import SourceReader, ad_hoc, read_sources, with_retries
 
 
-class Recorder:
-    """Stands in for a session whose connector jar is not here."""
+# Executors do not have this file.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-    def __init__(self):
-        self.chain = MagicMock()
-        self.chain.option.return_value = self.chain
-        self.chain.options.return_value = self.chain
-        self.chain.format.return_value = self.chain
-        self.read = self.chain
 
-    def calls(self):
-        return [c.args for c in self.chain.option.call_args_list]
+class Tides(DataSource):
+    """A connector of our own: tells what it was asked for, row by row."""
+
+    @classmethod
+    def name(cls):
+        return "tides"
+
+    def schema(self):
+        return "asked string, text string, station string, level double"
+
+    def reader(self, schema):
+        return TideReader(dict(self.options))
+
+
+class TideReader(DataSourceReader):
+    def __init__(self, options):
+        self.options = options
+
+    def read(self, partition):
+        asked = next(k for k in ("query", "table", "dbtable") if k in self.options)
+        station = self.options.get("station", "-")
+        for level in (0.5, 1.5, 2.5):
+            yield asked, self.options[asked], station, level
+
 
+def tides(session, label="coast", **more):
+    session.dataSource.register(Tides)
+    return {label: Connection(label, kind="connector", format="tides", **more)}
 
-def remote(fmt="bigquery", **options):
-    return {"w": Connection("w", kind="connector", format=fmt, options=options)}
 
+def asked(frame):
+    row = frame.first()
+    return row.asked, row.text
 
-def test_connector_query_and_table():
-    session = Recorder()
-    reader = SourceReader(session, remote(project="p"))
-    read_sources(
-        reader,
+
+def test_connector_query_and_table(spark):
+    session = job_session(spark)
+    frames = read_sources(
+        SourceReader(session, tides(session, options={"station": "north"})),
         {
-            "customers": {"type": "query", "query": "SELECT 1", "connection": "w"},
-            "orders": {"type": "table", "query": "orders_table", "connection": "w"},
+            "high": {"type": "query", "query": "SELECT high water", "connection": "coast"},
+            "all": {"type": "table", "table": "levels", "connection": "coast"},
         },
     )
-    session.chain.options.assert_called_with(project="p")
-    assert session.calls() == [("query", "SELECT 1"), ("table", "orders_table")]
+    assert asked(frames["high"]) == ("query", "SELECT high water")
+    assert asked(frames["all"]) == ("table", "levels")
+    assert {r.station for f in frames.values() for r in f.collect()} == {"north"}
 
 
-def test_default_connection(caplog):
-    session = Recorder()
-    default = Connection("default", kind="connector", format="bigquery", options={"project": "p"})
-    reader = SourceReader(session, {"default": default})
-    reader.table("orders_table")
-    assert caplog.text == ""
-    reader.query("SELECT 1", label="my_database")
-    assert session.calls() == [("table", "orders_table"), ("query", "SELECT 1")]
-    assert "my_database" in caplog.text
+def test_a_job_on_a_connector(spark, tmp_path):
+    """From the connector to the written result, with tasks sized to the connection's hint."""
+    session = job_session(spark)
+    spec = JobSpec.from_dict(
+        {
+            "job_name": "mean_level",
+            "sources": {"levels": {"type": "table", "table": "levels", "connection": "coast"}},
+            "query": {
+                "sql": "SELECT station, AVG(level) AS level FROM levels GROUP BY station",
+                "target_table": "mean_level",
+            },
+        }
+    )
+    for hint, partitions in ((500 * 1024**3, 4000), (None, 2048)):
+        connections = tides(session, bytes=hint)
+        session.conf.unset(INITIAL_PARTITIONS)
+        job = TableJob(
+            session, spec, connections=connections, base_uri=str(tmp_path), own_session=True
+        )
+        where = job.run()
+        assert int(session.conf.get(INITIAL_PARTITIONS)) == partitions
+        assert [tuple(r) for r in spark.read.parquet(where).collect()] == [("-", 1.5)]
+
+
+def test_default_connection(spark, caplog):
+    session = job_session(spark)
+    reader = SourceReader(session, tides(session, "default"))
+    assert asked(reader.table("levels")) == ("table", "levels")
+    assert "not configured" not in caplog.text
+    assert asked(reader.query("SELECT low", label="harbour")) == ("query", "SELECT low")
+    assert "harbour" in caplog.text
+
+
+class Jdbc:
+    """Notes the options of a read whose driver is not here."""
+
+    def __init__(self):
+        self.seen = {}
+
+    read = property(lambda self: self)
+
+    def format(self, name):
+        return self
+
+    def options(self, **options):
+        return self
+
+    def option(self, key, value):
+        self.seen[key] = value
+        return self
+
+    def load(self):
+        return self
 
 
 def test_jdbc_reads_in_parts():
-    session = Recorder()
     parts = {"partitionColumn": "id", "lowerBound": "0", "upperBound": "9", "numPartitions": "3"}
-    reader = SourceReader(session, remote("jdbc", **parts))
-    reader.query("SELECT id FROM t", label="w")
-    reader.table("t", "w")
-    assert session.calls() == [("dbtable", "(SELECT id FROM t) AS source_rows"), ("dbtable", "t")]
+    for call, expected in (
+        (lambda r: r.query("SELECT id FROM t", label="w"), "(SELECT id FROM t) AS source_rows"),
+        (lambda r: r.table("t", "w"), "t"),
+    ):
+        session = Jdbc()
+        call(SourceReader(session, {"w": Connection("w", "connector", "jdbc", options=parts)}))
+        assert session.seen == {"dbtable": expected}
 
 
-def test_remote_parameters_become_literals():
-    session = Recorder()
-    reader = SourceReader(session, remote())
+def test_remote_parameters_become_literals(spark):
+    session = job_session(spark)
+    reader = SourceReader(session, tides(session))
     args = {"n": 5, "day": dt.date(2024, 1, 1), "word": "a :n b", "off": None, "yes": True}
-    reader.query("SELECT :n, :day, :word, :off, :yes, x::n, :nn", args, "w")
-    assert session.calls() == [
-        ("query", "SELECT 5, DATE '2024-01-01', 'a :n b', NULL, TRUE, x::n, :nn")
-    ]
+    frame = reader.query("SELECT :n, :day, :word, :off, :yes, x::n, :nn", args, "coast")
+    assert asked(frame)[1] == "SELECT 5, DATE '2024-01-01', 'a :n b', NULL, TRUE, x::n, :nn"
     with pytest.raises(SpecError):
-        reader.query("SELECT :word", {"word": "x' OR '1'='1"}, "w")
+        reader.query("SELECT :word", {"word": "x' OR '1'='1"}, "coast")
 
 
 def test_files_and_views(spark, shop, tmp_path):
@@ -103,6 +173,8 @@ def test_files_and_views(spark, shop, tmp_path):
     assert reader.table("orders", "a").columns == ["id"]
     assert reader.table("orders", "b").count() == one.count()
     assert f"{tmp_path}/orders" in reader.input_paths
+    with pytest.raises(SpecError, match="nothing"):
+        reader.table("nothing", "a")
 
 
 @pytest.mark.parametrize("fmt", ["parquet", "orc", "json", "csv"])
@@ -156,44 +228,47 @@ def test_connections_file(tmp_path):
         Connection("x", kind="ftp")
 
 
-def test_retry_waits_then_raises_the_last_error(caplog):
-    waits, tries = [], []
-
-    def fail():
-        tries.append(1)
-        raise OSError(f"load failed {len(tries)}")
-
-    with caplog.at_level(logging.INFO), pytest.raises(OSError, match="load failed 4"):
-        with_retries(fail, "x", sleep=waits.append)
-    assert waits == [2, 4, 8]
-    levels = [r.levelname for r in caplog.records]
-    assert levels.count("ERROR") == 4 and levels.count("CRITICAL") == 1
+def flaky(failures, error=OSError):
+    """An action that fails so many times, and the list of its calls."""
+    calls = []
 
+    def action():
+        calls.append(len(calls))
+        if len(calls) <= failures:
+            raise error(f"failure {len(calls)}")
+        return "frame"
 
-def test_retry_cap_and_recovery():
-    waits, tries = [], []
+    return action, calls
 
-    def third_time():
-        tries.append(1)
-        if len(tries) < 3:
-            raise OSError("busy")
-        return "frame"
 
-    assert with_retries(third_time, "x", max_wait=3, sleep=waits.append) == "frame"
-    assert waits == [2, 3]
+@pytest.mark.parametrize(
+    "failures, retries, max_wait, waits",
+    [(0, 3, 60, []), (2, 3, 60, [2, 4]), (3, 3, 60, [2, 4, 8]), (3, 5, 3, [2, 3, 3])],
+)
+def test_retries_until_it_works(failures, retries, max_wait, waits):
+    action, calls = flaky(failures)
+    waited = []
+    assert with_retries(action, "x", retries, max_wait, waited.append) == "frame"
+    assert waited == waits and len(calls) == failures + 1
 
 
-@pytest.mark.parametrize("error", [SpecError("wrong"), ParseException("wrong")])
-def test_mistakes_are_not_retried(error):
-    tries = []
+def test_retries_end_with_the_last_error(caplog):
+    action, calls = flaky(99)
+    with caplog.at_level(logging.INFO), pytest.raises(OSError, match="failure 3"):
+        with_retries(action, "x", retries=2, sleep=lambda _: None)
+    levels = Counter(r.levelname for r in caplog.records)
+    assert len(calls) == levels["ERROR"] == 3 and levels["CRITICAL"] == 1
 
-    def fail():
-        tries.append(1)
-        raise error
 
-    with pytest.raises(type(error)):
-        with_retries(fail, "x", sleep=lambda s: pytest.fail("waited"))
-    assert len(tries) == 1
+@pytest.mark.parametrize(
+    "sql, mistake",
+    [("SELEC 1", True), ("SELECT lost FROM range(3)", True), ("SELECT 1 FROM no_such_table", False)],
+)
+def test_mistakes_are_not_retried(spark, sql, mistake):
+    waited = []
+    with pytest.raises(AnalysisException):
+        with_retries(lambda: spark.sql(sql), "x", retries=1, sleep=waited.append)
+    assert waited == ([] if mistake else [2])
 
 
 def test_missing_path_is_retried(spark, tmp_path):
@@ -213,11 +288,11 @@ def test_ad_hoc_names_its_jobs(spark):
     session = job_session(spark)
     frame = ad_hoc(SourceReader(session), "SELECT :n AS n", {"n": 4}, job_id="my query")
     assert frame.collect()[0].n == 4
-    assert spark.sparkContext.getLocalProperty("spark.job.description") == "my query"
-    spark.sparkContext.setJobDescription(None)
+    # The next job does not carry the name.
+    assert spark.sparkContext.getLocalProperty("spark.job.description") is None
 
 
-def test_tasks_grow_with_the_input(spark, shop, tmp_path):
+def test_tasks_grow_with_the_input(spark, shop, tmp_path, caplog):
     session = job_session(spark)
 
     def sizes(n_bytes):
@@ -227,8 +302,11 @@ def test_tasks_grow_with_the_input(spark, shop, tmp_path):
     assert sizes(1000) == (4, 128 * 1024**2)
     assert sizes(100 * 1024**3) == (800, 128 * 1024**2)
     partitions, split = sizes(100 * 1024**4)
-    assert partitions == 32768 and 512 * 1024**2 < split < 1024**3
-    assert sizes(10**19)[1] == 1024**3
+    assert partitions == 819200 and 512 * 1024**2 < split < 1024**3
+    session.conf.set(MAX_PARTITIONS_KEY, "1000")
+    with caplog.at_level(logging.WARNING):
+        assert sizes(10**19) == (1000, 1024**3)
+    assert MAX_PARTITIONS_KEY in caplog.text
 
     shop["orders"].write.parquet(str(tmp_path / "orders"))
     connection = Connection("a", kind="files", base_path=str(tmp_path), tables={"orders": "orders"})

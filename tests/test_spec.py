@@ -158,3 +158,30 @@ def test_names():
     for template in ("report_{none}", "report_{other}", "report_{bad}"):
         with pytest.raises(ParameterError):
             fill_name(template, day)
+
+
+@pytest.mark.parametrize("number", ["10.5", "9.99", "1e-3", "true", '"10.5"', '"x"', "[1]"])
+def test_whole_numbers_are_never_cut(number):
+    declared = {"t": ParamSpec.from_dict("t", {"type": "int", "required": True})}
+    with pytest.raises(ParameterError):
+        bind_params(declared, '{"t": %s}' % number)
+
+
+@pytest.mark.parametrize("number, value", [("10", 10), ("10.0", 10), ("1e3", 1000), ('"7"', 7)])
+def test_whole_numbers_from_json(number, value):
+    declared = {"t": ParamSpec.from_dict("t", {"type": "int", "required": True})}
+    assert bind_params(declared, '{"t": %s}' % number) == {"t": value}
+
+
+@pytest.mark.parametrize(
+    "more",
+    [
+        {"on_failed_rule": "stop"},
+        {"settings": {"spark.executor.memory": "1g"}},
+        {"sum_types": {"a": "nothing.b"}},
+        {"sum_types": {"a": "b"}},
+    ],
+)
+def test_wrong_job_options(more):
+    with pytest.raises(SpecError):
+        JobSpec.from_dict({"query": {"sql": "SELECT 1"}, **more})
