@@ -27,6 +27,7 @@ from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -300,7 +301,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     shared = _share(rows, path)
 
     @F.pandas_udf(T.StringType())
-    def decoded(column: F.pandas_udf) -> F.pandas_udf:  # type: ignore[valid-type]
+    def decoded(column: pd.Series) -> pd.Series:
         coder = _coder(shared)
         return column.map(
             lambda a: None if a is None else coder.decode(np.asarray(a, np.int64)).decode("utf-8")

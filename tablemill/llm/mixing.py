@@ -14,9 +14,9 @@ of md5(seed:epoch:id). Prefix sums go over 4096 ranges of that order first and
 over the documents of one range after, so a source of any size is never sorted
 in one task.
 
-Rows: null text has no tokens and empty documents are always within the budget;
-null parts of the tree are nodes of their own; repeated rows stand next to each
-other in the order and are taken or left together. Weights are whole numbers,
+Rows: null and empty texts have no tokens and are taken where the prefix passes
+them; null parts of the tree are nodes of their own; repeated rows stand next to
+each other in the order and are taken or left together. Weights are whole numbers,
 1 where none is given; 0 leaves a node out.
 """
 
@@ -198,7 +198,10 @@ def mix(
     )
     chosen = boxed.join(
         cuts, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in leaf])
-    ).withColumn("copies", F.col("epochs") + F.when(within, 1).otherwise(0))
+    ).withColumn(
+        # Documents without tokens fit into any rest, but repeat no more often than others.
+        "copies", F.least(F.col("epochs") + F.when(within, 1).otherwise(0), F.lit(max_epochs))
+    )
     return (
         chosen.where("copies > 0")
         .withColumn("n", n_tokens(body))
@@ -206,7 +209,7 @@ def mix(
             *(f"c{i}" for i in range(len(names))),
             "domain",
             "n",
-            F.explode(F.expr("sequence(0L, copies - 1)")).alias("epoch"),
+            F.explode(F.expr("sequence(0L, copies - 1L)")).alias("epoch"),
         )
         .toDF(*names, "domain", "n_tokens", "epoch")
     )

@@ -213,7 +213,7 @@ _MIX = f"""
              RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
     FROM t JOIN plan USING (domain, language, source))
   SELECT doc_id, domain, language AS lang, source, CAST(n AS BIGINT) AS n_tokens, epoch
-  FROM (SELECT *, unnest(range(CAST(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END AS BIGINT)))
+  FROM (SELECT *, unnest(range(CAST(least(epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END, {MIX_EPOCHS}) AS BIGINT)))
                AS epoch FROM placed)"""
 
 
