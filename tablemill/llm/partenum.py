@@ -15,8 +15,7 @@ the smallest node of the signature. What this leaves open between two nodes x,
 y with the same centre c is settled by how they differ from it: with x and y
 at distances h(x), h(y) from c, they are certainly linked if h(x) + h(y) is
 within their limit, and otherwise can only be linked if the two differences
-share enough features, found by a join on the first few of them (prefix
-filter). Work grows with the links and near-links, not with the square of a
+share enough features, found by a join on the rarest of them (prefix filter). Work grows with the links and near-links, not with the square of a
 group of copies; no link is lost.
 
 The (signature, node) rows are dealt out by range and sorted, so a signature
@@ -39,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import with_text_results, written
+from .common import counted, with_text_results, written
 from .components import components
 from .text import (
     LOWER,
@@ -287,12 +286,38 @@ _COMPARED = T.StructType(
 )
 
 
-def compare(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
+RARITY_BITS = 20
+
+
+def _slot(values: np.ndarray) -> np.ndarray:
+    return (mix(values + _U(0x99)) >> _U(64 - RARITY_BITS)).astype(np.int64)
+
+
+def rarity(texts: DataFrame, like: Similarity) -> np.ndarray:
+    """How often features occur in these texts, by hashed slot: a table of fixed size."""
+
+    def make_kernel():
+        def kernel(batch):
+            out = []
+            for piece in pieces(batch.column(0)):
+                slot, n = np.unique(_slot(features(piece, like.n)[0]), return_counts=True)
+                out.append((0, slot, n))
+            return out
+
+        return kernel
+
+    rows = counted(texts.select("text"), T.IntegerType(), make_kernel).toArrow()
+    table = np.zeros(1 << RARITY_BITS, np.uint32)
+    table[rows["key"].to_numpy()] = np.minimum(rows["n"].to_numpy(), (1 << 32) - 1)
+    return table
+
+
+def compare(pairs: DataFrame, texts: DataFrame, like: Similarity, rare) -> DataFrame:
     """Full comparison of pairs (c, x) by the texts (node, text) of their nodes.
 
-    Returns sizes, h (size of the symmetric difference), linked, and the first
-    features of the difference in the order (missing in c, present in c), as
-    many as the prefix filter can need.
+    Returns sizes, h (size of the symmetric difference), linked, and the rarest
+    features of the difference (by the broadcast table ``rare``, then by hash:
+    one order for all pairs), as many as the prefix filter can need.
     """
     schema = to_arrow_schema(_COMPARED)
     left = texts.select(F.col("node").alias("c"), F.col("text").alias("text_c"))
@@ -321,7 +346,9 @@ def compare(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
                     both = (len(a) + len(b) - h) // 2
                     linked = like.den * both >= like.num * (both + h)
                     limit = like.most_apart(len(b) + like.partners(len(b)))
-                    differ = np.concatenate([more, less])[: limit + 1]
+                    differ = np.concatenate([more, less])
+                    order = np.lexsort((differ, rare.value[_slot(differ)]))
+                    differ = differ[order[: limit + 1]]
                     for column, value in zip(
                         rows, (len(a), len(b), h, linked, differ.view(np.int64)), strict=True
                     ):
@@ -430,12 +457,13 @@ def link(docs: DataFrame, like: Similarity, doc_id: str = "doc_id", text: str =
         .agg(F.first("text").alias("text")),
         "star-texts",
     )
-    compared = written(compare(stars, texts, like), "compared")
+    rare = docs.sparkSession.sparkContext.broadcast(rarity(texts, like))
+    compared = written(compare(stars, texts, like, rare), "compared")
     links = compared.where("linked").select(F.col("c").alias("u"), F.col("x").alias("v"))
     labels = components(links)
     certain, pairs = _leftover(compared, labels, like)
     pairs = written(pairs, "open-pairs")
-    more = compare(pairs, texts, like).where("linked")
+    more = compare(pairs, texts, like, rare).where("linked")
     extra = written(
         certain.unionByName(more.select(F.col("c").alias("u"), F.col("x").alias("v"))).distinct(),
         "more-links",
