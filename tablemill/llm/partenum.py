@@ -66,7 +66,7 @@ class Similarity:
     def bands(self) -> tuple[np.ndarray, np.ndarray]:
         """First and last set size of each band, up to more than any text has."""
         low, high = [1], []
-        ratio = (self.den / self.num) ** 2.5
+        ratio = (self.den / self.num) ** 1.5
         while low[-1] < 1 << 40:
             high.append(max(low[-1], int(low[-1] * ratio)))
             low.append(high[-1] + 1)
@@ -76,6 +76,23 @@ class Similarity:
         """The largest symmetric difference of linked sets with this sum of sizes."""
         return (self.den - self.num) * both_sizes // (self.den + self.num)
 
+    def spare_parts(self) -> np.ndarray:
+        """Parts to add in each band so that hardly any of its sets has more empty ones.
+
+        A set of the smallest size that signs in a band, dealt into p parts, leaves
+        p * exp(-size / p) of them empty on average. Any number is right; a better
+        one means fewer signatures of empty parts.
+        """
+        low, high = self.bands()
+        smallest = np.maximum(low * self.num // self.den, 1)
+        apart = self.most_apart(2 * high)
+        spare = np.zeros(len(high), np.int64)
+        for _ in range(4):
+            parts = apart + 1 + spare
+            empty = parts * np.exp(-smallest / parts)
+            spare = np.minimum(np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64), 2 + apart)
+        return spare
+
     def partners(self, size):
         """The largest set that can be linked to one of this size."""
         return size * self.den // self.num
@@ -103,7 +120,8 @@ def signatures(
     values: np.ndarray, rows: np.ndarray, size: np.ndarray, like: Similarity
 ) -> tuple[np.ndarray, np.ndarray]:
     """(signature, row) of all rows; ``values`` are their sets, rows ascending."""
-    low, high = like.bands()
+    _, high = like.bands()
+    spares = like.spare_parts()
     band = np.searchsorted(high, size, "left")
     out, owner = [], []
     for step in (0, 1):
@@ -114,7 +132,7 @@ def signatures(
         apart = like.most_apart(2 * high[np.minimum(tag, len(high) - 1)])
         # Sets that may not differ at all are equal: they are one node already.
         used &= apart > 0
-        spare = np.where(apart >= 4, 1 + apart // 12, 0)
+        spare = spares[np.minimum(tag, len(high) - 1)]
         parts = apart + 1 + spare
         mine = used[rows]
         v, r = values[mine], rows[mine]
