@@ -333,9 +333,10 @@ def rarity(texts: DataFrame, like: Similarity) -> np.ndarray:
 def compare(pairs: DataFrame, texts: DataFrame, like: Similarity, rare) -> DataFrame:
     """Full comparison of pairs (c, x) by the texts (node, text) of their nodes.
 
-    Returns sizes, h (size of the symmetric difference), linked, and the rarest
-    features of the difference (by the broadcast table ``rare``, then by hash:
-    one order for all pairs), as many as the prefix filter can need.
+    Returns sizes, h (size of the symmetric difference), linked, and the first
+    features of the difference, as many as the prefix filter can need: those c
+    lacks before those it has (which all unlike nodes share), then the rarest by
+    the broadcast table ``rare``, then by hash. It is one order per centre.
     """
     schema = to_arrow_schema(_COMPARED)
     left = texts.select(F.col("node").alias("c"), F.col("text").alias("text_c"))
@@ -365,7 +366,8 @@ def compare(pairs: DataFrame, texts: DataFrame, like: Similarity, rare) -> DataF
                     linked = like.den * both >= like.num * (both + h)
                     limit = like.most_apart(len(b) + like.partners(len(b)))
                     differ = np.concatenate([more, less])
-                    order = np.lexsort((differ, rare.value[_slot(differ)]))
+                    in_c = np.arange(len(differ)) >= len(more)
+                    order = np.lexsort((differ, rare.value[_slot(differ)], in_c))
                     differ = differ[order[: limit + 1]]
                     for column, value in zip(
                         rows, (len(a), len(b), h, linked, differ.view(np.int64)), strict=True
