@@ -11,12 +11,17 @@ that sign those too.
 
 Sets that are equal are one node, however many documents have them. The nodes
 of a signature are not paired with each other: each is compared, in full, with
-the smallest node of the signature. What this leaves open between two nodes x,
-y with the same centre c is settled by how they differ from it: with x and y
-at distances h(x), h(y) from c, they are certainly linked if h(x) + h(y) is
-within their limit, and otherwise can only be linked if the two differences
-share enough features, found by a join on the rarest of them (prefix filter). Work grows with the links and near-links, not with the square of a
-group of copies; no link is lost.
+the most central node of the signature, that which meets the most other nodes in
+all its signatures: of edited copies, one that is close to the original. What
+this leaves open between two nodes x, y with the same centre c is settled by how
+they differ from it: with x and y at distances h(x), h(y) from c, they are
+certainly linked if h(x) + h(y) is within their limit, and otherwise only if the
+two differences share t features or more, with 2t = h(x) + h(y) - limit. Of these, no more
+can be features of c that both lack than either lacks. The rest must be features
+that c has not, and edits made apart from each other hardly share one; so
+a join on the rarest of those finds the pairs (prefix filter, by place in the
+order). Only pairs that lacked features alone could link are joined on these.
+Work grows with the links and near-links; no link is lost.
 
 The (signature, node) rows are dealt out by range and sorted, so a signature
 that very many nodes have is spread over tasks; the pieces at the edges of
@@ -166,15 +171,25 @@ _SIGNED = T.StructType(
 )
 
 
+HELD_NODES = 1 << 18
+
+
 def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
-    """(sig, node) of all texts."""
+    """(sig, node) of all texts; a task leaves out most repeats of a node it has signed."""
     schema = to_arrow_schema(_SIGNED)
 
     def run(batches):
+        signed: set[int] = set()
         for batch in batches:
             for piece in pieces(batch.column(0)):
                 values, rows = features(piece, like.n)
                 size, node = node_of(values, rows, piece.rows)
+                for row, one in enumerate(node.tolist()):
+                    if one in signed:
+                        size[row] = 0
+                    signed.add(one)
+                if len(signed) > HELD_NODES:
+                    signed.clear()
                 sig, owner = signatures(values, rows, size, like)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sig.view(np.int64)), pa.array(node[owner])], schema=schema
@@ -183,6 +198,31 @@ def _signed(docs: DataFrame, like: Similarity) -> DataFrame:
     return docs.select("text").mapInArrow(run, _SIGNED)
 
 
+_SHARED = T.StructType([*_SIGNED.fields, T.StructField("size", T.LongType())])
+
+
+def _shared(batches):
+    """Of sorted (sig, node) rows: distinct ones whose signature may have several nodes.
+
+    ``size`` is the number of its nodes in the batch. The first and last signature
+    of a batch may go on in another one, so they stay.
+    """
+    schema = to_arrow_schema(_SHARED)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        new = runs_of(sig, node)[:-1]
+        sig, node = sig[new], node[new]
+        heads = runs_of(sig)
+        size = np.diff(heads)
+        stay = size > 1
+        stay[0] = stay[-1] = True
+        stay = np.repeat(stay, size)
+        columns = (sig[stay], node[stay], np.repeat(size, size)[stay])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+
 _STARS = T.StructType(
     [
         T.StructField("sig", T.LongType()),
@@ -194,97 +234,44 @@ _STARS = T.StructType(
 
 
 def _stars(batches):
-    """Of sorted (sig, node) rows: each node with the first of its signature.
+    """Of sorted (sig, rank, node) rows: each node with the first of its signature.
 
-    The first and last signature of the range may go on in another one; their
-    nodes come out without a centre. Only the signature being read is held.
+    The first and last signature of a batch may go on in another one; their
+    nodes come out as edges, with their rank in place of a centre.
     """
     schema = to_arrow_schema(_STARS)
-
-    def out(sig, c, x, edge):
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(sig),
-                pa.array(c),
-                pa.array(x),
-                pa.array(np.full(len(sig), edge)),
-            ],
-            schema=schema,
-        )
-
-    first_sig = last = None  # last: (sig, centre, last node) of the signature being read
-    tail: list[np.ndarray] = []  # its nodes, until it is known not to be the last
-
     for batch in batches:
         if not batch.num_rows:
             continue
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node = sig[new], node[new]
-        if first_sig is None:
-            first_sig = sig[0]
+        sig, rank, node = (batch.column(i).to_numpy() for i in range(3))
+        new = runs_of(sig, node)[:-1]
+        sig, rank, node = sig[new], rank[new], node[new]
         heads = runs_of(sig)
-        starts, stops = heads[:-1], heads[1:]
-        centre = np.repeat(node[starts], stops - starts)
-        begin = 0
-        if last is not None and sig[0] == last[0]:
-            stop = stops[0]
-            fresh = node[:stop][node[:stop] != last[2]]
-            tail.append(fresh)
-            begin = stop
-            last = (last[0], last[1], node[stop - 1])
-        if begin < len(sig):
-            if last is not None:
-                yield from _close(last, tail, first_sig, out)
-            body = slice(begin, starts[-1])
-            own = (sig[body] != first_sig) & (centre[body] != node[body])
-            if own.any():
-                yield out(sig[body][own], centre[body][own], node[body][own], False)
-            edge = sig[body] == first_sig
-            if edge.any():
-                yield out(sig[body][edge], node[body][edge], node[body][edge], True)
-            last = (sig[-1], node[starts[-1]], node[-1])
-            tail = [node[starts[-1] :]]
-        if sum(map(len, tail)) > 1 << 18 and last[0] != first_sig:
-            # A long signature: what is held so far may leave as part of an edge.
-            nodes = np.concatenate(tail)
-            yield out(np.full(len(nodes), last[0]), nodes, nodes, True)
-            tail = []
-            first_sig = last[0]
-        elif last[0] == first_sig and tail:
-            nodes = np.concatenate(tail)
-            if len(nodes):
-                yield out(np.full(len(nodes), last[0]), nodes, nodes, True)
-            tail = []
-    if last is not None and tail:
-        nodes = np.concatenate(tail)
-        if len(nodes):
-            yield out(np.full(len(nodes), last[0]), nodes, nodes, True)
-
-
-def _close(last, tail, first_sig, out):
-    nodes = np.concatenate(tail) if tail else np.zeros(0, np.int64)
-    if last[0] == first_sig:
-        if len(nodes):
-            yield out(np.full(len(nodes), last[0]), nodes, nodes, True)
-    elif len(nodes) > 1:
-        rest = nodes[nodes != last[1]]
-        yield out(np.full(len(rest), last[0]), np.full(len(rest), last[1]), rest, False)
+        centre = np.repeat(node[heads[:-1]], np.diff(heads))
+        edge = (sig == sig[0]) | (sig == sig[-1])
+        stay = edge | (centre != node)
+        columns = (sig, np.where(edge, rank, centre), node, edge)
+        yield pa.RecordBatch.from_arrays([pa.array(c[stay]) for c in columns], schema=schema)
 
 
 def candidate_stars(docs: DataFrame, like: Similarity) -> DataFrame:
-    """Distinct (c, x): nodes and the smallest node they share a signature with."""
+    """Distinct (c, x): nodes and the most central node they share a signature with."""
     ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = _signed(docs, like)
+    signed = _signed(docs, like).repartitionByRange(ranges, "sig", "node")
+    shared = written(
+        signed.sortWithinPartitions("sig", "node").mapInArrow(_shared, _SHARED), "signatures"
+    )
+    central = shared.groupBy("node").agg((-F.sum("size")).alias("rank"))
     found = written(
-        signed.repartitionByRange(ranges, "sig", "node")
-        .sortWithinPartitions("sig", "node")
+        shared.join(central, "node")
+        .select("sig", "rank", "node")
+        .repartitionByRange(ranges, "sig", "rank", "node")
+        .sortWithinPartitions("sig", "rank", "node")
         .mapInArrow(_stars, _STARS),
-        "signatures",
+        "star-edges",
     )
-    edge = found.where("edge").select("sig", "x")
-    centres = edge.groupBy("sig").agg(F.min("x").alias("c"))
+    edge = found.where("edge").select("sig", "x", F.struct("c", "x").alias("place"))
+    centres = edge.groupBy("sig").agg(F.min("place")["x"].alias("c"))
     pairs = found.where("not edge").select("c", "x").unionByName(
         edge.join(centres, "sig").where("c <> x").select("c", "x")
     )
@@ -299,7 +286,8 @@ _COMPARED = T.StructType(
         T.StructField("n_x", T.LongType()),
         T.StructField("h", T.LongType()),
         T.StructField("linked", T.BooleanType()),
-        T.StructField("differ", T.ArrayType(T.LongType(), False)),
+        T.StructField("more", T.ArrayType(T.LongType(), False)),
+        T.StructField("less", T.ArrayType(T.LongType(), False)),
     ]
 )
 
@@ -334,9 +322,8 @@ def compare(pairs: DataFrame, texts: DataFrame, like: Similarity, rare) -> DataF
     """Full comparison of pairs (c, x) by the texts (node, text) of their nodes.
 
     Returns sizes, h (size of the symmetric difference), linked, and the first
-    features of the difference, as many as the prefix filter can need: those c
-    lacks before those it has (which all unlike nodes share), then the rarest by
-    the broadcast table ``rare``, then by hash. It is one order per centre.
+    features that x has more and less than c, as many as the prefix filter can
+    need: the rarest by the broadcast table ``rare``, then by hash.
     """
     schema = to_arrow_schema(_COMPARED)
     left = texts.select(F.col("node").alias("c"), F.col("text").alias("text_c"))
@@ -355,7 +342,7 @@ def compare(pairs: DataFrame, texts: DataFrame, like: Similarity, rare) -> DataF
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                rows = [[] for _ in range(5)]
+                rows = [[] for _ in range(6)]
                 first, second = sets(batch.column(2)), sets(batch.column(3))
                 for a, b in zip(first, second, strict=True):
                     lost = np.isin(b, a, assume_unique=True)
@@ -365,12 +352,12 @@ def compare(pairs: DataFrame, texts: DataFrame, like: Similarity, rare) -> DataF
                     both = (len(a) + len(b) - h) // 2
                     linked = like.den * both >= like.num * (both + h)
                     limit = like.most_apart(len(b) + like.partners(len(b)))
-                    differ = np.concatenate([more, less])
-                    in_c = np.arange(len(differ)) >= len(more)
-                    order = np.lexsort((differ, rare.value[_slot(differ)], in_c))
-                    differ = differ[order[: limit + 1]]
+                    rarest = [
+                        part[np.lexsort((part, rare.value[_slot(part)]))[: limit + 2]].view(np.int64)
+                        for part in (more, less)
+                    ]
                     for column, value in zip(
-                        rows, (len(a), len(b), h, linked, differ.view(np.int64)), strict=True
+                        rows, (len(a), len(b), h, linked, *rarest), strict=True
                     ):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
@@ -391,12 +378,16 @@ def _leftover(compared: DataFrame, labels: DataFrame, like: Similarity) -> tuple
     Only stars whose outer nodes lie in two components or more matter.
     """
     d, s = like.den - like.num, like.den + like.num
+    # n_c = n_x - more + less and h = more + less give the sizes of both parts.
     found = compared.join(labels, compared["x"] == labels["node"], "left").select(
         "c",
         "x",
         "n_x",
         "h",
-        "differ",
+        F.expr("(h + n_x - n_c) div 2").alias("m"),
+        F.expr("(h - n_x + n_c) div 2").alias("l"),
+        "more",
+        "less",
         F.coalesce("component", "x").alias("comp"),
         (F.col("h") * s - F.col("n_x") * d).alias("f"),
     )
@@ -406,6 +397,7 @@ def _leftover(compared: DataFrame, labels: DataFrame, like: Similarity) -> tuple
             F.min("comp").alias("a"),
             F.max("comp").alias("b"),
             F.min("h").alias("h_min"),
+            F.max(F.col("l") - F.col("m")).alias("shorter"),
             F.min_by("x", F.struct("f", "x")).alias("best"),
             F.min("f").alias("f_min"),
         )
@@ -415,26 +407,35 @@ def _leftover(compared: DataFrame, labels: DataFrame, like: Similarity) -> tuple
     certain = open_.where("f + f_min <= 0 and x <> best").select(
         F.col("x").alias("u"), F.col("best").alias("v")
     )
-    # At least this many features are shared by the differences of a linked pair.
-    limit = F.expr(f"{d} * (n_x + n_x * {like.den} div {like.num}) div {s}")
-    share = F.greatest(
-        F.col("h") - limit, F.ceil((F.col("h") + F.col("h_min") - limit) / 2), F.lit(1)
-    )
-    use = F.least(F.col("h") - share + 1, F.size("differ"))
-    rows = open_.where("h > 0").select(
-        "c", "x", "n_x", "h", "comp", F.explode(F.slice("differ", F.lit(1), use.cast("int"))).alias("e")
+    # Lacked features are enough only if t <= min(l, l2), for which both must hold.
+    limit = f"{d} * (n_x + n_x * {like.den} div {like.num}) div {s}"
+    lacking = F.expr(f"h <= shorter + {limit} and h_min <= l - m + {limit}")
+    none = F.array().cast("array<bigint>")
+    own = ["c", "x", "n_x", "h", "m", "l", "comp"]
+    rows = open_.where("h > 0").withColumn("less", F.when(lacking, F.col("less")).otherwise(none))
+    rows = rows.select(*own, F.lit(True).alias("is_more"), F.posexplode("more").alias("i", "e")).unionByName(
+        rows.select(*own, F.lit(False).alias("is_more"), F.posexplode("less").alias("i", "e"))
     )
     mixed = rows.groupBy("c", "e").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
-    rows = rows.join(mixed.where("a <> b").select("c", "e"), ["c", "e"])
-    other = rows.select("c", "e", *(F.col(k).alias(f"{k}2") for k in ("x", "n_x", "h", "comp")))
-    apart = F.expr(f"{d} * (n_x + n_x2) div {s}")
+    rows = written(rows.join(mixed.where("a <> b").select("c", "e"), ["c", "e"]), "open-features")
+    other = rows.select("c", "e", *(F.col(k).alias(f"{k}2") for k in (*own[1:], "i")))
+    apart = f"({d} * (n_x + n_x2) div {s})"
+    # The least number of shared features: of all, of those c lacks, of those it has.
+    t = f"((h + h2 - {apart} + 1) div 2)"
+    tm, tl = f"({t} - least(l, l2))", f"({t} - least(m, m2))"
+    in_prefix = f"""
+        CASE WHEN {tm} > 0 THEN is_more AND i <= m - {tm} AND i2 <= m2 - {tm}
+             WHEN {tl} > 0 THEN NOT is_more AND i <= l - {tl} AND i2 <= l2 - {tl}
+             WHEN is_more THEN i <= h - {t} AND i2 <= h2 - {t}
+             ELSE m + i <= h - {t} AND m2 + i2 <= h2 - {t} END"""
     pairs = (
         rows.join(other, ["c", "e"])
         .where("x < x2 and comp <> comp2")
-        .where((F.abs(F.col("h") - F.col("h2")) <= apart) & (F.col("h") + F.col("h2") > apart))
+        .where(f"abs(h - h2) <= {apart} and h + h2 > {apart}")
         .where(
             f"{like.den} * n_x >= {like.num} * n_x2 and {like.den} * n_x2 >= {like.num} * n_x"
         )
+        .where(in_prefix)
         .select(F.col("x").alias("c"), F.col("x2").alias("x"))
         .distinct()
     )
