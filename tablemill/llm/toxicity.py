@@ -10,9 +10,10 @@ by word; the parts by which the toxic one is ahead are averaged over the
 length of the text (two margins) and a logistic curve fitted on labelled rows
 that the counts behind it have not seen turns them into a score.
 
-Counts live in hashed slots, so the model has a fixed size (about 24 MB sent
-to executors), whatever the corpus. Expressions that fall in one slot share
-their counts.
+Counts and ratios are made in Spark, where they grow with the vocabulary. They
+are reduced there to one row per hashed slot, so the model has a fixed size
+(about 32 MB on the driver and sent to executors), whatever the corpus.
+Expressions that fall in one slot share their counts.
 
 Rows: null and empty texts have no words and get the score of no evidence;
 repeated ids are scored one by one; a null id never trains. Without labels of
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import counted, fold, with_text_results
+from .common import counted, fold, with_text_results, written
 from .text import LOWER, Piece, pieces, span_hashes, words
 
 LEVELS = (4, 6, None)
@@ -40,6 +41,8 @@ CALIBRATION_ROWS = 4000
 PRIOR_WORDS = 10
 _BASES = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 N_SLOTS = int(_BASES[-1])
+# What the first expression of every word follows.
+ROOT = N_SLOTS
 
 _inner = np.zeros(256, bool)
 _inner[ord("0") : ord("9") + 1] = True
@@ -132,30 +135,56 @@ class ToxicityModel:
         return run
 
 
-def _ratios(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``counts[i, k]``: ordinary (0) and toxic (1) count of expression ``keys[i]``."""
-    parent, slot = keys // N_SLOTS, keys % N_SLOTS
-    per_parent = [
-        np.bincount(parent, counts[:, k], minlength=N_SLOTS + 1) for k in range(2)
+def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Log-likelihood ratios from (parent, key, ordinary, toxic) rows, one per parent and key.
+
+    Gives (parent, key, pooled, ratio) of known expressions and (parent, unseen)
+    of unknown ones. The root, the parent of a whole level, is joined by itself.
+    """
+    a, b = F.col("ordinary"), F.col("toxic")
+    per = [
+        F.sum(a).alias("n0"),
+        F.sum(b).alias("n1"),
+        F.count_if(a > 0).alias("t0"),
+        F.count_if(b > 0).alias("t1"),
+        F.count("*").alias("types"),
     ]
-    types = [np.bincount(parent, counts[:, k] > 0, minlength=N_SLOTS + 1) for k in range(2)]
-    all_types = np.bincount(parent, minlength=N_SLOTS + 1)
-    pooled = counts.sum(1)
-    shared = (pooled + 0.5) / (
-        per_parent[0][parent] + per_parent[1][parent] + 0.5 * (all_types[parent] + 1)
+    known = counts.where(a + b > 0)
+    below, top = known.where(F.col("parent") != ROOT), known.where(F.col("parent") == ROOT)
+    parents = below.groupBy("parent").agg(*per)
+    root = top.agg(*per).where("types > 0").withColumn("parent", F.lit(ROOT).cast("long"))
+
+    def left(k):
+        n = F.col(f"n{k}")
+        return F.when(n > 0, DISCOUNT * F.col(f"t{k}") / F.greatest(n, F.lit(1))).otherwise(1.0)
+
+    shared = (a + b + 0.5) / (F.col("n0") + F.col("n1") + 0.5 * (F.col("types") + 1))
+
+    def log(k, own):
+        n = F.greatest(F.col(f"n{k}"), F.lit(1))
+        return F.ln(F.greatest(own - DISCOUNT, F.lit(0.0)) / n + left(k) * shared)
+
+    rows = below.join(parents, "parent").unionByName(top.join(F.broadcast(root), "parent"))
+    return (
+        rows.select("parent", "key", (a + b).alias("pooled"), (log(1, b) - log(0, a)).alias("ratio")),
+        parents.unionByName(root.select(*parents.columns)).select(
+            "parent", (F.ln(left(1)) - F.ln(left(0))).alias("unseen")
+        ),
     )
-    logs, unseen = [], []
-    for k in range(2):
-        total = np.maximum(per_parent[k], 1)
-        left = np.where(per_parent[k] > 0, DISCOUNT * types[k] / total, 1.0)
-        p = np.maximum(counts[:, k] - DISCOUNT, 0) / total[parent] + left[parent] * shared
-        logs.append(np.log(p))
-        unseen.append(np.log(left))
-    ratio = np.full(N_SLOTS, np.nan, np.float32)
+
+
+def slot_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ratios by slot: at most one row per slot and one per parent reach the driver."""
+    known, unknown = ratios(counts)
     # Slots reached by two parents keep the more frequent one.
-    order = np.argsort(pooled, kind="stable")
-    ratio[slot[order]] = (logs[1] - logs[0])[order]
-    return ratio, (unseen[1] - unseen[0]).astype(np.float32)
+    best = F.max(F.struct("pooled", "parent", "ratio"))["ratio"].cast("float")
+    rows = known.groupBy(F.col("key").cast("int").alias("key")).agg(best.alias("ratio")).toArrow()
+    ratio = np.full(N_SLOTS, np.nan, np.float32)
+    ratio[rows["key"].to_numpy()] = rows["ratio"].to_numpy()
+    rows = unknown.select(F.col("parent").cast("int"), F.col("unseen").cast("float")).toArrow()
+    unseen = np.zeros(N_SLOTS + 1, np.float32)
+    unseen[rows["parent"].to_numpy()] = rows["unseen"].to_numpy()
+    return ratio, unseen
 
 
 def _logistic(features: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
@@ -204,14 +233,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     )
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     labelled = own.where(fold("id") != 0).join(marked.hint("shuffle_hash"), "id")
-    rows = count_expressions(labelled).toArrow()
-    group = rows["grp"].to_numpy()
-    keys, place = np.unique(rows["key"].to_numpy(), return_inverse=True)
-    counts = np.zeros((len(keys), 4))
-    np.add.at(counts, (place, group), rows["n"].to_numpy())
-    del rows
+    n = [F.sum(F.when(F.col("grp") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)]
+    counts = written(
+        count_expressions(labelled)
+        .groupBy("key")
+        .agg(*n)
+        .selectExpr(f"key div {N_SLOTS} AS parent", f"key % {N_SLOTS} AS key", "n0", "n1", "n2", "n3"),
+        "toxicity-counts",
+    )
     # The curve is fitted with counts of folds 1 to 3 on rows of fold 4.
-    ratio, unseen = _ratios(keys, counts[:, :2])
+    ratio, unseen = slot_table(counts.selectExpr("parent", "key", "n0 AS ordinary", "n1 AS toxic"))
     trial = ToxicityModel(ratio, unseen, (0.0,) + (0.0,) * len(MARGINS))
     sample = (
         marked.where("grp >= 2")
@@ -230,10 +261,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         x = np.column_stack([seen["evidence"].to_numpy(), seen["strong_evidence"].to_numpy()])
         weights = _logistic(x, y)
     else:
-        toxic = counts[:, [1, 3]].sum()
-        rate = min(max(float(toxic / max(counts.sum(), 1)), 1e-6), 1 - 1e-6)
+        n_toxic, n_all = counts.selectExpr("sum(n1 + n3)", "sum(n0 + n1 + n2 + n3)").first()
+        rate = min(max((n_toxic or 0) / max(n_all or 0, 1), 1e-6), 1 - 1e-6)
         weights = (float(np.log(rate / (1 - rate))),) + (0.0,) * len(MARGINS)
-    ratio, unseen = _ratios(keys, counts[:, :2] + counts[:, 2:])
+    ratio, unseen = slot_table(
+        counts.selectExpr("parent", "key", "n0 + n2 AS ordinary", "n1 + n3 AS toxic")
+    )
     return ToxicityModel(ratio, unseen, weights)
 
 

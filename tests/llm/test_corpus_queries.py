@@ -9,7 +9,7 @@ from collections import Counter
 import oracle
 import pytest
 
-from tablemill.llm import bpe, exactdedup, linespread, mixing, partenum, private, queries, secretscan
+from tablemill.llm import bpe, exactdedup, linespread, mixing, partenum, private, queries, secretscan, toxicity
 from tablemill.llm.common import like_before
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -79,6 +79,36 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(p == t for p, t in held) / len(held) >= 0.93
 
 
+def test_toxicity_counts_stay_in_spark(spark, monkeypatch):
+    """The driver gets ratios by slot, never a row per parent and expression."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    got, plain = [], DataFrame.toArrow
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: got.append(self.columns) or plain(self))
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    toxicity.fit(docs, labels)
+    assert got and not any({"key", "n"} <= set(columns) for columns in got)
+
+
+def test_toxicity_ratios(spark):
+    root = toxicity.ROOT
+    rows = [(root, 1, 6, 2), (root, 2, 1, 1), (1, 7, 6, 0), (1, 8, 0, 2), (2, 9, 1, 1), (2, 10, 0, 0)]
+    frame = spark.createDataFrame(rows, "parent long, key long, ordinary long, toxic long")
+    known, unknown = (x.collect() for x in toxicity.ratios(frame))
+    kin = {p: [r for r in rows if r[0] == p and r[2] + r[3]] for p, *_ in rows}
+    n = {p: [sum(r[k] for r in mine) for k in (2, 3)] for p, mine in kin.items()}
+    left = {p: [0.75 * sum(r[k + 2] > 0 for r in kin[p]) / n[p][k] for k in (0, 1)] for p in kin}
+    expected = {}
+    for p, s, *c in (r for mine in kin.values() for r in mine):
+        shared = (sum(c) + 0.5) / (sum(n[p]) + 0.5 * (len(kin[p]) + 1))
+        p0, p1 = (max(c[k] - 0.75, 0) / n[p][k] + left[p][k] * shared for k in (0, 1))
+        expected[p, s] = math.log(p1 / p0)
+    assert {(r.parent, r.key): r.ratio for r in known} == pytest.approx(expected)
+    assert {r.parent: r.unseen for r in unknown} == pytest.approx(
+        {p: math.log(b / a) for p, (a, b) in left.items()}
+    )
+
+
 def test_perplexity_measures(spark, corpus):
     for r in queries.op2_perplexity(spark, SF_DIR).collect():
         text = corpus[r.doc_id] or ""
