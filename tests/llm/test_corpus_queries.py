@@ -109,6 +109,40 @@ def test_toxicity_ratios(spark):
     )
 
 
+def test_toxicity_of_rare_words(spark, monkeypatch):
+    """Each expression keeps its own counts, however many there are and wherever they are looked up."""
+    rows = [(k, f"plain{k} usual words", 0) for k in range(300)]
+    rows += [(1000 + k, f"zzgrim{k % 40} usual words", 1) for k in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    texts = ["zzgrim7", "zzgrim99", "zzgri", "zzgr x", "plain3", "unheard", "usual zzgrim3 zzgrim3", "", None]
+    asked = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = []
+    for share in (0.0, 0.01, 2.0):
+        monkeypatch.setattr(toxicity, "TABLE_SHARE", share)
+        model = toxicity.fit(docs, labels)
+        known = {r.key for r in model.table.collect()}
+        assert len(known) == model.table.count()
+        assert len(model.frequent.keys) == (len(known) if not share else 0 if share > 1 else len(model.frequent.keys))
+        scored = toxicity.score(asked, model).collect()
+        found.append({r.doc_id: (r.n_words, r.evidence, r.strong_evidence, r.score) for r in scored})
+    for other in found[1:]:
+        assert all(other[i] == pytest.approx(found[0][i]) for i in range(len(texts)))
+    evidence = {t: found[0][i][1] for i, t in enumerate(texts)}
+    assert evidence["zzgrim7"] > 0 == evidence["plain3"] == evidence["unheard"] == evidence[None]
+    assert evidence["zzgrim99"] > 0
+
+
+def test_labelled_documents_pass_the_bitmap(spark, monkeypatch):
+    own = spark.createDataFrame([*((k, str(k)) for k in range(500)), (None, "x")], "id long, text string")
+    marked = own.selectExpr("id", "1 AS y").where("id % 5 = 0")
+    for bits, most in ((26, 101), (8, 400)):
+        monkeypatch.setattr(toxicity, "BITMAP_BITS", bits)
+        got = {r.id for r in toxicity._maybe_labelled(own, marked).collect()}
+        assert set(range(0, 500, 5)) <= got and len(got) <= most
+    assert toxicity._maybe_labelled(own, marked.where("false")).count() == 0
+
+
 def test_perplexity_measures(spark, corpus):
     for r in queries.op2_perplexity(spark, SF_DIR).collect():
         text = corpus[r.doc_id] or ""
