@@ -30,19 +30,19 @@ from tablemill.session import job_session, scratch_uri  # noqa: E402
 from tablemill.sources import SourceReader, ad_hoc, load_connections  # noqa: E402
 from tablemill.spec import SinkSpec, SourceSpec  # noqa: E402
 
-# The operators on text corpora are a subpackage of their own and may be absent.
+# The operators on text corpora and their pipeline may be absent, together or one by one.
+llm = corpus_pipeline = None
 try:
     from tablemill.llm import queries as llm
 except ModuleNotFoundError as missing:
-    if missing.name != "tablemill.llm":
+    if missing.name not in ("tablemill.llm", "tablemill.llm.queries"):
         raise
-    llm = None
-try:
-    import corpus_pipeline
-except ModuleNotFoundError as missing:
-    if missing.name != "corpus_pipeline":
-        raise
-    corpus_pipeline = None
+if llm:
+    try:
+        import corpus_pipeline
+    except ModuleNotFoundError as missing:
+        if missing.name != "corpus_pipeline":
+            raise
 
 SINCE = dt.date(2000, 1, 1)
 DONE = {"completed_status": "F"}
@@ -420,7 +420,8 @@ def entry(spark: SparkSession) -> DataFrame:
     return _job("customer_sales_summary")(spark, "/root/testdata/sf0.001")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries on tables; those on text corpora come on top in :func:`queries`."""
     plain = (
         source_query_completed_orders,
         source_table_products,
@@ -458,7 +459,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     jobs["job_product_sales_summary_keep_unmatched"] = _job(
         "product_sales_summary", keep_unmatched=True
     )
-    found = {**{query.__name__: query for query in plain}, **jobs}
+    return {**{query.__name__: query for query in plain}, **jobs}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = table_queries()
     if llm:
         found |= llm.queries()
     if llm and corpus_pipeline:

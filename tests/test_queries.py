@@ -1,19 +1,17 @@
 """Every registered query against its SQL twin on the shared tables."""
 
-import re
+import shutil
+import subprocess
+import sys
 
 import oracle
 import pytest
-from conftest import SF_DIR
+from conftest import ROOT, SF_DIR
 
 import __spark_entry__ as driver
 
 # Queries on text corpora are tested in tests/llm.
-QUERIES = {
-    name: query
-    for name, query in driver.queries().items()
-    if not re.match(r"op\d+_|pipeline$", name)
-}
+QUERIES = driver.table_queries()
 TWINS = {name: sql for name, sql in driver.oracle_sql().items() if name in QUERIES}
 
 
@@ -39,3 +37,16 @@ def test_entry_has_rows(spark):
     frame = driver.entry(spark)
     assert frame.columns == ["cust_id", "tier", "num_orders", "sales_total"]
     assert frame.count() > 0
+
+
+@pytest.mark.parametrize("gone", [(), ("tablemill/llm", "tests/llm"), ("tablemill/llm", "tests/llm", "corpus_pipeline.py")])
+def test_imports_without_the_text_operators(tmp_path, gone):
+    """The text operators and their pipeline may be deleted, together or not."""
+    leave = shutil.ignore_patterns(".git", "__pycache__", *(path.split("/")[-1] for path in gone))
+    shutil.copytree(ROOT, tmp_path / "copy", ignore=leave)
+    code = "import __spark_entry__ as d; print(len(d.queries()) - len(d.table_queries()), len(d.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    more, twins = map(int, done.stdout.split())
+    there = bool(gone) or not (ROOT / "tablemill" / "llm").exists()
+    assert (more == 0) == there and twins >= len(driver.table_queries())
