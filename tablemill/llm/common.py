@@ -26,10 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fold(doc_id: Column | str) -> Column:
-    """crc32(doc_id as text) mod 5; null for a null id."""
+def fold(doc_id: Column | str, folds: int = 5) -> Column:
+    """crc32(doc_id as text) mod ``folds``; null for a null id."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
 def lower_ascii(text: Column) -> Column:

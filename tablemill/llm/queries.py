@@ -9,15 +9,18 @@ from . import (
     bpe,
     brown,
     exactdedup,
+    hyperlang,
     linespread,
+    lockstep,
     mixing,
     partenum,
     perplexity,
     private,
     secretscan,
+    slotmine,
     toxicity,
 )
-from .common import UPPER, WORD, fold, table
+from .common import UPPER, WORD, fold, table, written
 
 # The corpus has no column for the domain of a source; its number stands in for one.
 DOMAIN_SHARES = {("d0",): 3, ("d1",): 2, ("d0", "en"): 2}
@@ -91,11 +94,15 @@ def op7_trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secretscan.scan(table(spark, sf_dir, "documents"))
 
 
-def word_tokenizer() -> str:
-    """Where the vocabulary file of the word tokenizer lies on this machine."""
+def _vocabulary(file: str) -> str:
+    """Where a vocabulary file lies on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(file)
+
+
+def word_tokenizer() -> str:
+    return _vocabulary("word_bpe_49k.json")
 
 
 def op8_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +119,34 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_slot_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    own = table(spark, sf_dir, "embeddings").where(finite)
+    rows = own.select(F.col("vec_id").alias("id"), shifted.alias("label"), whole.alias("vector"))
+    return slotmine.mine(rows, F.col("id") % 50 == 0)
+
+
+def op12_lockstep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = _vocabulary("piece_bpe_32k.model")
+    aligned = lockstep.align(docs, _vocabulary("byte_bpe_50k.json"), pieces)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    counts = ["n_a", "n_b", "n_groups", "n_links"]
+    aligned = written(aligned.select("doc_id", *counts, digest, "pairs", "times"), "aligned")
+    return lockstep.score_links(aligned, lockstep.id_count(pieces)).select(
+        "doc_id", *counts, "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op13_hyperdimensional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold("doc_id", 3) == 1, F.lit(False))
+    sums = hyperlang.learn(docs.where(~held_out))
+    return hyperlang.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), sums)
+
+
 def queries() -> dict:
     return {
         query.__name__: query
@@ -126,6 +161,9 @@ def queries() -> dict:
             op8_backtracking_bpe,
             op9_weak_supervision,
             op10_line_spread,
+            op11_slot_mining,
+            op12_lockstep,
+            op13_hyperdimensional,
         )
     }
 
@@ -217,9 +255,33 @@ _MIX = f"""
                AS epoch FROM placed)"""
 
 
+_HARD_NEGATIVES = """
+  WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (
+    SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same,
+           CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+    FROM v AS a JOIN v ON a.vec_id % 50 = 0 AND a.vec_id <> v.vec_id),
+  p AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+  SELECT anchor_id, positive_id,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id
+                                 ORDER BY score DESC, vec_id) AS INT) AS rank,
+         vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score
+  QUALIFY rank <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_content_sort": _DUPLICATES,
         "op4_mixing": _MIX,
         "op10_line_spread": _line_spread(),
+        "op11_slot_mining": _HARD_NEGATIVES,
     }
