@@ -16,8 +16,10 @@ the counts up where they are: the pairs with at least ``SENT_SHARE`` of all link
 executors, all others are joined; none of these has so many links that it could
 overload a task.
 
-A worker holds an Arrow batch and the arrays of one piece of about a megabyte (or
-of one longer text), some 200 bytes a token; results leave piece by piece.
+Each distinct word of a piece is encoded once, if the tokenizers allow that, see
+``Encoder``; otherwise whole texts are. A worker holds an Arrow batch, the ids of one
+piece of about four megabytes, and the arrays of ``TOKENS`` tokens (or of one longer
+text), some 200 bytes each; results leave part by part, and nothing is kept.
 
 Rows: a text has no tokens if it is null or empty, or if the joined bytes of the
 tokens of A or B are not those of a space and the text (a normaliser changed it,
@@ -29,8 +31,9 @@ of their B id. Other columns are kept, whatever their names.
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
@@ -43,9 +46,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import written
-from .text import Piece, pieces, runs_of
+from .text import Piece, pieces, runs_of, span_hashes
 
 LANE = 256
+#: Bytes of text that are encoded at a time, words in a line, tokens of A that are aligned at a time.
+PIECE = 1 << 22
+LINE = 256
+TOKENS = 1 << 18
 SENT_SHARE = 2.0**-20
 
 _ALIGNED = [
@@ -60,31 +67,39 @@ _ALIGNED = [
 
 
 @dataclass(frozen=True)
-class Strings:
-    """Byte strings laid end to end: that of number i is ``body[first[i]:first[i] + size[i]]``."""
+class Runs:
+    """Runs of numbers laid end to end: run i is ``body[first[i]:first[i] + size[i]]``."""
 
     body: np.ndarray
     first: np.ndarray
     size: np.ndarray
 
     @classmethod
-    def of(cls, strings: list[bytes]) -> Strings:
-        size = np.array([len(s) for s in strings], np.int64)
-        body = np.frombuffer(b"".join(strings) or b"\0", np.uint8)
+    def of(cls, body: np.ndarray, size) -> Runs:
+        size = np.array(size, np.int64)
         return cls(body, np.cumsum(size) - size, size)
 
-    def joined(self, numbers: np.ndarray) -> np.ndarray:
-        size = self.size[numbers]
-        shift = self.first[numbers] - (np.cumsum(size) - size)
+    @classmethod
+    def of_strings(cls, strings: list[bytes]) -> Runs:
+        return cls.of(np.frombuffer(b"".join(strings), np.uint8), [len(s) for s in strings])
+
+    def joined(self, runs: np.ndarray) -> np.ndarray:
+        size = self.size[runs]
+        shift = self.first[runs] - (np.cumsum(size) - size)
         return self.body[np.repeat(shift, size) + np.arange(size.sum())]
 
 
 @dataclass(frozen=True)
 class Encoder:
-    """``encode`` gives the ids of each text; ``tokens`` the bytes of each id."""
+    """``encode`` gives the ids of a space and each text; ``tokens`` the bytes of each id.
+
+    With ``by_words`` no token reaches over a space that follows a graphic ASCII
+    character, and texts cut before such spaces have the same tokens.
+    """
 
     encode: Callable[[list[str]], list[list[int]]]
-    tokens: Strings
+    tokens: Runs
+    by_words: bool
 
 
 def _byte_letters() -> dict[str, int]:
@@ -118,7 +133,11 @@ def byte_level(path: str) -> Encoder:
         return [e.ids for e in library.encode_batch_fast(spaced, add_special_tokens=False)]
 
     size = 1 + max(library.get_vocab(with_added_tokens=True).values())
-    return Encoder(encode, Strings.of([token(i) for i in range(size)]))
+    # The pattern that cuts texts before merging starts a cut at each such space.
+    setup = json.loads(library.to_str())
+    cuts = setup["pre_tokenizer"] or {}
+    by_words = not setup["normalizer"] and cuts.get("type") == "ByteLevel" and cuts["use_regex"]
+    return Encoder(encode, Runs.of_strings([token(i) for i in range(size)]), bool(by_words))
 
 
 @lru_cache(maxsize=2)
@@ -134,9 +153,14 @@ def pieced(path: str) -> Encoder:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
+    numbers = range(library.get_piece_size())
+    # Merging never makes what no piece has: a space after something else.
+    by_words = not any("▁" in library.id_to_piece(i).lstrip("▁") for i in numbers)
+    by_words &= library.normalize(" a  b ") == "▁▁a▁▁b▁"
     return Encoder(
         lambda texts: library.encode(texts, num_threads=1),
-        Strings.of([token(i) for i in range(library.get_piece_size())]),
+        Runs.of_strings([token(i) for i in numbers]),
+        by_words,
     )
 
 
@@ -145,24 +169,84 @@ def id_count(path_b: str) -> int:
     return len(pieced(path_b).tokens.size)
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    first = np.concatenate([[0], np.cumsum([len(ids) for ids in lists])]).astype(np.int64)
-    ids = np.fromiter(chain.from_iterable(lists), np.int64, first[-1])
-    return ids, first
-
-
-def _spells(tokens: Strings, ids, first, want, bounds) -> np.ndarray:
-    """Which rows' tokens, joined, are the bytes wanted."""
-    size = np.concatenate([[0], np.cumsum(tokens.size[ids])])[first]
-    good = np.diff(size) == np.diff(bounds)
-    empty = np.concatenate([[0], np.cumsum(tokens.size[ids] == 0)])[first]
-    good &= np.diff(empty) == 0
-    mine = np.repeat(good, np.diff(first))
-    theirs = np.repeat(good, np.diff(bounds))
-    differ = tokens.joined(ids[mine]) != want[theirs]
-    if differ.any():
-        row = np.repeat(np.flatnonzero(good), np.diff(bounds)[good])
-        good[np.unique(row[differ])] = False
+@dataclass(frozen=True)
+class Encoded:
+    """The ids of all rows, where each row's begin, and which rows they spell."""
+
+    ids: np.ndarray
+    first: np.ndarray
+    good: np.ndarray
+
+    def rows(self, start: int, stop: int) -> Encoded:
+        first = self.first[start : stop + 1]
+        return Encoded(self.ids[first[0] : first[-1]], first - first[0], self.good[start:stop])
+
+
+def encoded(piece: Piece, encoder: Encoder) -> Encoded:
+    """Rows by their words, each distinct word (with what precedes it) encoded once."""
+    data, bounds = piece.data, piece.bounds
+    filled = np.flatnonzero(np.diff(bounds) > 0)
+    starts, ends = bounds[filled], bounds[filled + 1]
+    if encoder.by_words and len(data) > 2:
+        # The cut space is the one that the encoder adds.
+        graphic = (data > 0x20) & (data < 0x7F)
+        cut = np.flatnonzero((data[1:-1] == 0x20) & graphic[:-2]) + 1
+        row = np.searchsorted(bounds, cut, "right") - 1
+        cut = cut[(cut > bounds[row]) & (cut + 1 < bounds[row + 1])]
+        starts, ends = np.sort(np.append(starts, cut + 1)), np.sort(np.append(ends, cut))
+    _, some, which = np.unique(
+        span_hashes(data, starts, ends), return_index=True, return_inverse=True
+    )
+    starts_of, ends_of = starts[some], ends[some]
+    body = data.tobytes()
+    texts = [body[x:y] for x, y in zip(starts_of.tolist(), ends_of.tolist(), strict=True)]
+    words = _encoded_words(texts, encoder)
+    spells = _spells(encoder.tokens, words, Runs.of_strings([b" " + text for text in texts]))
+    owner = np.searchsorted(bounds, starts, "right") - 1
+    n = np.bincount(owner, words.size[which], piece.rows).astype(np.int64)
+    good = np.bincount(owner, ~spells[which], piece.rows) == 0
+    first = np.concatenate([[0], np.cumsum(n)])
+    return Encoded(words.joined(which), first, good)
+
+
+def _encoded_words(texts: list[bytes], encoder: Encoder) -> Runs:
+    """The ids of each text. Words that may stand before a space are encoded in lines."""
+
+    def one_by_one(some: list[bytes]) -> Runs:
+        lists = encoder.encode([text.decode(errors="replace") for text in some])
+        size = [len(ids) for ids in lists]
+        return Runs.of(np.fromiter(chain.from_iterable(lists), np.int64, sum(size)), size)
+
+    if not encoder.by_words:
+        return one_by_one(texts)
+    inner = np.array([0x20 < text[-1] < 0x7F for text in texts], bool)
+    line = [text for text, yes in zip(texts, inner.tolist(), strict=True) if yes]
+    lines = [b" ".join(line[i : i + LINE]) for i in range(0, len(line), LINE)]
+    ids = one_by_one(lines).body
+    ends = np.cumsum([len(text) + 1 for text in line])
+    spelled = np.cumsum(encoder.tokens.size[ids])
+    at = np.searchsorted(spelled, ends)
+    if not len(line) or len(spelled) != at[-1] + 1 or (spelled[at] != ends).any():
+        # Something changed some of them, so their ends are not known.
+        return one_by_one(texts)
+    rest = one_by_one([text for text, yes in zip(texts, inner.tolist(), strict=True) if not yes])
+    size = np.empty(len(texts), np.int64)
+    size[inner], size[~inner] = np.diff(np.concatenate([[0], at + 1])), rest.size
+    first = np.empty(len(texts), np.int64)
+    first[inner] = np.cumsum(size[inner]) - size[inner]
+    first[~inner] = len(ids) + rest.first
+    return Runs(np.concatenate([ids, rest.body]), first, size)
+
+
+def _spells(tokens: Runs, words: Runs, texts: Runs) -> np.ndarray:
+    """Which words' tokens, joined, are their texts; a token without bytes spells nothing."""
+    every = np.arange(len(words.size))
+    number, sizes = np.repeat(every, words.size), tokens.size[words.joined(every)]
+    good = np.bincount(number, sizes, len(every)) == texts.size
+    good[number[sizes == 0]] = False
+    some = np.flatnonzero(good)
+    differ = tokens.joined(words.joined(some)) != texts.joined(some)
+    good[np.repeat(some, texts.size[some])[differ]] = False
     return good
 
 
@@ -194,8 +278,8 @@ def merge(ends_a: np.ndarray, ends_b: np.ndarray, first_a: np.ndarray) -> tuple:
 
 
 @lru_cache(maxsize=1)
-def _decimals(size: int) -> Strings:
-    return Strings.of([b"%d," % i for i in range(size)])
+def _decimals(size: int) -> Runs:
+    return Runs.of_strings([b"%d," % i for i in range(size)])
 
 
 def _spelled_groups(a, b, links_a, links_b, first_a, first_b) -> pa.Array:
@@ -225,20 +309,21 @@ def _spelled_groups(a, b, links_a, links_b, first_a, first_b) -> pa.Array:
     return pa.Array.from_buffers(kind, len(rows) - 1, [None, pa.py_buffer(bounds.astype(width)), data])
 
 
-def _aligned(piece: Piece, one: Encoder, other: Encoder) -> list[pa.Array]:
-    """The columns ``_ALIGNED`` of the rows of a piece."""
-    data, at = piece.data.tobytes(), piece.bounds.tolist()
-    texts = [data[x:y].decode(errors="replace") for x, y in zip(at[:-1], at[1:], strict=True)]
-    a, first_a = _flat(one.encode(texts))
-    b, first_b = _flat(other.encode(texts))
-    # A space before every text.
-    want = np.insert(piece.data, piece.bounds[:-1], ord(" "))
-    bounds = piece.bounds + np.arange(piece.rows + 1)
-    good = np.diff(piece.bounds) > 0
-    good &= _spells(one.tokens, a, first_a, want, bounds)
-    good &= _spells(other.tokens, b, first_b, want, bounds)
-    a, n_a = a[np.repeat(good, np.diff(first_a))], np.where(good, np.diff(first_a), 0)
-    b, n_b = b[np.repeat(good, np.diff(first_b))], np.where(good, np.diff(first_b), 0)
+def _aligned(piece: Piece, one: Encoder, other: Encoder) -> Iterator[tuple[int, list[pa.Array]]]:
+    """Number of rows and the columns ``_ALIGNED`` of some rows of a piece, then of the next ones."""
+    a, b = encoded(piece, one), encoded(piece, other)
+    good = a.good & b.good
+    row = 0
+    while row < piece.rows:
+        stop = int(np.searchsorted(a.first, a.first[row] + TOKENS, "right")) - 1
+        stop = min(max(stop, row + 1), piece.rows)
+        yield stop - row, _columns(a.rows(row, stop), b.rows(row, stop), good[row:stop], one, other)
+        row = stop
+
+
+def _columns(a: Encoded, b: Encoded, good, one: Encoder, other: Encoder) -> list[pa.Array]:
+    n_a, n_b = (np.where(good, np.diff(e.first), 0) for e in (a, b))
+    a, b = (e.ids[np.repeat(good, np.diff(e.first))] for e in (a, b))
     first_a, first_b = (np.concatenate([[0], np.cumsum(n)]) for n in (n_a, n_b))
     links_a, links_b = merge(
         np.cumsum(one.tokens.size[a]), np.cumsum(other.tokens.size[b]), first_a
@@ -246,11 +331,11 @@ def _aligned(piece: Piece, one: Encoder, other: Encoder) -> list[pa.Array]:
     cuts = np.searchsorted(links_a, first_a)
     n_links = np.diff(cuts)
     pair = a[links_a] * len(other.tokens.size) + b[links_b]
-    row = np.repeat(np.arange(piece.rows), n_links)
+    row = np.repeat(np.arange(len(good)), n_links)
     order = np.lexsort((pair, row))
     pair, row = pair[order], row[order]
     heads = runs_of(row, pair)
-    lists = np.searchsorted(row[heads[:-1]], np.arange(piece.rows + 1)).astype(np.int32)
+    lists = np.searchsorted(row[heads[:-1]], np.arange(len(good) + 1)).astype(np.int32)
     groups = _spelled_groups(a, b, links_a, links_b, first_a, first_b)
     return [
         *(pa.array(n, pa.int64()) for n in (n_a, n_b, n_links, n_links)),
@@ -278,12 +363,14 @@ def align(docs: DataFrame, path_a: str, path_b: str, text: str = "text") -> Data
     def run(batches):
         one, other = byte_level(path_a), pieced(path_b)
         for batch in batches:
-            for piece in pieces(batch.column(at)):
-                beside = batch.slice(piece.first, piece.rows)
-                columns = [beside.column(i) for i in kept] + _aligned(piece, one, other)
-                yield pa.RecordBatch.from_arrays(
-                    [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
-                )
+            for piece in pieces(batch.column(at), PIECE):
+                start = piece.first
+                for rows, new in _aligned(piece, one, other):
+                    columns = [batch.column(i).slice(start, rows) for i in kept] + new
+                    yield pa.RecordBatch.from_arrays(
+                        [c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow
+                    )
+                    start += rows
 
     out = boxed.mapInArrow(run, schema)
     return out.toDF(*(names[i] for i in kept), *(f.name for f in _ALIGNED))

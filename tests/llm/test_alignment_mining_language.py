@@ -7,10 +7,16 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tablemill.llm import hyperlang, lockstep, queries, slotmine
+from tablemill.llm.text import pieces
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -42,16 +48,19 @@ def texts(spark):
 # Token alignment
 
 
-def tokens(encoder, text):
-    ids, s = encoder.encode([text])[0], encoder.tokens
-    return ids, [s.body[s.first[i] : s.first[i] + s.size[i]].tobytes() for i in ids]
-
-
-def aligned(text):
-    """(A ids, B ids, groups, links) of a text by a plain loop over its bytes."""
-    (a, spelled_a), (b, spelled_b) = (
-        tokens(e, text or "") for e in (lockstep.byte_level(BYTE_BPE), lockstep.pieced(PIECES))
-    )
+def aligned(text, known={}):
+    """(A ids, B ids, groups, links) of a text by a plain loop over the libraries' whole encodings."""
+    if not known:
+        known["a"] = Tokenizer.from_file(BYTE_BPE)
+        known["a"].encode_special_tokens = True
+        known["b"] = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+        known["bytes"] = [
+            [e.tokens.body[x : x + n].tobytes() for x, n in zip(e.tokens.first, e.tokens.size, strict=True)]
+            for e in (lockstep.byte_level(BYTE_BPE), lockstep.pieced(PIECES))
+        ]
+    a = known["a"].encode(" " + (text or ""), add_special_tokens=False).ids
+    b = known["b"].encode(text or "")
+    spelled_a, spelled_b = ([one[i] for i in ids] for one, ids in zip(known["bytes"], (a, b), strict=True))
     if not text or not b"".join(spelled_a) == b"".join(spelled_b) == b" " + text.encode():
         return [], [], [], []
     end_of, groups, links, held = {}, [], [], ([], [])
@@ -59,14 +68,14 @@ def aligned(text):
     for i, s in zip(b, spelled_b, strict=True):
         place += len(s)
         end_of[place] = i
-    order = list(end_of)
+    order = list(end_of)[::-1]
     place = 0
     for i, s in zip(a, spelled_a, strict=True):
         place += len(s)
         held[0].append(i)
         if place in end_of:
-            while order and order[0] <= place:
-                held[1].append(end_of[order.pop(0)])
+            while order and order[-1] <= place:
+                held[1].append(end_of[order.pop()])
             groups.append(held)
             links.append((i, end_of[place]))
             held = ([], [])
@@ -139,6 +148,19 @@ def test_alignment_keeps_clashing_columns_and_empty_tables(spark, texts):
     assert lockstep.score_links(none, 10).collect() == []
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("ab'sé▁漢\u00a0\u3000\t\n !1.<|>") + [" "] * 6), max_size=30)))
+def test_words_encode_like_whole_texts(texts):
+    piece = next(pieces(pa.array(texts), 1 << 20), None)
+    for encoder in (lockstep.byte_level(BYTE_BPE), lockstep.pieced(PIECES)):
+        assert encoder.by_words
+        if piece:
+            found = lockstep.encoded(piece, encoder)
+            cuts = found.first.tolist()
+            got = [found.ids[x:y].tolist() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            assert [g for g, t in zip(got, texts, strict=True) if t] == encoder.encode([t for t in texts if t])
+
+
 def test_lanes_do_not_change_the_links(monkeypatch):
     rng = np.random.default_rng(5)
     a, b, first = [], [], [0]
