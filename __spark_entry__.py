@@ -271,7 +271,7 @@ def agg_distinct_months(spark, sf_dir):
         _completed(_reader(spark, sf_dir)),
         ["customer_id"],
         counts={"n_orders": F.col("order_id")},
-        distincts={"n_months": fn.month_start(F.col("order_date"))},
+        months={"n_months": F.col("order_date")},
     )
 
 
@@ -300,7 +300,7 @@ def ratio_nullif_round(spark, sf_dir):
         join_key="customer_id",
         group_by=["customer_id"],
         counts={"n_orders": F.col("order_id")},
-        distincts={"n_months": fn.month_start(F.col("order_date"))},
+        months={"n_months": F.col("order_date")},
     )
     ratio = fn.guarded_ratio(F.col("n_orders"), F.col("n_months"))
     return _doubles(totals.withColumn("orders_per_month", ratio))

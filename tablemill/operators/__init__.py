@@ -8,9 +8,11 @@ from tablemill.operators.joins import (
     inner_join,
     left_join,
 )
+from tablemill.operators.months import MonthWindow
 from tablemill.operators.projection import rename_columns, require_unique_columns
 
 __all__ = [
+    "MonthWindow",
     "copies_per_key",
     "existence_join",
     "grouped_for_join",

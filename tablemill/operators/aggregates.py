@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablemill.operators.joins import copies_per_key, grouped_for_join
+from tablemill.operators.months import MonthWindow, totals_with_months
 
 
 Named = dict[str, Column]
@@ -40,7 +41,12 @@ def times(copies: Column, amount: Column, kind: T.DataType) -> Column:
 
 
 def _aggregates(
-    counts: Named | None, sums: Named | None, averages: Named | None, distincts: Named | None
+    counts: Named | None,
+    sums: Named | None,
+    averages: Named | None,
+    distincts: Named | None,
+    months: Named | None,
+    window: MonthWindow,
 ) -> list[Column]:
     return [
         function(column).alias(name)
@@ -49,6 +55,7 @@ def _aggregates(
             (F.sum, sums),
             (F.avg, averages),
             (F.count_distinct, distincts),
+            (window.count, months),
         )
         for name, column in (group or {}).items()
     ]
@@ -61,9 +68,18 @@ def totals_by_key(
     sums: Named | None = None,
     averages: Named | None = None,
     distincts: Named | None = None,
+    months: Named | None = None,
+    window: MonthWindow = MonthWindow(),
 ) -> DataFrame:
-    """COUNT, SUM, AVG and exact COUNT DISTINCT per key; NULLs are not counted."""
-    return facts.groupBy(*keys).agg(*_aggregates(counts, sums, averages, distincts))
+    """COUNT, SUM, AVG and exact COUNT DISTINCT per key; NULLs are not counted.
+
+    ``months`` are dates or timestamps whose distinct months are counted, without a
+    row per key and month in the shuffle; ``distincts`` are any other expressions.
+    """
+    wanted = _aggregates(counts, sums, averages, distincts, months, window)
+    if months:
+        return totals_with_months(facts, keys, wanted, months, window)
+    return facts.groupBy(*keys).agg(*wanted)
 
 
 def totals_over_join(
@@ -76,6 +92,8 @@ def totals_over_join(
     averages: Named | None = None,
     distincts: Named | None = None,
     keep_unmatched: bool = True,
+    months: Named | None = None,
+    window: MonthWindow = MonthWindow(),
 ) -> DataFrame:
     """Aggregate facts per dimension group over a left (or inner) join.
 
@@ -86,12 +104,18 @@ def totals_over_join(
     group_by = list(group_by)
     if join_key not in group_by:
         raise ValueError("group_by must include the join key")
-    wanted = _aggregates(counts, sums, averages, distincts)
     facts = facts.filter(F.col(join_key).isNotNull())
     if group_by == [join_key]:
-        per_key = facts.groupBy(join_key).agg(*wanted)
+        wanted = _aggregates(counts, sums, averages, distincts, months, window)
+        if months:
+            per_key = totals_with_months(facts, [join_key], wanted, months, window, whole=True)
+        else:
+            per_key = facts.groupBy(join_key).agg(*wanted)
     else:
-        # A join key may come with many groups, so the join must stay splittable.
+        # A join key may come with many groups, so the join must stay splittable, which a
+        # second join for months outside the window would prevent.
+        plain = {**(distincts or {}), **{n: window.number(m) for n, m in (months or {}).items()}}
+        wanted = _aggregates(counts, sums, averages, plain, None, window)
         per_key = grouped_for_join(facts, [join_key], *wanted)
     groups = copies_per_key(dimension, group_by, "__copies")
     joined = groups.join(per_key, join_key, "left" if keep_unmatched else "inner")
@@ -102,5 +126,5 @@ def totals_over_join(
         *[times(copies, F.col(n), per_key.schema[n].dataType).alias(n) for n in sums or {}],
         # Repeating every fact equally changes neither a mean nor a set.
         *[F.col(n) for n in averages or {}],
-        *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in distincts or {}],
+        *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in (*(distincts or {}), *(months or {}))],
     )

@@ -201,3 +201,47 @@ def test_predicates(spark):
     for unset in (None, ""):
         assert frame.filter(fn.matches_if_set(F.col("c"), unset)).count() == 3
     assert frame.filter(fn.matches_if_set(F.col("c"), "b")).count() == 1
+
+
+# The window's edges, sentinels far outside, and ordinary days.
+DAYS = st.one_of(
+    st.none(),
+    st.sampled_from(
+        [dt.date(*d) for d in ((1, 1, 1), (1989, 12, 31), (1990, 1, 1), (2032, 8, 31), (2032, 9, 1), (9999, 12, 31))]
+    ),
+    st.dates(dt.date(1984, 1, 1), dt.date(2040, 1, 1)),
+)
+
+
+@FEW
+@given(
+    rows=st.lists(st.tuples(KEYS, DAYS, st.one_of(st.none(), st.integers(0, 9))), max_size=40),
+    kind=st.sampled_from(["date", "timestamp", "timestamp_ntz"]),
+    window=st.sampled_from([op.MonthWindow(), op.MonthWindow(2000, 1)]),
+)
+def test_months_as_bits_equal_count_distinct(spark, rows, kind, window):
+    facts = spark.createDataFrame(rows, "k bigint, d date, n int").withColumn("d", F.col("d").cast(kind))
+    by_bits = op.totals_by_key(
+        facts, ["k"], counts={"n": F.col("n")}, months={"months": F.col("d")}, window=window
+    )
+    plain = facts.groupBy("k").agg(
+        F.count("n").alias("n"), F.count_distinct(fn.month_start(F.col("d"))).alias("months")
+    )
+    assert by_bits.schema["months"].dataType == plain.schema["months"].dataType
+    assert bag(by_bits) == bag(plain)
+    people = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (7, "c"), (None, "d")], "k bigint, g string")
+    months = {"months": F.col("d")}
+    for by in (["k"], ["k", "g"]):
+        joined = op.totals_over_join(people, facts, "k", by, {"n": F.col("n")}, months=months, window=window)
+        wanted = people.join(facts, "k", "left").groupBy(*by).agg(
+            F.count("n").alias("n"), F.count_distinct(fn.month_start(F.col("d"))).alias("months")
+        )
+        assert bag(joined) == bag(wanted)
+
+
+def test_month_windows():
+    window = op.MonthWindow()
+    assert (window.start, window.end) == (dt.date(1990, 1, 1), dt.date(2032, 9, 1))
+    for wrong in ({"words": 0}, {"first_year": 0}, {"first_year": 9990}):
+        with pytest.raises(ValueError):
+            op.MonthWindow(**wrong)

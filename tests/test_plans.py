@@ -24,11 +24,12 @@ def plan(spark, name):
 
 
 def scans(text):
-    """File name -> (pushed filters, columns read)."""
+    """File name -> (pushed filters, columns read); of several scans of a file the widest."""
     found = re.findall(
         r"Location: \S+ \[\S*/(\w+)\.parquet\]\n(?:PushedFilters: \[(.*?)\]\n)?ReadSchema: struct<(.*?)>",
         text,
     )
+    found.sort(key=lambda scan: scan[2].count(":"))
     return {name: (pushed, re.findall(r"(\w+):", columns)) for name, pushed, columns in found}
 
 
@@ -42,9 +43,22 @@ def test_frequency(large):
     assert "EqualTo(o_orderstatus,F)" in read["orders"][0]
     assert read["orders"][1] == ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]
     assert read["customer"][1] == ["c_custkey", "c_acctbal"]
-    # Customers once; orders twice, both times after a partial aggregate.
-    assert exchanges(text) == 3
-    assert text.count("count(distinct") > 0 and "Expand" not in text
+    # Customers and orders once each, orders after a partial aggregate; twice those orders whose
+    # month has no bit. The filter on them reaches the scan.
+    assert exchanges(text) == 4 and text.count("partial_bit_or") == 8 and "Expand" not in text
+    assert re.search(r"Or\(LessThan\(o_orderdate,1990-01-01T00:00\),GreaterThanOrEqual\(o_orderdate,2032-09-01", text)
+
+
+@pytest.mark.parametrize("name", ["job_customer_order_frequency", "agg_distinct_months", "ratio_nullif_round"])
+def test_months_need_one_shuffle(large, name):
+    """The branch for other months is gone from the plan that ran."""
+    query, limit = driver.queries()[name], "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    large.conf.set(limit, "-1")
+    frame = query(large, SF_DIR)
+    ran = final_plan(frame)
+    large.conf.unset(limit)
+    assert "count(distinct" not in ran and "Join" in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert ran.count("Exchange hashpartitioning") == (1 if name == "agg_distinct_months" else 2)
 
 
 def test_customer_sales(large):
