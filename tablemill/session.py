@@ -20,6 +20,7 @@ PARTITION_BYTES_KEY = "tablemill.partitionBytes"
 MAX_PARTITIONS_KEY = "tablemill.maxPartitions"
 MAX_READ_TASKS_KEY = "tablemill.maxReadTasks"
 UNKNOWN_SOURCE_BYTES_KEY = "tablemill.unknownSourceBytes"
+SINGLE_READ_BYTES_KEY = "tablemill.maxSingleReadBytes"
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 READ_SPLIT = "spark.sql.files.maxPartitionBytes"
@@ -34,6 +35,8 @@ DEFAULTS = {
     # What a source is taken to hold if neither it nor its connection tells.
     # Adaptive execution merges partitions that turn out small.
     UNKNOWN_SOURCE_BYTES_KEY: 256 * 1024**3,
+    # A JDBC source known to be larger than this must be split.
+    SINGLE_READ_BYTES_KEY: 16 * 1024**3,
 }
 MAX_SPLIT_BYTES = 1024**3
 # Sources without statistics report a size near the largest long.

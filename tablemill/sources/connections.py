@@ -9,7 +9,7 @@ from pathlib import Path
 from typing import Any
 
 from tablemill.errors import SpecError
-from tablemill.spec import read_yaml
+from tablemill.spec import column_names, read_yaml
 
 KINDS = ("catalog", "files", "connector")
 
@@ -36,6 +36,9 @@ class Connection:
     options: Mapping[str, str] = field(default_factory=dict)
     # About how many bytes one read gives, where the source itself does not tell.
     bytes: int | None = None
+    # Connectors: the key columns by which a table's read is dealt out, and into how many parts.
+    split_by: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    splits: int | None = None
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:
@@ -44,6 +47,8 @@ class Connection:
             raise SpecError(f"connection {self.label}: files need a base_path")
         if set(self.tables) & set(self.views):
             raise SpecError(f"connection {self.label}: a table and a view share a name")
+        if self.splits is not None and self.splits < 1:
+            raise SpecError(f"connection {self.label}: splits must be 1 or more")
 
     @classmethod
     def from_dict(
@@ -55,6 +60,8 @@ class Connection:
             raise SpecError(f"connection {label}: unknown keys {sorted(unknown)}")
         if base_path and raw.get("kind") == "files":
             raw["base_path"] = base_path
+        if "split_by" in raw:
+            raw["split_by"] = {t: column_names(keys) for t, keys in raw["split_by"].items()}
         return cls(label=label, **raw)
 
     def path_of(self, table: str) -> str:

@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import contextlib
-import datetime as dt
 import logging
 import re
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from decimal import Decimal
+from functools import reduce
 from typing import Any
 
 from pyspark import inheritable_thread_target
@@ -18,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tablemill.errors import SpecError
 from tablemill.session import (
+    MAX_READ_TASKS_KEY,
+    PARTITION_BYTES_KEY,
+    SINGLE_READ_BYTES_KEY,
     UNKNOWN_SOURCE_BYTES_KEY,
     described,
     input_bytes,
@@ -26,6 +28,8 @@ from tablemill.session import (
     unset_sizes,
 )
 from tablemill.sources.connections import Connection
+from tablemill.sources.literals import remote_literal
+from tablemill.sources.splits import Split, plan_splits
 from tablemill.spec import SourceSpec
 
 log = logging.getLogger(__name__)
@@ -33,30 +37,6 @@ log = logging.getLogger(__name__)
 CATALOG = Connection(label="catalog")
 
 
-def remote_literal(name: str, value: Any) -> str:
-    """A parameter as SQL text for a query that runs outside Spark.
-
-    Quoting differs between dialects, so strings are limited to characters that
-    need none.
-    """
-    if value is None:
-        return "NULL"
-    if isinstance(value, bool):
-        return str(value).upper()
-    if isinstance(value, (int, float, Decimal)):
-        return str(value)
-    if isinstance(value, dt.datetime):
-        return f"TIMESTAMP '{value:%Y-%m-%d %H:%M:%S.%f}'"
-    if isinstance(value, dt.date):
-        return f"DATE '{value:%Y-%m-%d}'"
-    if isinstance(value, str) and re.fullmatch(r"[\w .,:/#@+\-]*", value):
-        return f"'{value}'"
-    raise SpecError(
-        f"parameter {name}: {value!r} cannot be put into a remote query; "
-        "filter on it in the job's SQL"
-    )
-
-
 class SourceReader:
     """Opens sources of one session through its connections.
 
@@ -87,48 +67,113 @@ class SourceReader:
 
     def read(self, source: SourceSpec, args: Mapping[str, Any] | None = None) -> DataFrame:
         if source.is_query:
-            return self.query(source.text, args, source.connection)
-        return self.table(source.text, source.connection)
+            return self.query(source.text, args, source.connection, source.split_by)
+        return self.table(source.text, source.connection, source.split_by)
 
-    def table(self, name: str, label: str | None = None) -> DataFrame:
+    def table(
+        self, name: str, label: str | None = None, split_by: Sequence[str] = ()
+    ) -> DataFrame:
         connection = self.connection(label)
         if connection.kind == "connector":
-            key = "dbtable" if connection.format == "jdbc" else "table"
-            return self._sized(self._connector(connection).option(key, name).load(), connection)
+            split_by = split_by or connection.split_by.get(name, ())
+            return self._remote(connection, name, None, split_by)
         if connection.kind == "files":
             return self._file_frame(connection, name)
         return self._sized(self.session.read.table(name))
 
     def query(
-        self, sql: str, args: Mapping[str, Any] | None = None, label: str | None = None
+        self,
+        sql: str,
+        args: Mapping[str, Any] | None = None,
+        label: str | None = None,
+        split_by: Sequence[str] = (),
     ) -> DataFrame:
         connection = self.connection(label)
         if connection.kind == "connector":
-            return self._remote_query(connection, sql, args or {})
+            return self._remote(connection, None, self._with_literals(sql, args or {}), split_by)
         if connection.kind == "files":
             self._register(connection, sql)
         frame = self.session.sql(sql, args=dict(args or {}))
         return frame if connection.kind == "files" else self._sized(frame)
 
-    def _remote_query(
-        self, connection: Connection, sql: str, args: Mapping[str, Any]
+    @staticmethod
+    def _with_literals(sql: str, args: Mapping[str, Any]) -> str:
+        """Spark's markers end at Spark; the other side gets literals."""
+        if not args:
+            return sql
+        names = "|".join(map(re.escape, args))
+        return re.sub(
+            rf"(?<![:\w]):({names})\b",
+            lambda marker: remote_literal(marker[1], args[marker[1]]),
+            sql,
+        )
+
+    def _remote(
+        self, connection: Connection, table: str | None, sql: str | None, split_by: Sequence[str]
     ) -> DataFrame:
-        # Spark's markers end at Spark; the other side gets literals.
-        if args:
-            names = "|".join(map(re.escape, args))
-            sql = re.sub(
-                rf"(?<![:\w]):({names})\b",
-                lambda marker: remote_literal(marker[1], args[marker[1]]),
-                sql,
-            )
-        reader = self._connector(connection)
-        # JDBC splits a read over executors only when it is given as a table.
+        """A table or a query of a connector, dealt out over tasks where it says how."""
         if "partitionColumn" in connection.options:
+            # Spark's own ranges; JDBC takes them for tables only.
+            split_by = ()
+        elif split_by:
+            return self._sized(self._in_splits(connection, table, sql, split_by), connection)
+        else:
+            self._warn_of_one_task(connection, table or sql)
+        reader = self._connector(connection)
+        if table is not None:
+            reader = reader.option("dbtable" if connection.format == "jdbc" else "table", table)
+        elif "partitionColumn" in connection.options:
             reader = reader.option("dbtable", f"({sql}) AS source_rows")
         else:
             reader = reader.option("query", sql)
         return self._sized(reader.load(), connection)
 
+    def _in_splits(
+        self, connection: Connection, table: str | None, sql: str | None, split_by: Sequence[str]
+    ) -> DataFrame:
+        relation = table if table is not None else f"({sql}) AS source_rows"
+
+        def ask(query: str) -> DataFrame:
+            return self._connector(connection).option("query", query).load()
+
+        splits = plan_splits(ask, relation, split_by, self._wanted_splits(connection))
+        largest = max(split.rows for split in splits)
+        log.info("%s: %d reads of at most %d rows", relation, len(splits), largest)
+        if connection.format == "jdbc":
+            options = dict(connection.options)
+            conditions = [split.condition for split in splits]
+            url = options.pop("url")
+            return self.session.read.jdbc(url, relation, predicates=conditions, properties=options)
+
+        def one(split: Split) -> DataFrame:
+            return ask(f"SELECT * FROM {relation} WHERE {split.condition}")
+
+        return reduce(DataFrame.unionAll, [one(split) for split in splits])
+
+    def _wanted_splits(self, connection: Connection) -> int:
+        """By the connection's ``splits`` or ``bytes``, else a few for each core there is."""
+        wanted = connection.splits
+        if wanted is None and connection.bytes is not None:
+            wanted = -(-connection.bytes // package_setting(self.session, PARTITION_BYTES_KEY))
+        if wanted is None:
+            wanted = 4 * self.session.sparkContext.defaultParallelism
+        return max(1, min(wanted, package_setting(self.session, MAX_READ_TASKS_KEY)))
+
+    def _warn_of_one_task(self, connection: Connection, what: str) -> None:
+        """JDBC without ranges is one task; that is refused for sources known to be large."""
+        if connection.format != "jdbc":
+            return
+        most = package_setting(self.session, SINGLE_READ_BYTES_KEY)
+        if connection.bytes is not None and connection.bytes > most:
+            raise SpecError(
+                f"connection {connection.label}: {connection.bytes} bytes would be read by one task "
+                f"({SINGLE_READ_BYTES_KEY} is {most}); give split_by for {what!r}"
+            )
+        log.warning(
+            "connection %s: %r is read by one task; give split_by to share it out",
+            *(connection.label, what),
+        )
+
     def _connector(self, connection: Connection):
         return self.session.read.format(connection.format).options(**connection.options)
 

@@ -26,14 +26,23 @@ def read_yaml(source: str | Path) -> Any:
     return yaml.load(text, Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader))
 
 
+def column_names(raw: Any) -> tuple[str, ...]:
+    """One column name or a list of them."""
+    return (raw,) if isinstance(raw, str) else tuple(raw or ())
+
+
 @dataclass(frozen=True)
 class SourceSpec:
-    """A named input: a query run at the source, or a table read by name."""
+    """A named input: a query run at the source, or a table read by name.
+
+    ``split_by`` are key columns by which a connector's read is dealt out over tasks.
+    """
 
     name: str
     type: str
     text: str
     connection: str | None = None
+    split_by: tuple[str, ...] = ()
 
     @classmethod
     def from_dict(cls, name: str, raw: Mapping[str, Any]) -> SourceSpec:
@@ -46,7 +55,8 @@ class SourceSpec:
         text = raw.get("query") or (raw.get("table") if kind == "table" else None)
         if not isinstance(text, str) or not text.strip():
             raise SpecError(f"source {name}: a {kind} source needs its text")
-        return cls(name, kind, text.strip(), raw.get("connection"))
+        split_by = column_names(raw.get("split_by"))
+        return cls(name, kind, text.strip(), raw.get("connection"), split_by)
 
     @property
     def is_query(self) -> bool:
@@ -70,8 +80,7 @@ class SinkSpec:
         unknown = set(raw) - {"mode", "partition_by", "table"}
         if unknown:
             raise SpecError(f"sink: unknown keys {sorted(unknown)}")
-        columns = raw.get("partition_by") or ()
-        columns = (columns,) if isinstance(columns, str) else tuple(columns)
+        columns = column_names(raw.get("partition_by"))
         spec = cls(raw.get("mode", "auto"), columns, bool(raw.get("table", False)))
         if spec.mode not in SINK_MODES:
             raise SpecError(f"sink: unknown mode {spec.mode!r}")

@@ -9,7 +9,9 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from tablemill import Connection, JobSpec, SpecError, TableJob, load_connections, steps
 from tablemill.session import (
@@ -21,6 +23,7 @@ from tablemill.session import (
     size_tasks,
 )
 from tablemill.sources import SourceReader, ad_hoc, read_sources, with_retries
+from tablemill.sources.splits import plan_splits
 
 
 # Executors do not have this file.
@@ -324,3 +327,187 @@ def test_input_bytes(spark, shop, tmp_path):
     frame = spark.read.parquet(path)
     assert input_bytes(frame) == size
     assert input_bytes(frame.join(frame.select("order_id"), "order_id")) == 2 * size
+
+
+# Splits
+
+
+class Shelf(DataSource):
+    """A connector that answers SQL over one Parquet file, all of it in one task."""
+
+    @classmethod
+    def name(cls):
+        return "shelf"
+
+    def _ask(self):
+        import duckdb
+
+        text = self.options.get("query") or f"SELECT * FROM {self.options['table']}"
+        return duckdb.connect().from_parquet(self.options["path"]).query("books", text).to_arrow_table()
+
+    def schema(self):
+        return from_arrow_schema(self._ask().schema)
+
+    def reader(self, schema):
+        return ShelfReader(self._ask)
+
+
+class ShelfReader(DataSourceReader):
+    def __init__(self, ask):
+        self.ask = ask
+
+    def read(self, partition):
+        yield from self.ask().to_batches()
+
+
+@pytest.fixture(scope="module")
+def books(spark, tmp_path_factory):
+    """9,000 rows: a third of one shelf, a tenth of none, the others in ascending numbers."""
+    path = str(tmp_path_factory.mktemp("shelf") / "books.parquet")
+    frame = spark.range(9000).selectExpr(
+        "id",
+        "CASE WHEN id % 3 = 0 THEN 500 WHEN id % 10 = 1 THEN NULL ELSE id END AS shelf",
+        "CAST(id % 3000 AS DOUBLE) / 7 AS weight",
+        "CASE WHEN id % 10 = 0 THEN concat(\"it's \", id) ELSE concat('t', id) END AS title",
+        "DATE '2001-01-01' + CAST(id % 1000 AS INT) AS bought",
+        "CAST(NULL AS INT) AS nothing",
+    )
+    frame.toPandas().to_parquet(path)
+    return path
+
+
+def shelves(session, path, **more):
+    session.dataSource.register(Shelf)
+    return {"lib": Connection("lib", kind="connector", format="shelf", options={"path": path}, **more)}
+
+
+def shares(frame):
+    """Rows read by each task."""
+    return [r["count"] for r in frame.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+
+
+@pytest.mark.parametrize(
+    ("split_by", "tasks", "largest"),
+    [
+        # A value with a third of the rows cannot be divided by itself, but by a second key.
+        (("shelf",), (9, 12), 3001),
+        (("shelf", "id"), (11, 14), 1001),
+        (("id",), (12, 12), 750),
+        (("weight",), (12, 12), 760),
+        (("title",), (6, 12), 2300),
+        (("bought", "id"), (12, 12), 770),
+        # Nothing but NULL.
+        (("nothing",), (1, 1), 9000),
+        (("nothing", "id"), (12, 12), 750),
+    ],
+)
+def test_reads_are_dealt_by_quantiles(spark, books, split_by, tasks, largest):
+    session = job_session(spark)
+    reader = SourceReader(session, shelves(session, books, splits=12))
+    spec = {"type": "table", "table": "books", "connection": "lib", "split_by": list(split_by)}
+    frame = read_sources(reader, {"books": spec})["books"]
+    assert tasks[0] <= frame.rdd.getNumPartitions() <= tasks[1]
+    assert max(shares(frame)) <= largest
+    got = frame.select("id", "shelf").collect()
+    assert len(got) == 9000 and {r.id for r in got} == set(range(9000))
+
+
+def test_a_query_is_dealt_out(spark, books):
+    session = job_session(spark)
+    connections = shelves(session, books, splits=5, split_by={"books": ("id",)})
+    reader = SourceReader(session, connections)
+    source = {
+        "type": "query",
+        "query": "SELECT id * 2 AS twice, title FROM books WHERE id < :most",
+        "connection": "lib",
+        "split_by": "twice",
+    }
+    frame = read_sources(reader, {"q": source}, {"most": 1000})["q"]
+    assert frame.rdd.getNumPartitions() == 5 and max(shares(frame)) == 200
+    assert {r.twice for r in frame.collect()} == set(range(0, 2000, 2))
+    # The connection may know the key of a table; without a number, its bytes tell how many.
+    assert reader.table("books", "lib").rdd.getNumPartitions() == 5
+    sized = shelves(session, books, bytes=3 * 128 * 1024**2, split_by={"books": ("id",)})
+    assert SourceReader(session, sized).table("books", "lib").rdd.getNumPartitions() == 3
+    none = SourceReader(session, connections).query(
+        "SELECT * FROM books WHERE id < 0", label="lib", split_by=("id",)
+    )
+    assert none.rdd.getNumPartitions() == 1 and none.count() == 0
+
+
+class Rows:
+    """What a source would answer."""
+
+    def __init__(self, *rows):
+        self.rows = [dict(zip(("part", "first_key", "last_key", "n_rows"), r)) for r in rows]
+
+    def collect(self):
+        return self.rows
+
+
+@pytest.mark.parametrize(
+    "ranks",
+    [
+        [(1, 1, 1, 1)],
+        [(0, None, None, 7)],
+        [(1, 5, 5, 9), (2, 5, 5, 9), (3, 5, 8, 9), (4, 8, 8, 9), (5, 9, 9, 9)],
+        [(0, None, None, 20), (1, 1, 3, 5), (2, 3, 4, 5), (3, 4, 4, 5), (4, 4, 4, 5)],
+        [(1, -2, 0, 3), (2, 0, 0, 3), (3, 0, 7, 3), (4, 7, 9, 2)],
+        [(1, 1, 1, 4), (2, 2, 2, 4), (3, 2, 2, 4)],
+    ],
+)
+def test_every_value_is_in_one_share(ranks):
+    import duckdb
+
+    splits = plan_splits(lambda sql: Rows(*ranks), "t", ["k"], len(ranks))
+    assert sum(s.rows for s in splits) == sum(r[3] for r in ranks)
+    values = duckdb.sql("SELECT k FROM range(-5, 15) AS r(k) UNION ALL SELECT NULL")
+    places = [f"CASE WHEN {s.condition} THEN 1 ELSE 0 END" for s in splits]
+    hits = values.query("t", f"SELECT {' + '.join(places)} AS n FROM t").fetchall()
+    assert {n for (n,) in hits} == {1}
+
+
+def test_split_keys_are_plain_columns(spark, books):
+    session = job_session(spark)
+    reader = SourceReader(session, shelves(session, books))
+    with pytest.raises(SpecError, match="plain column"):
+        reader.table("books", "lib", ("id; DROP",))
+    with pytest.raises(SpecError, match="splits"):
+        shelves(session, books, splits=0)
+
+
+class JdbcSession(Jdbc):
+    """Plans on one answer and notes the ranges Spark is given."""
+
+    sparkContext = type("Context", (), {"defaultParallelism": 1})
+    conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    def load(self):
+        if "NTILE" in self.seen.get("query", ""):
+            return Rows((0, None, None, 1), (1, 1, 4, 5), (2, 5, 9, 5))
+        return self
+
+    def jdbc(self, url, table, predicates, properties):
+        self.seen |= {"url": url, "table": table, "predicates": predicates, "properties": properties}
+        return self
+
+
+def test_jdbc_gets_the_ranges_as_predicates(caplog):
+    session = JdbcSession()
+    options = {"url": "jdbc:x:y", "driver": "d"}
+    connection = Connection("w", kind="connector", format="jdbc", options=options, splits=2)
+    reader = SourceReader(session, {"w": connection})
+    reader._sized = lambda frame, connection=None: frame
+    reader.table("t", "w", ("id",))
+    assert session.seen["url"] == "jdbc:x:y" and session.seen["table"] == "t"
+    assert session.seen["predicates"] == ["((id < 5) OR (id IS NULL))", "(id >= 5)"]
+    assert session.seen["properties"] == {"driver": "d"}
+    reader.query("SELECT 1 AS id", label="w", split_by=("id",))
+    assert session.seen["table"] == "(SELECT 1 AS id) AS source_rows"
+    # Without a key: one task, which is said, or refused for what is known to be large.
+    caplog.clear()
+    reader.table("t", "w")
+    assert "one task" in caplog.text and session.seen["dbtable"] == "t"
+    large = Connection("w", kind="connector", format="jdbc", options=options, bytes=1 << 40)
+    with pytest.raises(SpecError, match="split_by"):
+        SourceReader(session, {"w": large}).table("t", "w")
