@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import scratch_uri
+from ..session import scratch_uri, settings_for
 from .text import Piece, add_counts, pieces
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x20\x09-\x0D]+"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,11 +42,13 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame, written to the folder all executors share and read back.
 
     This cuts the lineage, survives lost executors, and keeps a result that is
-    used twice from being computed twice.
+    used twice from being computed twice. The shuffle files of the write go at its
+    end; otherwise they would stay until the driver happens to collect its garbage.
     """
     spark = frame.sparkSession
     uri = scratch_uri(spark, purpose)
-    frame.write.parquet(uri)
+    with settings_for(spark, {SHUFFLE_CLEANUP: "true"}):
+        frame.write.parquet(uri)
     return spark.read.schema(frame.schema).parquet(uri)
 
 
