@@ -52,6 +52,28 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(uri)
 
 
+def collected(frame: DataFrame):
+    """The frame as an Arrow table on the driver, for results of a proven size; frees its shuffles."""
+    with settings_for(frame.sparkSession, {SHUFFLE_CLEANUP: "true"}):
+        # Spark takes the setting from when a frame is made.
+        return frame.select("*").toArrow()
+
+
+def maybe_among(frame: DataFrame, marked: DataFrame, key: str, bits: int = 26) -> DataFrame:
+    """Rows of ``frame`` without most of those whose ``key`` (a long) ``marked`` lacks.
+
+    A bitmap of ``2 ** bits`` places is sent (16 bytes for 64 of them), whatever the
+    sizes of the frames; no row whose key is in ``marked`` is lost.
+    """
+    place = f"pmod(xxhash64({key}), {1 << bits})"
+    bit = f"cast({place} % 64 as int)"
+    cells = marked.groupBy(F.expr(f"{place} div 64").alias("__cell")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("__bits")
+    )
+    kept = frame.withColumn("__cell", F.expr(f"{place} div 64")).join(F.broadcast(cells), "__cell")
+    return kept.where(f"getbit(__bits, {bit}) = 1").select(*frame.columns)
+
+
 def with_text_results(
     frame: DataFrame,
     text: str,

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import counted, with_text_results, written
+from .common import collected, counted, maybe_among, with_text_results, written
 from .components import components
 from .text import (
     LOWER,
@@ -312,7 +312,7 @@ def rarity(texts: DataFrame, like: Similarity) -> np.ndarray:
 
         return kernel
 
-    rows = counted(texts.select("text"), T.IntegerType(), make_kernel).toArrow()
+    rows = collected(counted(texts.select("text"), T.IntegerType(), make_kernel))
     table = np.zeros(1 << RARITY_BITS, np.uint32)
     table[rows["key"].to_numpy()] = np.minimum(rows["n"].to_numpy(), (1 << 32) - 1)
     return table
@@ -386,8 +386,6 @@ def _leftover(compared: DataFrame, labels: DataFrame, like: Similarity) -> tuple
         "h",
         F.expr("(h + n_x - n_c) div 2").alias("m"),
         F.expr("(h - n_x + n_c) div 2").alias("l"),
-        "more",
-        "less",
         F.coalesce("component", "x").alias("comp"),
         (F.col("h") * s - F.col("n_x") * d).alias("f"),
     )
@@ -409,16 +407,28 @@ def _leftover(compared: DataFrame, labels: DataFrame, like: Similarity) -> tuple
     )
     # Lacked features are enough only if t <= min(l, l2), for which both must hold.
     limit = f"{d} * (n_x + n_x * {like.den} div {like.num}) div {s}"
-    lacking = F.expr(f"h <= shorter + {limit} and h_min <= l - m + {limit}")
+    lacking = F.expr(f"h <= shorter + {limit} and h_min <= l - m + {limit}").alias("lacking")
     none = F.array().cast("array<bigint>")
-    own = ["c", "x", "n_x", "h", "m", "l", "comp"]
-    rows = open_.where("h > 0").withColumn("less", F.when(lacking, F.col("less")).otherwise(none))
-    rows = rows.select(*own, F.lit(True).alias("is_more"), F.posexplode("more").alias("i", "e")).unionByName(
-        rows.select(*own, F.lit(False).alias("is_more"), F.posexplode("less").alias("i", "e"))
+    differ = compared.select("c", "x", "more", "less").join(
+        open_.where("h > 0").select("c", "x", "comp", lacking), ["c", "x"]
     )
-    mixed = rows.groupBy("c", "e").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
-    rows = written(rows.join(mixed.where("a <> b").select("c", "e"), ["c", "e"]), "open-features")
-    other = rows.select("c", "e", *(F.col(k).alias(f"{k}2") for k in (*own[1:], "i")))
+    differ = differ.withColumn("less", F.when(F.col("lacking"), F.col("less")).otherwise(none))
+    rows = differ.select(
+        "c", "x", "comp", F.lit(True).alias("is_more"), F.posexplode("more").alias("i", "e")
+    ).unionByName(
+        differ.select(
+            "c", "x", "comp", F.lit(False).alias("is_more"), F.posexplode("less").alias("i", "e")
+        )
+    )
+    # Only features that two components of a star share matter, which few do.
+    rows = rows.withColumn("k", F.xxhash64("c", "e"))
+    mixed = rows.groupBy("k").agg(F.min("comp").alias("a"), F.max("comp").alias("b"))
+    mixed = written(mixed.where("a <> b").select("k"), "mixed-features")
+    rows = maybe_among(rows, mixed, "k").join(mixed, "k").drop("k")
+    sizes = open_.select("c", "x", "n_x", "h", "m", "l")
+    rows = written(rows.join(sizes, ["c", "x"]), "open-features")
+    own = ["x", "n_x", "h", "m", "l", "comp", "is_more", "i"]
+    other = rows.select("c", "e", *(F.col(k).alias(f"{k}2") for k in own))
     apart = f"({d} * (n_x + n_x2) div {s})"
     # The least number of shared features: of all, of those c lacks, of those it has.
     t = f"((h + h2 - {apart} + 1) div 2)"
