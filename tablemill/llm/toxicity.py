@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import counted, fold, with_text_results, written
+from .common import collected, counted, fold, with_text_results, written
 from .text import LOWER, Piece, pieces, runs_of, span_hashes, words
 
 LEVELS = (4, 6, None)
@@ -174,6 +174,10 @@ def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     below, top = known.where(F.col("parent") != ROOT), known.where(F.col("parent") == ROOT)
     parents = below.groupBy("parent").agg(*per)
     root = top.agg(*per).where("types > 0").withColumn("parent", F.lit(ROOT).cast("long"))
+    # One row per parent; all levels look them up, so they are not summed for each again.
+    totals = written(parents.unionByName(root), "toxicity-parents")
+    root = totals.where(F.col("parent") == ROOT)
+    parents = totals.where(F.col("parent") != ROOT)
 
     def left(k):
         n = F.col(f"n{k}")
@@ -188,9 +192,7 @@ def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = below.join(parents, "parent").unionByName(top.join(F.broadcast(root), "parent"))
     return (
         rows.select("parent", "key", (a + b).alias("pooled"), (log(1, b) - log(0, a)).alias("ratio")),
-        parents.unionByName(root.select(*parents.columns)).select(
-            "parent", (F.ln(left(1)) - F.ln(left(0))).alias("unseen")
-        ),
+        totals.select("parent", (F.ln(left(1)) - F.ln(left(0))).alias("unseen")),
     )
 
 
@@ -217,7 +219,7 @@ def learnt(counts: DataFrame, weights: tuple[float, ...], purpose: str) -> Toxic
     table = written(reduce(DataFrame.unionByName, tables), purpose)
     n_words = table.where(level == 0).agg(F.sum("pooled")).first()[0] or 0
     # No more than 1 / TABLE_SHARE expressions of a level can have this share.
-    rows = table.where(F.col("pooled") >= TABLE_SHARE * n_words).select("key", "value").toArrow()
+    rows = collected(table.where(F.col("pooled") >= TABLE_SHARE * n_words).select("key", "value"))
     keys, values = rows["key"].to_numpy(), rows["value"].to_numpy()
     order = np.argsort(keys)
     nothing = unknown.where(F.col("key") == ROOT).first()
