@@ -273,7 +273,10 @@ def _coder(shared) -> Coder:
 
 
 def _share(docs: DataFrame, path: str):
-    return docs.sparkSession.sparkContext.broadcast({"key": path, "vocabulary": load(path)})
+    shared = docs.sparkSession.sparkContext.broadcast({"key": path, "vocabulary": load(path)})
+    # The driver encodes nothing, so it keeps no copy.
+    load.cache_clear()
+    return shared
 
 
 def _texts(piece: Piece) -> list[str]:
