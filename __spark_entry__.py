@@ -405,6 +405,69 @@ def dq_unique_key(spark, sf_dir):
     )
 
 
+def dq_disjoint_keys(spark, sf_dir):
+    """Three keys that share no column, from one scan."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return quality.check(
+        lines,
+        [
+            quality.unique_key("l_orderkey", "l_partkey"),
+            quality.unique_key("l_suppkey", "l_shipdate"),
+            quality.unique_key("l_extendedprice"),
+        ],
+    )
+
+
+FAILING = [
+    quality.in_range("stock_quantity", low=3, high=47),
+    quality.allowed_values("category", ["Brand#13", "Brand#21"]),
+    quality.unique_key("category", "stock_quantity"),
+    quality.orphan_key("product_id", "sold"),
+]
+
+
+def dq_failing_rows(spark, sf_dir):
+    reader = _reader(spark, sf_dir)
+    sold = reader.table("orders", "order_lines").filter("order_amount > 90000").select("product_id")
+    stock = reader.table("products", "stock").select("product_id", "category", "stock_quantity")
+    rows = quality.failing_rows(stock, FAILING, {"sold": sold})
+    return rows.withColumn("failed_rules", F.array_join("failed_rules", " "))
+
+
+def run_group_quality(spark, sf_dir):
+    """Rules in a group: one job breaks one and fails, one keeps failing rows, one passes."""
+    base = scratch_uri(spark, "group-quality")
+    rules = {
+        "customer_order_frequency": {
+            "quality": ({"rule": "not_null", "column": "cust_id"}, {"rule": "unique_key", "column": "cust_id"}),
+        },
+        "product_inventory_report": {
+            "quality": (
+                {"rule": "in_range", "column": "qty_in_stock", "low": 10},
+                {"rule": "not_null", "column": "prod_id"},
+            ),
+            "quarantine": "stock_rejects",
+        },
+        "product_sales_summary": {
+            "quality": ({"rule": "min_rows", "floor": 10**9}, {"rule": "unique_key", "column": "prod_id"}),
+            "on_failed_rule": "fail",
+        },
+    }
+    specs = {name: replace(shipped_job(name), **more) for name, more in rules.items()}
+    params = {**SALES, **JOB_PARAMS["product_inventory_report"]}
+    report = run_group(
+        spark, list(specs), params, specs, connections=_connections(sf_dir), base_uri=base
+    ).select("job", "status", "n_rows", "n_failed_rules")
+    rejects = spark.read.parquet(f"{base}/stock_rejects").groupBy().agg(F.count("*").alias("n_rows"))
+    aside = rejects.select(
+        F.lit("stock_rejects").alias("job"),
+        F.lit("quarantined").alias("status"),
+        "n_rows",
+        F.lit(1).cast("bigint").alias("n_failed_rules"),
+    )
+    return report.unionByName(aside)
+
+
 def dq_orphan_key(spark, sf_dir):
     reader = _reader(spark, sf_dir)
     active = reader.table("customers", "order_headers").filter(F.col("active"))
@@ -450,7 +513,10 @@ def table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         sink_run_dated_partition,
         dq_not_null_and_range,
         dq_unique_key,
+        dq_disjoint_keys,
+        dq_failing_rows,
         dq_orphan_key,
+        run_group_quality,
     )
     jobs = {f"job_{name}": _job(name) for name in JOB_PARAMS}
     jobs["job_product_inventory_report_all_categories"] = _job(
@@ -580,9 +646,11 @@ def _rule(name: str, column: str, failed: str, table: str) -> str:
       FROM {table}"""
 
 
-def _unique(columns: str, keys: str) -> str:
-    table = f"""(SELECT COUNT(*) OVER (PARTITION BY {keys}) AS n
-                 FROM orders JOIN lineitem ON l_orderkey = o_orderkey)"""
+_ORDER_LINES = "orders JOIN lineitem ON l_orderkey = o_orderkey"
+
+
+def _unique(columns: str, keys: str, rows: str = _ORDER_LINES) -> str:
+    table = f"(SELECT COUNT(*) OVER (PARTITION BY {keys}) AS n FROM {rows})"
     return _rule("unique_key", columns, "COUNT(*) FILTER (WHERE n > 1)", table)
 
 
@@ -724,6 +792,31 @@ def oracle_sql() -> dict[str, str]:
                 _unique("order_id,product_id", "o_orderkey, l_partkey"),
             ]
         ),
+        "dq_disjoint_keys": " UNION ALL ".join(
+            _unique(keys.replace(" ", ""), keys, "lineitem")
+            for keys in ("l_orderkey, l_partkey", "l_suppkey, l_shipdate", "l_extendedprice")
+        ),
+        "dq_failing_rows": """
+          SELECT * FROM (
+            SELECT p_partkey AS product_id, p_brand AS category, p_size AS stock_quantity,
+                   concat_ws(' ',
+                     CASE WHEN p_size < 3 OR p_size > 47 THEN 'in_range(stock_quantity)' END,
+                     CASE WHEN p_brand NOT IN ('Brand#13', 'Brand#21')
+                          THEN 'allowed_values(category)' END,
+                     CASE WHEN COUNT(*) OVER (PARTITION BY p_brand, p_size) > 1
+                          THEN 'unique_key(category,stock_quantity)' END,
+                     CASE WHEN p_partkey NOT IN (
+                            SELECT l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+                            WHERE CAST(l_extendedprice AS DECIMAL(18, 2)) > 90000)
+                          THEN 'orphan_key(product_id)' END) AS failed_rules
+            FROM part) WHERE failed_rules <> ''""",
+        "run_group_quality": f"""
+          SELECT 'customer_order_frequency' AS job, 'succeeded' AS status, COUNT(*) AS n_rows,
+                 CAST(0 AS BIGINT) AS n_failed_rules FROM ({_FREQUENCY})
+          UNION ALL SELECT 'product_inventory_report', 'succeeded', COUNT(*), 1 FROM ({_INVENTORY})
+          UNION ALL SELECT 'product_sales_summary', 'failed_quality', COUNT(*), 1 FROM ({_PRODUCT_SALES})
+          UNION ALL SELECT 'stock_rejects', 'quarantined', COUNT(*), 1
+          FROM ({_INVENTORY}) WHERE qty_in_stock < 10""",
         "dq_orphan_key": _rule(
             "orphan_key",
             "customer_id",

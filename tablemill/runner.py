@@ -26,8 +26,9 @@ from tablemill.metrics import JobMetrics, collected, observed
 from tablemill.operators.projection import rename_columns, require_unique_columns
 from tablemill.params import bind_params, fill_name, parse_params
 from tablemill.plans import shipped_job, transform
-from tablemill.quality import Rule, check
+from tablemill.quality import Rule, check, failing_rows
 from tablemill.session import described, job_session
+from tablemill.sinks import write_parquet, write_table
 from tablemill.sources import Connection, SourceReader, read_sources
 from tablemill.spec import JobSpec
 
@@ -67,6 +68,8 @@ class TableJob:
         target = self.spec.target_table
         self.target_table = fill_name(target, self.params) if target else None
         self.rules = [Rule.from_dict(raw) for raw in self.spec.quality]
+        aside = self.spec.quarantine
+        self.quarantine = fill_name(aside, self.params) if aside else None
         self.base_uri = base_uri
         self.reader = SourceReader(spark, connections, own_session=own_session)
         self.sources: dict[str, DataFrame] = dict(frames or {})
@@ -129,6 +132,22 @@ class TableJob:
             inputs=self.reader.input_paths,
         )
 
+    def checks(self, frame: DataFrame) -> DataFrame | None:
+        """The spec's quality rules on the result, one row each; lazy."""
+        return check(frame, self.rules, self.sources) if self.rules else None
+
+    def set_aside(self, frame: DataFrame, checks: DataFrame) -> DataFrame | None:
+        """Write the rows of the result that break a rule; None, and no write, if none does."""
+        about_rows = [rule for rule in self.rules if rule.kind != "min_rows"]
+        if checks.where("not passed and rule <> 'min_rows'").isEmpty():
+            return None
+        rows = failing_rows(frame, about_rows, self.sources)
+        if self.spec.sink.table:
+            return self.spark.read.table(write_table(rows, self.quarantine))
+        where = write_parquet(rows, self.base_uri, self.quarantine, inputs=self.reader.input_paths)
+        log.warning("%s: rows that break a rule are in %s", self.job_name, where)
+        return self.spark.read.parquet(where)
+
     def plan(self) -> DataFrame:
         """Extract and transform only."""
         self.extract()
@@ -145,7 +164,11 @@ class TableJob:
 
 @dataclass(frozen=True)
 class RunResult:
-    """What a run gave. ``frame`` reads back what this run wrote, if it wrote."""
+    """What a run gave. ``frame`` reads back what this run wrote, if it wrote.
+
+    ``quarantined`` reads copies of the rows that break a rule, if the spec asks for
+    them and there are any.
+    """
 
     job: str
     target: str | None
@@ -155,6 +178,7 @@ class RunResult:
     checks: DataFrame | None = None
     explain: str | None = None
     fails_on_rules: bool = False
+    quarantined: DataFrame | None = None
 
     def failed_rules(self) -> int | None:
         """How many quality rules the written result breaks; None without rules."""
@@ -190,7 +214,7 @@ def run_job(
 
     A dry run stops before the sink and returns the schema and the plan. Quality
     rules of the spec are checked on the written output, so the query does not
-    run twice.
+    run twice; without a sink they are checked on the result itself.
     """
     job = _open(spark, spec, **options)
     frame = job.plan()
@@ -201,7 +225,13 @@ def run_job(
         return RunResult(job.job_name, job.target_table, frame, explain=explain_text(frame))
     if not job.writes:
         job.load(frame)
-        return RunResult(job.job_name, job.target_table, frame)
+        return RunResult(
+            job.job_name,
+            job.target_table,
+            frame,
+            checks=job.checks(frame),
+            fails_on_rules=job.spec.on_failed_rule == "fail",
+        )
     require_unique_columns(frame)
     by_run = job.run_partition(job.transformed_df)
     by_query = [c for c in job.spec.sink.partition_by if c not in by_run]
@@ -221,7 +251,11 @@ def run_job(
         written = written.filter(F.col(name) == F.lit(value))
     if by_query:
         written = written.filter(_one_of(parts.get["parts"], frame.select(*by_query).schema))
-    checks = check(written, job.rules, job.sources) if job.rules else None
+    checks, aside = job.checks(written), None
+    if checks is not None and job.quarantine:
+        # One row per rule, which is asked for more than once from here on.
+        checks = job.spark.createDataFrame(checks.collect(), checks.schema)
+        aside = job.set_aside(written, checks)
     return RunResult(
         job.job_name,
         job.target_table,
@@ -230,6 +264,7 @@ def run_job(
         metrics,
         checks,
         fails_on_rules=job.spec.on_failed_rule == "fail",
+        quarantined=aside,
     )
 
 

@@ -101,6 +101,8 @@ class JobSpec:
     quality: tuple[Mapping[str, Any], ...] = ()
     # What a failed quality rule does to a run: "report" it or "fail" the job.
     on_failed_rule: str = "report"
+    # Where copies of the rows that break a rule go; params may fill the name.
+    quarantine: str | None = None
     # SQL settings that hold while the job's statement is analysed.
     settings: Mapping[str, str] = field(default_factory=dict)
     # Result columns that have the type of a sum: column -> (source, its column).
@@ -112,7 +114,7 @@ class JobSpec:
             raise SpecError("a job spec must be a mapping")
         known = {
             *("job_name", "sources", "query", "mapping", "params", "sink", "quality"),
-            *("on_failed_rule", "settings", "sum_types"),
+            *("on_failed_rule", "quarantine", "settings", "sum_types"),
         }
         unknown = sorted(set(raw) - known)
         if unknown:
@@ -127,6 +129,8 @@ class JobSpec:
         on_failed_rule = raw.get("on_failed_rule", "report")
         if on_failed_rule not in ("report", "fail"):
             raise SpecError(f"on_failed_rule: {on_failed_rule!r} is neither report nor fail")
+        if raw.get("quarantine") and not raw.get("quality"):
+            raise SpecError("quarantine: there are no quality rules to break")
         settings = {key: str(value) for key, value in (raw.get("settings") or {}).items()}
         if not all(key.startswith("spark.sql.") for key in settings):
             raise SpecError("settings: only spark.sql settings can be made for a job")
@@ -152,6 +156,7 @@ class JobSpec:
             sink=SinkSpec.from_dict(raw.get("sink")),
             quality=tuple(raw.get("quality") or ()),
             on_failed_rule=on_failed_rule,
+            quarantine=raw.get("quarantine"),
             settings=settings,
             sum_types=sum_types,
         )

@@ -119,3 +119,93 @@ def test_null_among_allowed_values(spark):
     for values, failed in ((["A", None], 1), (["A", "B"], 0), ([None], 2)):
         found = dq.check(frame, [dq.allowed_values("c", values)]).first()
         assert (found.n_failed, found.passed) == (failed, failed == 0)
+
+
+ROWS = [
+    (1, 1, "a", 1.0),
+    (1, 2, "a", None),
+    (None, 2, "b", 3.0),
+    (None, 2, "b", 3.0),
+    (3, None, None, 3.0),
+    (3, None, "c", None),
+    (4, 5, "d", None),
+]
+
+
+@pytest.fixture
+def keyed(spark):
+    return spark.createDataFrame(ROWS, "a int, b int, c string, d double")
+
+
+def doubled(*places):
+    """Rows whose key, without NULL parts, others share."""
+    keys = [tuple(row[i] for i in places) for row in ROWS]
+    return sum(None not in key and keys.count(key) > 1 for key in keys)
+
+
+@pytest.mark.parametrize(
+    "keys",
+    [
+        ["a", "b", "c"],
+        # Overlapping and nested keys, one given twice.
+        ["ab", "bc", "c", "abd", "bc"],
+        ["a", "bc", "d"],
+    ],
+)
+def test_unique_keys_share_one_scan(keyed, keys):
+    result = check(keyed, [dq.unique_key(*key) for key in keys])
+    found = [((r["rule"], r["column"]), (r.n_rows, r.n_failed, r.passed)) for r in result.collect()]
+    expected = [
+        (("unique_key", ",".join(key)), (7, n, n == 0))
+        for key in keys
+        for n in [doubled(*("abcd".index(c) for c in key))]
+    ]
+    assert sorted(found) == sorted(expected)
+    plan = result._jdf.queryExecution().executedPlan().toString().split("== Initial")[0]
+    assert plan.count("Scan ExistingRDD") == 1 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_unique_keys_of_nothing_and_with_a_hot_key(spark, keyed):
+    rules = [dq.unique_key("a"), dq.unique_key("b")]
+    assert set(report(check(keyed.where("false"), rules)).values()) == {(0, 0, True)}
+    hot = spark.range(9000).selectExpr("IF(id % 3 = 0, 1, id + 10) AS a", "id AS b")
+    assert report(check(hot, rules)) == {
+        ("unique_key", "a"): (9000, 3000, False),
+        ("unique_key", "b"): (9000, 0, True),
+    }
+
+
+def test_failing_rows_name_their_rules(spark, keyed):
+    parents = {"known": spark.createDataFrame([(1, 1), (2, None)], "x int, y int")}
+    rules = [
+        dq.not_null("c"),
+        dq.in_range("d", high=2),
+        dq.unique_key("a"),
+        dq.unique_key("b", "c"),
+        dq.orphan_key(("a", "b"), "known", ("x", "y")),
+        dq.min_rows(100),
+    ]
+    found = dq.failing_rows(keyed, rules, parents)
+    assert found.columns == ["a", "b", "c", "d", "failed_rules"]
+    got = sorted(((*r[:4], tuple(r[4])) for r in found.collect()), key=str)
+    expected = [
+        (*ROWS[0], ("unique_key(a)",)),
+        (*ROWS[1], ("unique_key(a)", "orphan_key(a,b)")),
+        *[(*ROWS[2], ("in_range(d)", "unique_key(b,c)"))] * 2,
+        (*ROWS[4], ("not_null(c)", "in_range(d)", "unique_key(a)")),
+        (*ROWS[5], ("unique_key(a)",)),
+        (*ROWS[6], ("orphan_key(a,b)",)),
+    ]
+    assert got == sorted(expected, key=str)
+    # As many as the report counts, rule by rule.
+    counts = report(check(keyed, rules[:-1], parents))
+    named = [name for r in got for name in r[4]]
+    assert {f"{k}({c})": n for (k, c), (_, n, _) in counts.items()} == {n: named.count(n) for n in named}
+    assert dq.failing_rows(keyed.where("false"), rules, parents).count() == 0
+
+
+def test_failing_rows_need_rules_about_rows(keyed):
+    with pytest.raises(SpecError):
+        dq.failing_rows(keyed, [dq.min_rows(1)])
+    with pytest.raises(SpecError, match="failed_rules"):
+        dq.failing_rows(keyed.selectExpr("*", "1 AS failed_rules"), [dq.not_null("a")])

@@ -368,3 +368,56 @@ def test_command_line_errors_before_spark(monkeypatch, tmp_path, capsys):
     assert "GROUP:all" in capsys.readouterr().out
     with pytest.raises(SystemExit):
         main([])
+
+
+RULES = [
+    {"rule": "not_null", "column": "n"},
+    {"rule": "in_range", "column": "n", "high": 2},
+    {"rule": "unique_key", "column": "odd"},
+    {"rule": "min_rows", "floor": 1000},
+]
+
+
+def test_rules_are_checked_without_a_sink(spark, numbers):
+    spec = number_job(quality=RULES, on_failed_rule="fail")
+    done = run_job(spark, spec, frames=numbers)
+    assert done.location is None and done.fails_on_rules
+    failed = {r["rule"] for r in done.checks.collect() if not r.passed}
+    assert "min_rows" in failed and done.failed_rules() == len(failed)
+    report = run_group(spark, ["numbers"], specs={"numbers": spec}, frames=numbers).first()
+    assert (report.status, report.n_failed_rules) == ("failed_quality", len(failed))
+
+
+def test_rows_that_break_a_rule_are_set_aside(spark, numbers, tmp_path):
+    spec = number_job(quality=RULES, quarantine="rejects/numbers")
+    done = run_job(spark, spec, frames=numbers, base_uri=str(tmp_path))
+    rows = done.frame.collect()
+    by_odd = Counter(r.odd for r in rows)
+    expected = Counter(
+        (r.n, r.odd, rules)
+        for r in rows
+        for rules in [
+            tuple(
+                name
+                for name, broken in (
+                    ("not_null(n)", r.n is None),
+                    ("in_range(n)", r.n is not None and r.n > 2),
+                    ("unique_key(odd)", r.odd is not None and by_odd[r.odd] > 1),
+                )
+                if broken
+            )
+        ]
+        if rules
+    )
+    assert expected and Counter((r.n, r.odd, tuple(r.failed_rules)) for r in done.quarantined.collect()) == expected
+    assert (tmp_path / "rejects" / "numbers").is_dir()
+    # The result itself keeps all rows; a run that breaks nothing sets nothing aside.
+    assert len(rows) == numbers["numbers"].count()
+    clean = number_job(quality=RULES[-1:], quarantine="none")
+    done = run_job(spark, clean, frames=numbers, base_uri=str(tmp_path))
+    assert done.quarantined is None and done.failed_rules() == 1 and not (tmp_path / "none").exists()
+
+
+def test_quarantine_needs_rules():
+    with pytest.raises(SpecError, match="quarantine"):
+        number_job(quarantine="rejects")
