@@ -1,16 +1,19 @@
 """Boilerplate lines by the number of distinct sites they occur on.
 
-Every line (blanks at both ends removed) of at least ``min_words`` words is
-hashed; HyperLogLog sketches of its sites are built per task and merged by an
-aggregation on the hash, so a line on every page costs one small sketch per
-task. Lines whose estimate is clearly on one side of ``min_sites`` are decided
-by it; lines near the threshold get an exact count of distinct sites. A line
-on ``min_sites`` sites or more is removed from all documents but the first
-that has it (smallest id, then first place), so the corpus keeps one copy.
+Every line with a word (blanks at both ends removed) is hashed; HyperLogLog
+sketches of its sites are built per task and merged by an aggregation on the
+hash, so a line on every page costs one small sketch per task. The threshold is
+``min_sites``, or ``short_sites`` for lines of fewer than ``min_words`` words,
+which people write alike by chance. Lines whose estimate is clearly on one side
+of their threshold are decided by it; lines near it get an exact count of
+distinct sites. A line on that many sites or more is removed from all documents
+but the first that has it (smallest id, then first place), so the corpus keeps
+one copy.
 
 Rows: null text stays null, an empty text stays empty, a null site counts as a
-site of its own, repeated rows are cleaned alike. Lines of fewer words are
-never removed. Other columns pass through untouched.
+site of its own, repeated rows are cleaned alike. Lines without a word are never
+removed, so a very long text keeps its layout. Empty tables give empty ones.
+Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,9 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 MIN_SITES = 5
+# Lines of fewer words than this must be on SHORT_SITES sites.
 MIN_WORDS = 3
+SHORT_SITES = 10
 SKETCH_BITS = 12
 # Standard errors of the sketch within which a line counts as near the threshold.
 NEAR_ERRORS = 5.0
@@ -32,46 +37,58 @@ def _site(site: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), site.cast("string")), F.lit("n"))
 
 
-def site_lines(docs: DataFrame, doc_id: str, text: str, site: str, min_words: int) -> DataFrame:
-    """(id, mark, site, pos, line): a row per line that counts; mark tells rows of one id apart."""
-    gap = r"[\x09\x0B-\x0D\x20]+"
-    long_enough = gap.join([WORD] * min_words) if min_words else ""
+def site_lines(docs: DataFrame, doc_id: str, text: str, site: str, need: Column) -> DataFrame:
+    """(id, mark, site, pos, line, need): a row per line with a word.
+
+    mark tells rows of one id apart; need is the line's threshold, of its text ``line``.
+    """
     exploded = docs.where(F.col(text).isNotNull()).select(
         F.col(doc_id).alias("id"),
         F.xxhash64(text).alias("mark"),
         _site(F.col(site)).alias("site"),
         F.posexplode(F.split(text, "\n")).alias("pos", "line"),
     )
-    return exploded.where(F.col("line").rlike(long_enough)).withColumn(
-        "line", F.xxhash64(F.btrim("line", F.lit(BLANKS)))
+    return exploded.where(F.col("line").rlike(WORD)).select(
+        *("id", "mark", "site", "pos"),
+        F.xxhash64(F.btrim("line", F.lit(BLANKS))).alias("line"),
+        need.alias("need"),
     )
 
 
-def widespread(
-    lines: DataFrame, min_sites: int = MIN_SITES, bits: int = SKETCH_BITS
-) -> DataFrame:
-    """(line, first_id, first_mark, first_pos) of the lines on ``min_sites`` sites or more."""
-    band = max(1.0, NEAR_ERRORS * 1.04 / 2 ** (bits / 2) * min_sites)
+def sites_needed(line: str, min_sites: int, min_words: int, short_sites: int) -> Column:
+    """The threshold of a line by its number of words."""
+    gap = r"[\x09\x0B-\x0D\x20]+"
+    long_enough = F.col(line).rlike(gap.join([WORD] * min_words))
+    return F.when(long_enough, min_sites).otherwise(short_sites)
+
+
+def widespread(lines: DataFrame, bits: int = SKETCH_BITS) -> DataFrame:
+    """(line, first_id, first_mark, first_pos) of the lines on as many sites as they need."""
+    band = F.greatest(F.lit(1.0), F.lit(NEAR_ERRORS * 1.04 / 2 ** (bits / 2)) * F.col("need"))
     first = F.min(F.struct("id", "mark", "pos"))
     sketches = (
         lines.groupBy("line")
-        .agg(F.hll_sketch_agg("site", F.lit(bits)).alias("sketch"), first.alias("first"))
+        .agg(
+            F.hll_sketch_agg("site", F.lit(bits)).alias("sketch"),
+            first.alias("first"),
+            F.max("need").alias("need"),
+        )
         .withColumn("n", F.hll_sketch_estimate("sketch"))
-        .where(F.col("n") >= min_sites - band)
-        .select("line", "first", "n")
+        .where(F.col("n") >= F.col("need") - band)
+        .select("line", "first", "n", "need")
     )
     found = written(sketches, "line-spread")
-    near = found.where(F.col("n") < min_sites + band)
+    near = found.where(F.col("n") < F.col("need") + band)
     exact = (
         lines.join(near.select("line"), "line", "left_semi")
         .groupBy("line", "site")
         .agg(F.lit(1).alias("one"))
         .groupBy("line")
         .agg(F.count("*").alias("sites"))
-        .where(F.col("sites") >= min_sites)
     )
-    sure = found.where(F.col("n") >= min_sites + band).select("line", "first")
-    decided = sure.unionByName(near.join(exact, "line").select("line", "first"))
+    sure = found.where(F.col("n") >= F.col("need") + band).select("line", "first")
+    counted = near.join(exact, "line").where("sites >= need")
+    decided = sure.unionByName(counted.select("line", "first"))
     return decided.select("line", *(f"first.{c}" for c in ("id", "mark", "pos"))).toDF(
         "line", "first_id", "first_mark", "first_pos"
     )
@@ -84,14 +101,16 @@ def clean(
     site: str = "source",
     min_sites: int = MIN_SITES,
     min_words: int = MIN_WORDS,
+    short_sites: int = SHORT_SITES,
 ) -> DataFrame:
     """``docs`` with widespread lines cut from the text, and columns n_lines, n_removed at the end."""
     names = docs.columns
     at = names.index(text)
     boxed = docs.toDF(*(f"c{i}" for i in range(len(names))))
     own, body, origin = (f"c{names.index(name)}" for name in (doc_id, text, site))
-    lines = site_lines(boxed, own, body, origin, min_words)
-    boilerplate = written(widespread(lines, min_sites), "boilerplate")
+    need = sites_needed("line", min_sites, max(min_words, 1), max(short_sites, min_sites))
+    lines = site_lines(boxed, own, body, origin, need)
+    boilerplate = written(widespread(lines), "boilerplate")
     first = (
         F.col("id").eqNullSafe(F.col("first_id"))
         & (F.col("mark") == F.col("first_mark"))

@@ -6,7 +6,9 @@ share (times ``max_epochs``) gives the rest to its siblings, and only what all
 siblings together cannot use goes back to the level above. Both fall out of
 filling from the top with each node's capacity, which windows over the node
 tables compute in closed form: children are ordered by capacity per weight, and
-those that fill up first are the ones below the water level.
+those that fill up first are the ones below the water level. Ratios are compared
+exactly and products have 38 digits, so budgets are right up to 2^63 tokens
+(times ``max_epochs``).
 
 A leaf with budget B over S tokens takes every document B // S times (epochs)
 and, for the rest, the longest prefix that fits of its documents in the order
@@ -16,13 +18,15 @@ in one task.
 
 Rows: null and empty texts have no tokens and are taken where the prefix passes
 them; null parts of the tree are nodes of their own; repeated rows stand next to
-each other in the order and are taken or left together. Weights are whole numbers,
-1 where none is given; 0 leaves a node out.
+each other in the order and are taken or left together. Weights are whole numbers up to 10^9,
+1 where none is given; 0 leaves a node out. Empty tables give empty ones; very long
+texts are documents like others; other columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +36,9 @@ from .common import WORD, written
 
 RANGE_DIGITS = 3
 LEVELS = ("domain", "language", "source")
+MOST_WEIGHT = 10**9
+# Fractions of whole numbers up to MOST_WEIGHT that differ, differ by one part of this or more.
+PARTS = MOST_WEIGHT**2
 
 
 def n_tokens(text: Column) -> Column:
@@ -53,15 +60,23 @@ def _weight(path: Sequence[str], weights: Mapping[tuple, int]) -> Column:
     return found.cast("long")
 
 
+def _wide(number: str) -> str:
+    return f"cast({number} as decimal(38, 0))"
+
+
 def _fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     """Share column ``budget`` of each parent among its children by ``weight`` up to ``room``."""
     ordered = Window.partitionBy(*parent).orderBy(
-        F.expr("room * 1000000 div weight"), F.col(name).asc_nulls_first()
+        F.expr("room div weight"),
+        F.expr(f"{_wide('room % weight')} * {PARTS} div weight"),
+        F.col(name).asc_nulls_first(),
     )
     whole = Window.partitionBy(*parent)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
     after = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    full = "room * after_weight + before_room * weight <= budget * weight"
+    room, before_room, budget = map(_wide, ("room", "before_room", "budget"))
+    full = f"{room} * after_weight + {before_room} * weight <= {budget} * weight"
+    portion = f"{_wide('budget - spent')} * weight div greatest(open, 1)"
     return (
         nodes.where("weight > 0")
         .withColumn("before_room", F.coalesce(F.sum("room").over(before), F.lit(0)))
@@ -69,9 +84,7 @@ def _fill(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
         .withColumn("full", F.expr(full))
         .withColumn("spent", F.coalesce(F.sum(F.expr("if(full, room, 0)")).over(whole), F.lit(0)))
         .withColumn("open", F.sum(F.expr("if(full, 0, weight)")).over(whole))
-        .withColumn(
-            "budget", F.expr("if(full, room, (budget - spent) * weight div greatest(open, 1))")
-        )
+        .withColumn("budget", F.expr(f"if(full, room, {portion})"))
         .drop("before_room", "after_weight", "full", "spent", "open", "weight")
     )
 
@@ -80,10 +93,13 @@ def budgets(
     leaves: DataFrame, weights: Mapping[tuple, int], share: float, max_epochs: int
 ) -> DataFrame:
     """(domain, language, source, tokens, budget) from the token sums of the leaves."""
+    if not all(isinstance(w, int) and 0 <= w <= MOST_WEIGHT for w in weights.values()):
+        raise ValueError(f"weights must be whole numbers from 0 to {MOST_WEIGHT}")
     levels = list(LEVELS)
     room = F.col("tokens") * max_epochs
+    whole = F.coalesce("all", F.lit(0)).cast("decimal(20, 0)")
     top = leaves.agg(F.sum("tokens").alias("all")).select(
-        F.floor(F.coalesce("all", F.lit(0)) * F.lit(share)).cast("long").alias("budget")
+        F.floor(whole * F.lit(Decimal(str(share)))).cast("long").alias("budget")
     )
     above, keys = top, []
     for depth, name in enumerate(levels):

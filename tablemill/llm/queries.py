@@ -188,11 +188,13 @@ def _line_spread(documents: str = "documents") -> str:
     SELECT doc_id, source, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
     FROM split),
   lines AS (
-    SELECT *, trim(line, {_BLANKS}) AS key FROM placed
-    WHERE regexp_matches(line, '{words}')),
+    SELECT *, trim(line, {_BLANKS}) AS key,
+           CASE WHEN regexp_matches(line, '{words}') THEN {linespread.MIN_SITES}
+                ELSE {linespread.SHORT_SITES} END AS need
+    FROM placed WHERE regexp_matches(line, '{WORD}')),
   spread AS (
     SELECT key, min((doc_id, pos)) AS first FROM lines
-    GROUP BY key HAVING count(DISTINCT source) >= {linespread.MIN_SITES}),
+    GROUP BY key HAVING count(DISTINCT source) >= max(need)),
   gone AS (
     SELECT doc_id, list(pos) AS removed FROM lines JOIN spread USING (key)
     WHERE (doc_id, pos) <> first GROUP BY doc_id)
@@ -207,6 +209,8 @@ def _level(parent: str, above: str, keys: str, name: str, weight: str) -> str:
     by = f"PARTITION BY {keys}" if keys else ""
     path = f"{keys}, {name}" if keys else name
     join = f"JOIN {above} USING ({keys})" if keys else f"CROSS JOIN {above}"
+    # By the exact ratio: whole part, then 18 places of the fraction.
+    ratio = f"room // weight, (room % weight)::HUGEINT * 1000000000000000000 // weight, {name}"
     return f"""
   {parent}_w AS (
     SELECT * FROM (
@@ -215,11 +219,11 @@ def _level(parent: str, above: str, keys: str, name: str, weight: str) -> str:
       FROM sums GROUP BY {path}) {join}),
   {parent}_o AS (
     SELECT *, room * (sum(weight) OVER a) + coalesce(sum(room) OVER b, 0) * weight
-              <= budget * weight AS is_full
+              <= budget::HUGEINT * weight AS is_full
     FROM {parent}_w
-    WINDOW a AS ({by} ORDER BY room * 1000000 // weight, {name}
+    WINDOW a AS ({by} ORDER BY {ratio}
                  ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING),
-           b AS ({by} ORDER BY room * 1000000 // weight, {name}
+           b AS ({by} ORDER BY {ratio}
                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
   {parent} AS (
     SELECT {path}, CAST(CASE WHEN is_full THEN room ELSE
@@ -237,7 +241,7 @@ _MIX = f"""
            len(regexp_extract_all(text, '{WORD}')) AS n
     FROM documents),
   sums AS (SELECT domain, language, source, sum(n) AS tokens FROM t GROUP BY ALL),
-  top AS (SELECT CAST(floor(sum(tokens) * CAST({MIX_SHARE} AS DOUBLE)) AS BIGINT) AS budget FROM sums),
+  top AS (SELECT CAST(floor(sum(tokens)::DECIMAL(28, 0) * {MIX_SHARE}) AS BIGINT) AS budget FROM sums),
   {_level('l1', 'top', '', 'domain', "CASE domain WHEN 'd0' THEN 3 WHEN 'd1' THEN 2 ELSE 1 END")},
   {_level('l2', 'l1', 'domain', 'language', "CASE WHEN domain = 'd0' AND language = 'en' THEN 2 ELSE 1 END")},
   {_level('l3', 'l2', 'domain, language', 'source', '1')},

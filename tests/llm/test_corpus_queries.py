@@ -2,9 +2,11 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import oracle
 import pytest
@@ -421,6 +423,72 @@ def test_lines_of_many_sites(spark):
     assert all(r.n_removed == 0 for i, r in got.items() if i >= 100)
 
 
+def test_short_lines_need_more_sites(spark):
+    """Two words on ten sites go, on nine they stay; lines without words always stay."""
+    rows = [(k, f"Read more\n\n  \n- -\nown line number {k}\n Log in", f"s{k}") for k in range(9)]
+    rows += [(9, "Read  more\nRead more\t", "s9"), (10, "- -", None), (11, None, "s1"), (12, "", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in linespread.clean(docs).collect()}
+    assert got[0].text == rows[0][1]
+    assert all(got[k].text == f"\n  \nown line number {k}\n Log in" for k in range(1, 9))
+    # Other blanks inside make another line.
+    assert got[9].text == "Read  more" and got[9].n_removed == 1
+    # "- -" is two words; nine sites and the missing one make ten.
+    assert [got[k].text for k in (10, 11, 12)] == ["", None, ""]
+    same = linespread.clean(docs, short_sites=11).where("n_removed > 0")
+    assert same.isEmpty()
+
+
+def poured(leaves, weights, share, epochs):
+    """Budgets of (domain, language, source) -> tokens, poured level by level."""
+
+    def pour(budget, path, members):
+        if len(path) == 3:
+            return {path: budget}
+        children = {}
+        for leaf in members:
+            children.setdefault((*path, leaf[len(path)]), []).append(leaf)
+        weight = {c: weights.get(c, 1) for c in children}
+        room = {c: sum(leaves[leaf] for leaf in own) * epochs for c, own in children.items()}
+        unfilled, got = {c for c in children if weight[c]}, {}
+        while True:
+            total = sum(weight[c] for c in unfilled)
+            full = {c for c in unfilled if room[c] * total <= budget * weight[c]}
+            got |= {c: room[c] for c in full}
+            budget -= sum(room[c] for c in full)
+            unfilled -= full
+            if not full:
+                break
+        got |= {c: budget * weight[c] // total for c in unfilled}
+        return {k: v for c, b in got.items() for k, v in pour(b, c, children[c]).items()}
+
+    whole = Fraction(str(share)) * sum(leaves.values())
+    return pour(whole.numerator // whole.denominator, (), list(leaves))
+
+
+@pytest.mark.parametrize("most", [50, 10**9, 10**15])
+def test_budgets_equal_a_plain_loop(spark, most):
+    rng = random.Random(most)
+    for share, epochs in ((0.35, 1), (0.9, 2), (1.0, 3)):
+        leaves = {
+            (f"d{i % 3}", f"l{i % 4}", f"s{i}"): rng.choice([0, 1, most, rng.randint(0, most)])
+            for i in range(40)
+        }
+        # Ratios of room and weight that nearly or exactly agree.
+        leaves |= {("d0", "l0", f"t{k}"): most + k for k in range(3)}
+        weights = {("d0",): 10**9, ("d1",): 10**9 - 1, ("d2", "l2"): 0}
+        weights |= {("d0", "l0", f"t{k}"): 10**9 - k for k in range(3)}
+        frame = spark.createDataFrame(
+            [(*leaf, n) for leaf, n in leaves.items()],
+            "domain string, language string, source string, tokens long",
+        )
+        got = mixing.budgets(frame, weights, share, epochs).collect()
+        want = poured(leaves, weights, share, epochs)
+        assert {(r.domain, r.language, r.source): r.budget for r in got} == want
+    with pytest.raises(ValueError):
+        mixing.budgets(frame, {("d0",): 10**9 + 1}, 0.5, 1)
+
+
 def test_budgets_go_to_siblings_first(spark):
     leaves = spark.createDataFrame(
         [("a", "x", "1", 10), ("a", "x", "2", 500), ("a", "y", "3", 500), ("b", "x", "4", 50)],
