@@ -26,7 +26,7 @@ from tablemill import operators as op  # noqa: E402
 from tablemill import quality, sinks, steps  # noqa: E402
 from tablemill.plans import shipped_job  # noqa: E402
 from tablemill.runner import plan_job, run_group, run_job  # noqa: E402
-from tablemill.session import job_session, scratch_uri  # noqa: E402
+from tablemill.session import SHARE_FROM_BYTES_KEY, job_session, scratch_uri  # noqa: E402
 from tablemill.sources import SourceReader, ad_hoc, load_connections  # noqa: E402
 from tablemill.spec import SinkSpec, SourceSpec  # noqa: E402
 
@@ -49,6 +49,10 @@ DONE = {"completed_status": "F"}
 SALES = {**DONE, "since": "2000-01-01"}
 TIERS = {"platinum_above": 8000, "gold_above": 4000}
 STOCK = {"report_date": "2001-08-01", "min_stock_threshold": 40}
+SALES_COLUMNS = {
+    "customer_sales_summary": "sales_total",
+    "product_sales_summary": "revenue_total",
+}
 JOB_PARAMS = {
     "customer_order_frequency": DONE,
     "customer_sales_summary": {**SALES, **TIERS},
@@ -352,6 +356,28 @@ def run_group_report(spark, sf_dir):
     return report.select("job", "status", "n_rows")
 
 
+def run_group_shared(spark, sf_dir):
+    """Two jobs over one view, a join, which is computed once whatever its size."""
+    session = job_session(spark)
+    session.conf.set(SHARE_FROM_BYTES_KEY, "0")
+    base = scratch_uri(spark, "group-shared")
+    report = run_group(
+        session,
+        ["customer_sales_summary", "product_sales_summary"],
+        params={**SALES, **TIERS},
+        connections=_connections(sf_dir),
+        base_uri=base,
+    )
+    sums = [
+        spark.read.parquet(f"{base}/{job}").select(
+            F.lit(job).alias("job"), F.sum(amount).cast("double").alias("amount")
+        )
+        for job, amount in SALES_COLUMNS.items()
+    ]
+    amounts = reduce(DataFrame.unionByName, sums)
+    return report.join(amounts, "job").select("job", "status", "n_rows", "amount")
+
+
 # Sinks
 
 
@@ -509,6 +535,7 @@ def table_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ratio_nullif_round,
         job_metrics_rows,
         run_group_report,
+        run_group_shared,
         sink_parquet_roundtrip,
         sink_run_dated_partition,
         dq_not_null_and_range,
@@ -763,6 +790,15 @@ def oracle_sql() -> dict[str, str]:
                 ("product_sales_summary", _PRODUCT_SALES),
             )
         ),
+        "run_group_shared": " UNION ALL ".join(
+            f"""SELECT '{job}' AS job, 'succeeded' AS status, COUNT(*) AS n_rows,
+                       CAST(SUM(CAST({SALES_COLUMNS[job]} AS DECIMAL(38, 2))) AS DOUBLE) AS amount
+                FROM ({sql})"""
+            for job, sql in (
+                ("customer_sales_summary", _CUSTOMER_SALES),
+                ("product_sales_summary", _PRODUCT_SALES),
+            )
+        ),
         "sink_parquet_roundtrip": completed,
         "sink_run_dated_partition": " UNION ALL ".join(
             _inventory(f"p_size <= {threshold}", f", '{date}' AS report_date")

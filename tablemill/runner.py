@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import contextlib
 import datetime as dt
-import io
 import logging
 import time
 import uuid
 from collections.abc import Iterable, Mapping
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Any
@@ -27,8 +25,9 @@ from tablemill.operators.projection import rename_columns, require_unique_column
 from tablemill.params import bind_params, fill_name, parse_params
 from tablemill.plans import shipped_job, transform
 from tablemill.quality import Rule, check, failing_rows
-from tablemill.session import described, job_session
-from tablemill.sinks import write_parquet, write_table
+from tablemill.session import described, job_session, plan_text
+from tablemill.sharing import Copy, Key, Shared, plan_sharing
+from tablemill.sinks import remove_folder, write_parquet, write_table
 from tablemill.sources import Connection, SourceReader, read_sources
 from tablemill.spec import JobSpec
 
@@ -60,6 +59,7 @@ class TableJob:
         max_wait: float = 60.0,
         strict: bool = False,
         own_session: bool = False,
+        shared: Mapping[Key, Copy] | None = None,
     ) -> None:
         self.spark = spark
         self.spec = spec if isinstance(spec, JobSpec) else JobSpec.from_dict(spec)
@@ -71,7 +71,7 @@ class TableJob:
         aside = self.spec.quarantine
         self.quarantine = fill_name(aside, self.params) if aside else None
         self.base_uri = base_uri
-        self.reader = SourceReader(spark, connections, own_session=own_session)
+        self.reader = SourceReader(spark, connections, own_session, shared)
         self.sources: dict[str, DataFrame] = dict(frames or {})
         self.transformed_df: DataFrame | None = None
         self.retries = retries
@@ -148,6 +148,12 @@ class TableJob:
         log.warning("%s: rows that break a rule are in %s", self.job_name, where)
         return self.spark.read.parquet(where)
 
+    def reads(self) -> list[DataFrame]:
+        """Frames that together read all that a run reads."""
+        frame = self.plan()
+        parents = {rule.options["parent"] for rule in self.rules if rule.kind == "orphan_key"}
+        return [frame, *(self.sources[name] for name in sorted(parents & set(self.sources)))]
+
     def plan(self) -> DataFrame:
         """Extract and transform only."""
         self.extract()
@@ -189,11 +195,7 @@ class RunResult:
         return self.frame.schema
 
 
-def explain_text(frame: DataFrame) -> str:
-    text = io.StringIO()
-    with contextlib.redirect_stdout(text):
-        frame.explain("formatted")
-    return text.getvalue()
+explain_text = plan_text
 
 
 def _open(spark: SparkSession, spec: JobSpec | str, isolate: bool = True, **options) -> TableJob:
@@ -216,7 +218,10 @@ def run_job(
     rules of the spec are checked on the written output, so the query does not
     run twice; without a sink they are checked on the result itself.
     """
-    job = _open(spark, spec, **options)
+    return _run(_open(spark, spec, **options), dry_run)
+
+
+def _run(job: TableJob, dry_run: bool = False) -> RunResult:
     frame = job.plan()
     if dry_run:
         if job.writes:
@@ -286,6 +291,17 @@ def _params_for(spec: JobSpec, given: Mapping[str, Any]) -> dict[str, Any]:
     return {name: value for name, value in given.items() if name in spec.params}
 
 
+def _written(name: str, copies: Mapping[Key, Future]) -> dict[Key, Copy]:
+    """The copies that could be written; a job computes the other sources itself."""
+    done = {}
+    for key, copy in copies.items():
+        try:
+            done[key] = copy.result()
+        except Exception as problem:
+            log.warning("%s computes %s of %s itself: %s", name, key[1], key[0], problem)
+    return done
+
+
 def run_group(
     spark: SparkSession,
     selection: str | Iterable[str],
@@ -307,6 +323,9 @@ def run_group(
     Quality rules are checked on every written result. A job that breaks one is
     reported with their number, and as ``failed_quality`` if its spec says so.
 
+    Views and connector reads that several jobs compute alike are written once,
+    from ``tablemill.shareFromBytes`` of input on; see :mod:`tablemill.sharing`.
+
     The report is one row per job; with ``report_uri`` it is appended there.
     """
     specs = dict(specs or {})
@@ -322,13 +341,30 @@ def run_group(
     if unknown:
         raise SpecError(f"no selected job has the parameters {', '.join(unknown)}")
     run_id = uuid.uuid4().hex
+    dry_run = options.pop("dry_run", False)
+
+    def opened(name: str, shared: Mapping[Key, Copy] | None = None) -> TableJob:
+        own = _params_for(specs[name], given)
+        return _open(spark, specs[name], params=own, shared=shared, **options)
+
+    def extracted(name: str) -> TableJob | Exception:
+        try:
+            job = opened(name)
+            job.extract()
+        except Exception as problem:
+            return problem
+        return job
 
-    def run_one(name: str) -> tuple:
+    def run_one(name: str, job: TableJob | Exception, copies: Mapping[Key, Future]) -> tuple:
         started, clock = dt.datetime.now(dt.timezone.utc), time.monotonic()
         spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
         target = rows = nulls = failed_rules = error = None
         try:
-            done = run_job(spark, specs[name], params=_params_for(specs[name], given), **options)
+            if isinstance(job, Exception):
+                raise job
+            if copies:
+                job = opened(name, _written(name, copies))
+            done = _run(job, dry_run)
             target, status = done.target, "planned" if done.explain else "succeeded"
             if done.metrics:
                 rows, nulls = done.metrics.rows, dict(done.metrics.nulls)
@@ -346,8 +382,24 @@ def run_group(
         )
 
     with ThreadPoolExecutor(max(1, min(max_parallel, len(names)))) as pool:
-        tasks = [pool.submit(inheritable_thread_target(spark)(run_one), name) for name in names]
+
+        def submit(action, *args) -> Future:
+            return pool.submit(inheritable_thread_target(spark)(action), *args)
+
+        jobs = {name: submit(extracted, name) for name in names}
+        jobs = {name: job.result() for name, job in jobs.items()}
+        ready = {name: job for name, job in jobs.items() if isinstance(job, TableJob)}
+        sharing = plan_sharing(spark, ready, opened) if len(ready) > 1 and not dry_run else []
+        # Copies come first in the queue, so a job that waits for one keeps none waiting.
+        copies = {one.key: (one, submit(Shared.write, one)) for one in sharing}
+        tasks = []
+        for name in names:
+            mine = {key: copy for key, (one, copy) in copies.items() if name in one.users}
+            tasks.append(submit(run_one, name, jobs[name], mine))
         rows = [task.result() for task in tasks]
+        for _, copy in copies.values():
+            if not copy.exception():
+                remove_folder(spark, copy.result().uri)
     report = spark.createDataFrame(rows, REPORT_SCHEMA)
     if report_uri:
         report.coalesce(1).write.mode("append").parquet(report_uri)

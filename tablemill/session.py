@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import io
 import logging
 import os
 import re
@@ -21,6 +22,7 @@ MAX_PARTITIONS_KEY = "tablemill.maxPartitions"
 MAX_READ_TASKS_KEY = "tablemill.maxReadTasks"
 UNKNOWN_SOURCE_BYTES_KEY = "tablemill.unknownSourceBytes"
 SINGLE_READ_BYTES_KEY = "tablemill.maxSingleReadBytes"
+SHARE_FROM_BYTES_KEY = "tablemill.shareFromBytes"
 
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
 READ_SPLIT = "spark.sql.files.maxPartitionBytes"
@@ -37,6 +39,9 @@ DEFAULTS = {
     UNKNOWN_SOURCE_BYTES_KEY: 256 * 1024**3,
     # A JDBC source known to be larger than this must be split.
     SINGLE_READ_BYTES_KEY: 16 * 1024**3,
+    # From this input size on, what several jobs of a group compute alike is written
+    # once; below it a Spark job more costs more than it saves. -1: never.
+    SHARE_FROM_BYTES_KEY: 1024**3,
 }
 MAX_SPLIT_BYTES = 1024**3
 # Sources without statistics report a size near the largest long.
@@ -121,6 +126,14 @@ def input_bytes(frame: DataFrame) -> int | None:
     return sum(sizes) if all(size < UNKNOWN_BYTES for size in sizes) else None
 
 
+def plan_text(frame: DataFrame) -> str:
+    """The formatted plan of a frame."""
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        frame.explain("formatted")
+    return text.getvalue()
+
+
 def unset_sizes(session: SparkSession) -> tuple[str, ...]:
     """The size settings that the user has left open."""
     return tuple(k for k in (INITIAL_PARTITIONS, READ_SPLIT) if session.conf.get(k, None) is None)

@@ -29,6 +29,12 @@ def _file_system(session: SparkSession, uri: str) -> tuple:
     return path, path.getFileSystem(session._jsparkSession.sessionState().newHadoopConf())
 
 
+def remove_folder(session: SparkSession, uri: str) -> None:
+    """Delete a folder that this package has made."""
+    path, fs = _file_system(session, uri)
+    fs.delete(path, True)
+
+
 def _qualified(session: SparkSession, uri: str) -> str:
     path, fs = _file_system(session, uri)
     return str(fs.makeQualified(path)).rstrip("/")

@@ -51,8 +51,13 @@ class SourceReader:
         session: SparkSession,
         connections: Mapping[str, Connection] | None = None,
         own_session: bool = False,
+        shared: Mapping[tuple[str, str], Any] | None = None,
     ) -> None:
         self.session = session
+        # Copies that stand for views and connector reads; see tablemill.sharing.
+        self.shared = dict(shared or {})
+        # The views and connector reads that were opened, by label and name or text.
+        self.computed: dict[tuple[str, str], DataFrame] = {}
         self.connections = dict(connections or {})
         self.default = self.connections.get("default", CATALOG)
         self.input_paths: set[str] = set()
@@ -112,6 +117,17 @@ class SourceReader:
         self, connection: Connection, table: str | None, sql: str | None, split_by: Sequence[str]
     ) -> DataFrame:
         """A table or a query of a connector, dealt out over tasks where it says how."""
+        key = connection.label, table or sql
+        if key in self.shared:
+            frame = self._sized(self.shared[key].open(self.session), connection)
+        else:
+            frame = self._remote_frame(connection, table, sql, split_by)
+        self.computed[key] = frame
+        return frame
+
+    def _remote_frame(
+        self, connection: Connection, table: str | None, sql: str | None, split_by: Sequence[str]
+    ) -> DataFrame:
         if "partitionColumn" in connection.options:
             # Spark's own ranges; JDBC takes them for tables only.
             split_by = ()
@@ -180,10 +196,13 @@ class SourceReader:
     def _file_frame(self, connection: Connection, name: str) -> DataFrame:
         key = connection.label, name
         if key not in self._frames:
-            if name in connection.views:
+            if key in self.shared:
+                copy = self.shared[key].open(self.session)
+                self._frames[key] = self.computed[key] = self._sized(copy, connection)
+            elif name in connection.views:
                 sql = connection.views[name]
                 self._register(connection, sql, before=name)
-                self._frames[key] = self.session.sql(sql)
+                self._frames[key] = self.computed[key] = self.session.sql(sql)
             else:
                 self._open_tables(connection, [name])
         return self._frames[key]
