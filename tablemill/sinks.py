@@ -75,6 +75,61 @@ def _swap_in(session: SparkSession, staging: str, final: str) -> None:
         fs.delete(old, True)
 
 
+# Spark passes over folders with this mark, so the versions are never read together.
+_VERSIONS = "_versions"
+_COMPLETE = "_complete"
+_VERSION = re.compile(r"v(\d{12})-[0-9a-f]{32}")
+
+
+def _versions(session: SparkSession, target: str) -> list[tuple[int, str, bool]]:
+    """(number, folder, complete) of a target's versions, in order."""
+    path, fs = _file_system(session, f"{target.rstrip('/')}/{_VERSIONS}")
+    if not fs.exists(path):
+        return []
+    found = []
+    for status in fs.listStatus(path):
+        folder = status.getPath()
+        if match := _VERSION.fullmatch(folder.getName()):
+            done = fs.exists(session._jvm.org.apache.hadoop.fs.Path(folder, _COMPLETE))
+            found.append((int(match[1]), str(folder.toString()), done))
+    return sorted(found)
+
+
+def newest_version(session: SparkSession, target: str) -> str:
+    """The folder of the newest complete version of a versioned target."""
+    complete = [folder for _, folder, done in _versions(session, target) if done]
+    if not complete:
+        raise FileNotFoundError(f"{target} has no complete version")
+    return complete[-1]
+
+
+def read_version(session: SparkSession, target: str) -> DataFrame:
+    """The newest complete version; writes that go on or failed are not seen."""
+    return session.read.parquet(newest_version(session, target))
+
+
+def _write_version(frame: DataFrame, target: str, keep: int) -> str:
+    """Write the next version beside the others and mark it complete.
+
+    The mark is one empty file, made in one step on object stores, too, and there is
+    no moment without a complete version once there was one. Of the complete versions
+    the newest ``keep`` stay, for readers that have opened them; what lies before those
+    goes, remains of killed writes included.
+    """
+    session = frame.sparkSession
+    last = max((number for number, _, _ in _versions(session, target)), default=0)
+    folder = f"{target.rstrip('/')}/{_VERSIONS}/v{last + 1:012d}-{uuid.uuid4().hex}"
+    frame.write.mode("errorifexists").parquet(folder)
+    mark, fs = _file_system(session, f"{folder}/{_COMPLETE}")
+    fs.create(mark, False).close()
+    versions = _versions(session, target)
+    kept = [number for number, _, done in versions if done][-keep:]
+    for number, old, _ in versions:
+        if number < kept[0]:
+            remove_folder(session, old)
+    return folder
+
+
 def _require_partition_columns(frame: DataFrame, sink: SinkSpec) -> None:
     absent = [column for column in sink.partition_by if column not in frame.columns]
     if absent:
@@ -93,6 +148,8 @@ def write_parquet(
     ``direct``  Spark's overwrite: the old output is gone if the job then fails.
     ``staged``  written next to the target and renamed once complete.
     ``auto``    staged where a rename is cheap, else direct.
+    ``versioned``  a folder of its own for each output, see :func:`read_version`;
+                the path returned is that of the version.
 
     With ``partition_by`` only the partitions present in the result are replaced,
     and Spark itself stages them.
@@ -109,6 +166,8 @@ def write_parquet(
             .parquet(path)
         )
         return path
+    if sink.mode == "versioned":
+        return _write_version(frame, path, sink.keep)
     scheme = _file_system(frame.sparkSession, base_uri)[1].getScheme()
     staged = sink.mode == "staged" or (sink.mode == "auto" and scheme in RENAME_SCHEMES)
     if not staged:

@@ -39,6 +39,8 @@ class Connection:
     # Connectors: the key columns by which a table's read is dealt out, and into how many parts.
     split_by: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     splits: int | None = None
+    # Files: the tables are targets of versioned sinks, of which the newest version is read.
+    versioned: bool = False
 
     def __post_init__(self) -> None:
         if self.kind not in KINDS:

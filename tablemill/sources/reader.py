@@ -27,6 +27,7 @@ from tablemill.session import (
     size_tasks,
     unset_sizes,
 )
+from tablemill.sinks import newest_version
 from tablemill.sources.connections import Connection
 from tablemill.sources.literals import remote_literal
 from tablemill.sources.splits import Split, plan_splits
@@ -229,7 +230,8 @@ class SourceReader:
             files = self._connector(connection)
             if name in connection.schemas:
                 files = files.schema(connection.schemas[name])
-            return files.load(connection.path_of(name))
+            path = connection.path_of(name)
+            return files.load(newest_version(self.session, path) if connection.versioned else path)
 
         names = [name for name in names if (connection.label, name) not in self._frames]
         if len(names) > 1:

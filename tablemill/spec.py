@@ -15,7 +15,7 @@ from tablemill.errors import SpecError
 from tablemill.params import ParamSpec
 
 SOURCE_TYPES = ("query", "table")
-SINK_MODES = ("auto", "staged", "direct")
+SINK_MODES = ("auto", "staged", "direct", "versioned")
 _STATEMENT = re.compile(r"[\s(]*(select|with)\b", re.IGNORECASE)
 _TEMPLATE_MARK = re.compile(r"\{\{|\{%")
 
@@ -71,19 +71,26 @@ class SinkSpec:
     mode: str = "auto"
     partition_by: tuple[str, ...] = ()
     table: bool = False
+    # Versioned targets: how many versions stay.
+    keep: int = 3
 
     @classmethod
     def from_dict(cls, raw: Mapping[str, Any] | None) -> SinkSpec:
         if not isinstance(raw or {}, Mapping):
             raise SpecError("sink: expected a mapping")
         raw = dict(raw or {})
-        unknown = set(raw) - {"mode", "partition_by", "table"}
+        unknown = set(raw) - {"mode", "partition_by", "table", "keep"}
         if unknown:
             raise SpecError(f"sink: unknown keys {sorted(unknown)}")
         columns = column_names(raw.get("partition_by"))
-        spec = cls(raw.get("mode", "auto"), columns, bool(raw.get("table", False)))
+        keep = raw.get("keep", cls.keep)
+        spec = cls(raw.get("mode", "auto"), columns, bool(raw.get("table", False)), keep)
         if spec.mode not in SINK_MODES:
             raise SpecError(f"sink: unknown mode {spec.mode!r}")
+        if spec.mode == "versioned" and (spec.partition_by or spec.table):
+            raise SpecError("sink: a version is a whole output, neither partitions nor a table")
+        if type(keep) is not int or keep < 1:
+            raise SpecError("sink: keep must be 1 or more versions")
         return spec
 
 

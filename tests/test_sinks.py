@@ -1,12 +1,18 @@
 """Sinks, written and read back."""
 
 import os
+import threading
+import time
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tablemill import SinkSpec, SpecError, sinks, steps
+from tablemill import Connection, JobSpec, SinkSpec, SpecError, run_job, sinks, steps
+from tablemill.sources import SourceReader
 
 
 def bag(frame):
@@ -116,3 +122,81 @@ def test_partitions_of_a_table(spark):
         with pytest.raises(SpecError):
             sinks.write_table(wrong, "parts.t", sink)
     spark.sql("DROP SCHEMA parts CASCADE")
+
+
+VERSIONED = SinkSpec(mode="versioned", keep=2)
+
+
+def numbers(spark, version, rows=200):
+    return spark.range(rows).select("id", F.lit(version).alias("version"))
+
+
+def test_a_reader_always_finds_one_whole_version(spark, tmp_path):
+    base, target = str(tmp_path), str(tmp_path / "tide")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_version(spark, target)
+    sinks.write_parquet(numbers(spark, 0), base, "tide", VERSIONED)
+    stop, seen = threading.Event(), []
+
+    def read():
+        while not stop.is_set():
+            seen.append({tuple(r) for r in sinks.read_version(spark, target).groupBy("version").count().collect()})
+
+    with ThreadPoolExecutor(1) as pool:
+        reading = pool.submit(read)
+        for version in range(1, 5):
+            done = len(seen)
+            sinks.write_parquet(numbers(spark, version), base, "tide", SinkSpec(mode="versioned", keep=9))
+            while len(seen) < done + 2 and not reading.done():
+                time.sleep(0.05)
+        stop.set()
+        reading.result()
+    assert all(len(found) == 1 and {n for _, n in found} == {200} for found in seen)
+    order = [v for found in seen for v, _ in found]
+    assert order == sorted(order) and order[-1] == 4
+
+
+def test_a_failed_write_leaves_the_old_version(spark, tmp_path):
+    base, target = str(tmp_path), str(tmp_path / "tide")
+    for version in (1, 2, 3):
+        where = sinks.write_parquet(numbers(spark, version), base, "tide", VERSIONED)
+    assert Path(where) == Path(sinks.newest_version(spark, target).removeprefix("file:"))
+    folders = sorted((tmp_path / "tide" / "_versions").iterdir())
+    assert len(folders) == 2
+    broken = numbers(spark, 4).withColumn("id", F.expr("if(id = 150, raise_error('no tide'), id)"))
+    with pytest.raises(Exception, match="no tide"):
+        sinks.write_parquet(broken, base, "tide", VERSIONED)
+    # What a killed writer leaves: files without the mark.
+    numbers(spark, 9).write.parquet(str(tmp_path / "tide" / "_versions" / f"v{'7':0>12}-{'a' * 32}"))
+    assert {r.version for r in sinks.read_version(spark, target).collect()} == {3}
+    for version in (10, 11):
+        sinks.write_parquet(numbers(spark, version), base, "tide", VERSIONED)
+    left = [f.name[:13] for f in sorted((tmp_path / "tide" / "_versions").iterdir())]
+    assert left == ["v000000000008", "v000000000009"]
+    # The target itself is no Parquet folder, so versions are never mixed.
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(target)
+
+
+def test_a_job_writes_and_another_reads_versions(spark, tmp_path):
+    spec = {
+        "job_name": "tide",
+        "sources": {"levels": {"type": "table", "table": "levels"}},
+        "query": {"sql": "SELECT id FROM levels", "target_table": "tide"},
+        "sink": {"mode": "versioned"},
+        "quality": [{"rule": "min_rows", "floor": 8}],
+    }
+    for rows in (5, 9):
+        frames = {"levels": spark.range(rows)}
+        done = run_job(spark, JobSpec.from_dict(spec), frames=frames, base_uri=str(tmp_path))
+        assert done.frame.count() == done.metrics.rows == rows and done.failed_rules() == (rows < 8)
+    connection = Connection(
+        "out", kind="files", base_path=str(tmp_path), tables={"tide": "tide"}, versioned=True
+    )
+    assert SourceReader(spark, {"out": connection}).table("tide", "out").count() == 9
+
+
+@pytest.mark.parametrize("more", [{"partition_by": "id"}, {"table": True}, {"keep": 0}, {"keep": "2"}])
+def test_versions_are_whole_outputs(more):
+    with pytest.raises(SpecError):
+        SinkSpec.from_dict({"mode": "versioned", **more})
