@@ -175,6 +175,30 @@ def test_perplexity_keeps_good_and_drops_bad(spark):
     assert sum(share[0]) / len(share[0]) <= 0.5
 
 
+def test_perplexity_tells_the_bytes_of_a_sign_apart(spark):
+    """Texts of the same signs differ by their bytes, whose shares of a sign sum to one."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tablemill.llm import perplexity
+
+    assert perplexity.SIGNS[ord("7")] == perplexity.SIGNS[ord("3")]
+    texts = ["In 7777 The 7 boats of Tartu sailed on", "Ты пишешь мне, The end, 77 и 7", "Q"]
+    rows = [(k, text, "en") for k, text in enumerate(texts * 5)]
+    model, _ = perplexity.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    signs = np.zeros((256, 64))
+    signs[np.arange(256), perplexity.SIGNS] = 1
+    for *_, within in model.languages.values():
+        sums = 10.0 ** within.astype(float).reshape(256, 256) @ signs
+        assert np.allclose(sums[:, np.unique(perplexity.SIGNS)], 1, atol=1e-5)
+    pairs = [("a 77 boat", "a 33 boat"), ("The end", "Zhe end"), ("пишешь", "пишежь")]
+    rows = spark.createDataFrame([(t, "=en") for pair in pairs for t in pair], "text string, language string")
+    scored = perplexity.measured(rows.select(F.col("text").alias("own"), "text", "language"), model, "pairs")
+    got = {r.own: r.log_ppl for r in scored.collect()}
+    for seen, unseen in pairs:
+        assert got[seen] < got[unseen]
+
+
 def linked(rows, n, num, den):
     """(set size, smallest reachable id) by comparing all pairs of distinct sets."""
     sets, nodes = {}, {}
