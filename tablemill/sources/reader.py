@@ -21,6 +21,7 @@ from tablemill.session import (
     PARTITION_BYTES_KEY,
     SINGLE_READ_BYTES_KEY,
     UNKNOWN_SOURCE_BYTES_KEY,
+    UNPACKED_KEY,
     described,
     input_bytes,
     package_setting,
@@ -36,6 +37,7 @@ from tablemill.spec import SourceSpec
 log = logging.getLogger(__name__)
 
 CATALOG = Connection(label="catalog")
+COLUMNAR = ("parquet", "orc")
 
 
 class SourceReader:
@@ -65,6 +67,7 @@ class SourceReader:
         self._open_sizes = unset_sizes(session) if own_session else ()
         self._frames: dict[tuple[str, str], DataFrame] = {}
         self._bytes = 0
+        self._factor = 1
 
     def connection(self, label: str | None) -> Connection:
         if label is not None and label not in self.connections:
@@ -256,7 +259,9 @@ class SourceReader:
             if known is None:
                 known = package_setting(self.session, UNKNOWN_SOURCE_BYTES_KEY)
             self._bytes += known
-            size_tasks(self.session, self._bytes, self._open_sizes)
+            if connection and connection.kind == "files" and connection.format in COLUMNAR:
+                self._factor = max(self._factor, package_setting(self.session, UNPACKED_KEY))
+            size_tasks(self.session, self._bytes, self._open_sizes, self._factor)
         return frame
 
 

@@ -17,6 +17,8 @@ from tablemill import Connection, JobSpec, SpecError, TableJob, load_connections
 from tablemill.session import (
     INITIAL_PARTITIONS,
     MAX_PARTITIONS_KEY,
+    MERGE_TO,
+    PARTITION_BYTES_KEY,
     READ_SPLIT,
     input_bytes,
     job_session,
@@ -320,6 +322,20 @@ def test_tasks_grow_with_the_input(spark, shop, tmp_path, caplog):
     assert spark.conf.get(INITIAL_PARTITIONS, None) is None
 
 
+def test_tasks_of_columnar_files_fit_their_rows(spark, shop, tmp_path):
+    """Rows take far more room in a task than in the file, so its tasks read and merge less."""
+    path = str(tmp_path / "orders")
+    shop["orders"].write.parquet(path)
+    size = input_bytes(spark.read.parquet(path))
+    connection = Connection("a", kind="files", base_path=str(tmp_path), tables={"orders": "orders"})
+    session = job_session(spark)
+    session.conf.set(PARTITION_BYTES_KEY, "1024")
+    session.conf.unset(MERGE_TO)
+    SourceReader(session, {"a": connection}, own_session=True).table("orders", "a")
+    assert int(session.conf.get(INITIAL_PARTITIONS)) == max(4, -(-size * 32 // 1024))
+    assert (session.conf.get(READ_SPLIT), session.conf.get(MERGE_TO)) == ("32", "64")
+
+
 def test_input_bytes(spark, shop, tmp_path):
     path = str(tmp_path / "orders")
     shop["orders"].write.parquet(path)
