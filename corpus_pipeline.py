@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm import bpe, linespread, mixing, partenum, toxicity
-from tablemill.llm.common import like_before, table, written
+from tablemill.llm.common import like_before, table, without, written
 from tablemill.llm.queries import DOMAIN_SHARES, source_domain, word_tokenizer
 
 NEAR = partenum.Similarity(n=5, num=80, den=100)
@@ -27,8 +27,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     boxed = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("mark", F.xxhash64(body))
     # Equal texts have equal scores, so the marks of toxic ones are enough.
     scored = toxicity.score(boxed.select("mark", F.col(body).alias("text")), model)
-    toxic = scored.where("score >= 0.5").select("mark").distinct()
-    return boxed.join(toxic, "mark", "left_anti").drop("mark").toDF(*names)
+    toxic = written(scored.where("score >= 0.5").select("mark").distinct(), "toxic-marks")
+    return without(boxed, toxic, "mark").drop("mark").toDF(*names)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

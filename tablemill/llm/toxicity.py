@@ -284,6 +284,7 @@ def score(
             boxed, body, _FIELDS, lambda: shared.value.kernel(), drop_text=drop_text
         ).withColumn("row", F.monotonically_increasing_id()),
         "toxicity-parts",
+        texts=True,
     )
     fields = [f.name for f in _FIELDS if isinstance(f.dataType, T.ArrayType)]
     rest = rows.select("row", F.explode(F.arrays_zip(*fields)).alias("t")).select(
@@ -360,6 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     counts = written(
         count_expressions(labelled).groupBy("key").agg(F.min("extra").alias("parent"), *n),
         "toxicity-counts",
+        texts=True,
     )
     # The curve is fitted with counts of folds 1 to 3 on rows of fold 4.
     trial = learnt(
