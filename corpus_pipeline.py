@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablemill.llm import bpe, linespread, mixing, partenum, toxicity
-from tablemill.llm.common import like_before, table, without, written
+from tablemill.llm.common import like_before, split_by, table, without, written
 from tablemill.llm.queries import DOMAIN_SHARES, source_domain, word_tokenizer
 
 NEAR = partenum.Similarity(n=5, num=80, den=100)
@@ -43,22 +43,27 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones: that with the smallest id."""
-    stay = (
+    odd = written(
         partenum.link(docs, NEAR)
-        .where("is_first")
-        .select(F.col("doc_id").alias("stay_id"), F.col("mark").alias("stay_mark"))
-        .distinct()
+        .groupBy(F.col("doc_id").alias("odd_id"), "mark")
+        .agg(F.count("*").alias("n"), F.max("is_first").alias("stays"))
+        .where("n > 1 or not stays"),
+        "copy-marks",
     )
     names = docs.columns
     boxed = docs.toDF(*(f"c{i}" for i in range(len(names))))
     own, body = (f"c{names.index(c)}" for c in ("doc_id", "text"))
-    kept = boxed.withColumn("mark", F.xxhash64(own, body)).join(
-        stay.hint("shuffle_hash"),
-        (F.col("mark") == F.col("stay_mark")) & F.col(own).eqNullSafe(F.col("stay_id")),
-        "left_semi",
+    # Rows that stay and are there once, most of them, are not shuffled.
+    clear, maybe = split_by(boxed.withColumn("mark", F.xxhash64(own, body)), odd, "mark")
+    gone = odd.where("not stays").select("odd_id", F.col("mark").alias("odd_mark"))
+    kept = maybe.join(
+        gone,
+        (F.col("mark") == F.col("odd_mark")) & F.col(own).eqNullSafe(F.col("odd_id")),
+        "left_anti",
     )
     # Rows that repeat both id and text stay once.
-    return kept.dropDuplicates(["mark", own]).drop("mark").toDF(*names)
+    kept = kept.dropDuplicates(["mark", own])
+    return clear.unionByName(kept).drop("mark").toDF(*names)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

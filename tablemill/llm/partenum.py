@@ -12,7 +12,12 @@ that sign those too.
 Sets that are equal are one node, however many documents have them. The nodes
 of a signature are not paired with each other: each is compared, in full, with
 the most central node of the signature, that which meets the most other nodes in
-all its signatures: of edited copies, one that is close to the original. What
+all its signatures: of edited copies, one that is close to the original. Before
+that, small sketches of the sets split each star: bits that hold the parity of the
+features dealt to them differ in no more places than the sets do, so nodes whose
+sketches differ in more than a link allows, most that share no more than a passage,
+part without their texts being moved; stars of more than ``STAR_NODES`` nodes stay
+whole. What
 this leaves open between two nodes x, y with the same centre c is settled by how
 they differ from it: with x and y at distances h(x), h(y) from c, they are
 certainly linked if h(x) + h(y) is within their limit, and otherwise only if the
@@ -166,6 +171,25 @@ def signatures(
     return np.concatenate(out), np.concatenate(owner)
 
 
+MOST_SKETCH_BITS = 1 << 16
+
+
+def sketches(values: np.ndarray, rows: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Parity bits of each row's set: a power of two of 64 bits or more, about as many as features.
+
+    A feature sets one bit, by the low bits of its hash, so that the halves of a
+    sketch, one over the other, are the sketch with half as many bits.
+    """
+    bits = np.full(len(size), 64, np.int64)
+    while (more := (bits < size) & (bits < MOST_SKETCH_BITS)).any():
+        bits[more] *= 2
+    first = np.concatenate([[0], np.cumsum(bits)])
+    low = (mix(values + _U(0xB17)) & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(first[:-1][rows] + low, minlength=first[-1]) & 1
+    raw = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a:b] for a, b in zip((first[:-1] // 8).tolist(), (first[1:] // 8).tolist(), strict=True)]
+
+
 _SIGNED = T.StructType(
     [T.StructField("sig", T.LongType()), T.StructField("node", T.LongType())]
 )
@@ -278,6 +302,105 @@ def candidate_stars(docs: DataFrame, like: Similarity) -> DataFrame:
     return pairs.distinct()
 
 
+# Outer nodes of a star, at most, that are held against each other by their sketches.
+STAR_NODES = 2048
+_PAIRS = T.StructType([T.StructField("c", T.LongType()), T.StructField("x", T.LongType())])
+
+
+def may_link(size: np.ndarray, sketch: list[np.ndarray], like: Similarity) -> np.ndarray:
+    """Which of these sets may be linked to each other: a matrix, false on its diagonal."""
+    n, length = len(size), np.array([len(s) for s in sketch])
+    found = np.zeros((n, n), bool)
+    for words_ in np.unique(length):
+        longer = np.flatnonzero(length >= words_)
+        folded = np.stack(
+            [np.bitwise_xor.reduce(sketch[i].reshape(-1, words_), axis=0) for i in longer]
+        )
+        own = np.flatnonzero(length[longer] == words_)
+        step = max(1, (1 << 20) // folded.size)
+        for at in range(0, len(own), step):
+            mine = own[at : at + step]
+            apart = np.bitwise_count(folded[mine, None] ^ folded[None]).sum(axis=2, dtype=np.int64)
+            a, b = size[longer[mine]][:, None], size[longer][None]
+            fits = apart <= like.most_apart(a + b)
+            fits &= (like.den * a >= like.num * b) & (like.den * b >= like.num * a)
+            found[np.ix_(longer[mine], longer)] = fits
+    found |= found.T
+    np.fill_diagonal(found, False)
+    return found
+
+
+def parted(node: np.ndarray, near: np.ndarray) -> tuple[list[int], list[int]]:
+    """Pairs (centre, other) of the connected parts of a star; the centre has most neighbours."""
+    centres, others = [], []
+    degree = near.sum(axis=1)
+    open_ = degree > 0
+    for start in range(len(node)):
+        if not open_[start]:
+            continue
+        mine = np.zeros(len(node), bool)
+        edge = np.array([start])
+        mine[start] = True
+        while len(edge):
+            edge = np.flatnonzero(near[edge].any(axis=0) & ~mine)
+            mine[edge] = True
+        open_ &= ~mine
+        part = np.flatnonzero(mine)
+        centre = part[np.lexsort((node[part], -degree[part]))[0]]
+        part = part[part != centre]
+        centres += [int(node[centre])] * len(part)
+        others += node[part].tolist()
+    return centres, others
+
+
+def split_stars(stars: DataFrame, sets: DataFrame, like: Similarity) -> DataFrame:
+    """Distinct (c, x) of the parts of stars within which sets may be linked.
+
+    ``sets`` has node, size and sketch. Nodes that can be linked to no other of
+    their star go; no two that are linked part.
+    """
+    schema = to_arrow_schema(_PAIRS)
+    large = F.broadcast(stars.groupBy("c").count().where(F.col("count") > STAR_NODES).select("c"))
+    small = stars.join(large, "c", "left_anti")
+    members = small.unionByName(small.select("c", F.col("c").alias("x")).distinct())
+    members = members.join(sets, members["x"] == sets["node"]).select("c", "x", "size", "sketch")
+
+    def split(held):
+        c, node, size = (np.concatenate(part) for part in list(zip(*held, strict=True))[:3])
+        sketch = [np.frombuffer(s, np.uint64) for part in held for s in part[3]]
+        heads = runs_of(c).tolist()
+        centres, others = [], []
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            more = parted(node[a:b], may_link(size[a:b], sketch[a:b], like))
+            centres += more[0]
+            others += more[1]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(centres, pa.int64()), pa.array(others, pa.int64())], schema=schema
+        )
+
+    def run(batches):
+        held = []  # the last star may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c, node, size = (batch.column(i).to_numpy() for i in range(3))
+            sketch = batch.column(3).to_pylist()
+            if held and c[0] != held[-1][0][-1]:
+                yield split(held)
+                held = []
+            last = int(runs_of(c)[-2])
+            if last:
+                held.append((c[:last], node[:last], size[:last], sketch[:last]))
+                yield split(held)
+                held = []
+            held.append((c[last:], node[last:], size[last:], sketch[last:]))
+        if held:
+            yield split(held)
+
+    parts = members.repartition("c").sortWithinPartitions("c").mapInArrow(run, _PAIRS)
+    return parts.unionByName(stars.join(large, "c").select("c", "x")).distinct()
+
+
 _COMPARED = T.StructType(
     [
         T.StructField("c", T.LongType()),
@@ -464,25 +587,36 @@ def link(docs: DataFrame, like: Similarity, doc_id: str = "doc_id", text: str =
         F.col(text).alias("text"),
         F.xxhash64(F.col(doc_id), F.col(text)).alias("mark"),
     )
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())]
+    fields = [
+        T.StructField("n_shingles", T.LongType()),
+        T.StructField("node", T.LongType()),
+        T.StructField("sketch", T.BinaryType()),
+    ]
 
     def make_kernel():
         def kernel(piece: Piece):
             values, rows = features(piece, like.n)
             size, node = node_of(values, rows, piece.rows)
-            return [size, pa.array(node, mask=size == 0)]
+            return [size, pa.array(node, mask=size == 0), sketches(values, rows, size)]
 
         return kernel
 
     profile = written(with_text_results(own, "text", fields, make_kernel), "set-profile")
-    stars = written(candidate_stars(own, like), "stars")
+    whole = written(candidate_stars(own, like), "whole-stars")
+    ends = whole.select(F.col("c").alias("node")).unionByName(whole.select(F.col("x").alias("node")))
+    signed = profile.where("node is not null")
+    sets = signed.join(ends.distinct(), "node").groupBy("node").agg(
+        F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch")
+    )
+    stars = written(split_stars(whole, sets, like), "stars", texts=True)
     needed = stars.select(F.col("c").alias("node")).unionByName(
         stars.select(F.col("x").alias("node"))
     ).distinct()
-    one = profile.where("node is not null").groupBy("node").agg(F.min("mark").alias("mark"))
-    marks = one.join(needed, "node")
+    one = signed.groupBy("node").agg(F.min("mark").alias("mark"))
+    marks = written(one.join(needed, "node"), "star-marks")
+    # Texts of other nodes, most of them, stay where they are.
     texts = written(
-        own.select("mark", "text")
+        maybe_among(own.select("mark", "text"), marks, "mark")
         .join(marks.hint("shuffle_hash"), "mark")
         .groupBy("node")
         .agg(F.first("text").alias("text")),
