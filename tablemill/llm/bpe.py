@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import with_text_results
+from .common import held, with_text_results
 from .text import Piece
 
 WORDS_KEPT = 200_000
@@ -260,16 +260,9 @@ class Coder:
         return self.blob[place].tobytes()[:-1]
 
 
-_coders: dict[int, Coder] = {}
-
-
 def _coder(shared) -> Coder:
     """One coder per worker and vocabulary, kept for the next task."""
-    key = shared.value["key"]
-    if key not in _coders:
-        _coders.clear()
-        _coders[key] = Coder(shared.value["vocabulary"])
-    return _coders[key]
+    return held(("coder", shared.value["key"]), lambda: Coder(shared.value["vocabulary"]))
 
 
 def _share(docs: DataFrame, path: str):

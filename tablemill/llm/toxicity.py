@@ -38,6 +38,9 @@ LEVELS = (4, 6, None)
 TABLE_SHARE = 2.0**-20
 DISCOUNT = 0.75
 MARGINS = (1.0, 3.0)
+# Bytes of text that a worker cuts into words at once, and counts of a group that it holds.
+PIECE = 1 << 18
+COUNTS_HELD = 1 << 18
 # Bits, as a power of two, of the map that tells unlabelled documents before the join.
 BITMAP_BITS = 26
 # Rows of labelled training data, at most, that fit the logistic curve.
@@ -83,7 +86,7 @@ def count_expressions(labelled: DataFrame) -> DataFrame:
         def kernel(batch):
             groups = batch.column(1).to_numpy(zero_copy_only=False)
             out = []
-            for piece in pieces(batch.column(0)):
+            for piece in pieces(batch.column(0), PIECE):
                 chain, first = expressions(piece)
                 owner = np.repeat(groups[piece.first : piece.first + piece.rows], np.diff(first))
                 for value in np.unique(owner):
@@ -98,7 +101,11 @@ def count_expressions(labelled: DataFrame) -> DataFrame:
         return kernel
 
     return counted(
-        labelled.select("text", "grp"), T.LongType(), make_kernel, extra=T.LongType()
+        labelled.select("text", "grp"),
+        T.LongType(),
+        make_kernel,
+        flush_at=COUNTS_HELD,
+        extra=T.LongType(),
     )
 
 
@@ -281,7 +288,7 @@ def score(
     shared = docs.sparkSession.sparkContext.broadcast(model.frequent)
     rows = written(
         with_text_results(
-            boxed, body, _FIELDS, lambda: shared.value.kernel(), drop_text=drop_text
+            boxed, body, _FIELDS, lambda: shared.value.kernel(), drop_text=drop_text, size=PIECE
         ).withColumn("row", F.monotonically_increasing_id()),
         "toxicity-parts",
         texts=True,
